@@ -1,0 +1,8 @@
+"""Named queries over the given tables, one per operator, with their SQL counterparts."""
+
+from demandspark.catalog.base import ORACLE, QUERIES
+from demandspark.catalog import prices, series
+
+flagship = prices.flagship
+
+__all__ = ["ORACLE", "QUERIES", "flagship", "prices", "series"]

@@ -15,6 +15,7 @@ def get_session(app: str = "demandspark", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in conf.items():
