@@ -275,7 +275,7 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 
 
 def _metric(df: DataFrame, column: str | Column, metrics: Sequence[str]) -> DataFrame:
-    col = F.col("column") if column == "column" else column
+    col = F.col(column) if isinstance(column, str) else column
     entries = [
         F.struct(
             col.alias("column"),

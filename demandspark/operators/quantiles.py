@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 from demandspark.session import materialize
@@ -189,7 +190,23 @@ def value_counts(df: DataFrame, cols: Sequence[str], dtype: str = "double", by:
     Equal values are combined before the shuffle, and the shuffle key contains the value,
     so neither a hot value nor a hot group lands on one task.
     """
-    return melt(df, cols, dtype, by).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if dtype != "double":
+        return melt(df, cols, dtype, by).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Whole numbers are counted as such: as doubles, distinct values above 2^53 would merge.
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    none_i, none_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                (F.col(c).cast("bigint") if c in whole else none_i).alias("i"),
+                (none_d if c in whole else F.col(c).cast("double")).alias("d"),
+            )
+            for c in cols
+        ]
+    )
+    counts = df.select(*by, F.inline(entries)).groupBy(*by, "column", "i", "d").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*by, "column", F.coalesce("d", F.col("i").cast("double")).alias("value"), "n")
 
 
 def ranked_counts(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="demandspark-")
+    if current is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="demandspark-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,3 +50,8 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, for tables that outlive one plan."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
