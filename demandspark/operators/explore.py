@@ -261,7 +261,7 @@ def _attach_rank(rows: DataFrame, ranks: DataFrame, col: str, name: str, size: i
     else:
         salt, spread = F.lit(0), F.array(F.lit(0))
     right = ranks.select(
-        F.col("value").alias("__v"), F.col("rank").alias(name), F.explode(spread).cast("bigint").alias("__s2")
+        F.col("value").alias("__v"), F.col("rank").alias(name), F.explode(spread.cast("array<bigint>")).alias("__s2")
     )
     left = rows.withColumn("__s1", salt.cast("bigint"))
     on = (F.col(col) == F.col("__v")) & (F.col("__s1") == F.col("__s2"))

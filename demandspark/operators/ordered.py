@@ -16,18 +16,23 @@ stays plain unless some key spans a whole chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import copy
+import json
+import math
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CHUNKS = 20_000  # bounds what a layout keeps on the driver and broadcasts
+from demandspark.session import materialize
+
+MAX_CHUNKS = 5_000  # bounds what a layout keeps on the driver and in the plan
 SAMPLES_PER_CHUNK = 20
 _CHUNK = "__chunk"
 _HALO = "__halo"
-_RANGES = "__ranges"
 
 
 @dataclass(frozen=True)
@@ -110,15 +115,17 @@ def rolling_median(col: str, rows: int, name: str | None = None) -> Op:
 class OrderedFrame:
     """A DataFrame with a resolved series layout; methods return new frames."""
 
-    def __init__(self, df: DataFrame, spec: SeriesSpec, _ranges: list | None = None, _resolved: bool = False):
+    def __init__(self, df: DataFrame, spec: SeriesSpec):
         missing = [c for c in spec.columns if c not in df.columns]
         if missing:
             raise ValueError(f"unknown series columns: {missing}")
         self.spec = spec
-        self._ranges = _ranges if _resolved else _choose_ranges(df, spec)
-        if self.chunked and _CHUNK not in df.columns:
-            df = _tag(df, spec, self._ranges)
-        self._df = df
+        self._ranges = _choose_ranges(df, spec)
+        self._df = _tag(df, spec, self._ranges) if self.chunked else df
+        # Chunked only: a frame whose columns outside ``_derived`` equal those of ``_df``.
+        # Carried rows of such columns are read from it, without the windows on top.
+        self._base = self._df
+        self._derived: set[str] = set()
 
     # -- layout ---------------------------------------------------------------------
 
@@ -130,8 +137,24 @@ class OrderedFrame:
     def df(self) -> DataFrame:
         return self._df.drop(_CHUNK) if self.chunked else self._df
 
-    def _next(self, df: DataFrame) -> OrderedFrame:
-        return OrderedFrame(df, self.spec, self._ranges, True)
+    def _next(self, df: DataFrame, derived: Iterable[str]) -> OrderedFrame:
+        out = copy.copy(self)
+        out._df = df
+        out._derived = self._derived | set(derived)
+        return out
+
+    def _settled(self, cols: Iterable[str]) -> OrderedFrame:
+        """A frame in which ``cols`` can be read without recomputing windows.
+
+        Columns made by earlier stages are written once to the checkpoint folder; both the
+        carried rows and the next stage then read the files.
+        """
+        if not self.chunked or not self._derived.intersection(cols):
+            return self
+        out = copy.copy(self)
+        out._df = out._base = materialize(self._df)
+        out._derived = set()
+        return out
 
     def _window(self, descending: bool = False) -> WindowSpec:
         keys = [_CHUNK, *self.spec.partition_by] if self.chunked else self.spec.partition_by
@@ -140,7 +163,8 @@ class OrderedFrame:
 
     def transform(self, fn) -> OrderedFrame:
         """Apply a row-local DataFrame function; rows, keys and order must stay."""
-        return self._next(fn(self._df))
+        out = fn(self._df)
+        return self._next(out, [c for c in out.columns if c not in (*self.spec.columns, _CHUNK)])
 
     # -- bounded reach ----------------------------------------------------------------
 
@@ -157,7 +181,7 @@ class OrderedFrame:
         out = df.select("*", *[o.build(w).alias(o.name) for o in ops])
         if halo:
             out = out.where(~F.col(_HALO)).drop(_HALO)
-        return self._next(out)
+        return self._next(out, [o.name for o in ops])
 
     def _with_halo(self, back: int, ahead: int) -> DataFrame:
         """Copy the last ``back`` / first ``ahead`` rows of each chunk to its neighbours.
@@ -167,20 +191,19 @@ class OrderedFrame:
         """
         spec, ranges = self.spec, self._ranges
         keys = list(spec.partition_by)
-        narrow = self._df.select(_CHUNK, *spec.columns)
+        narrow = self._base.select(_CHUNK, *spec.columns)
         n_chunks = len(ranges) + 1
-        sizes = {r[_CHUNK]: r["count"] for r in narrow.groupBy(_CHUNK).count().collect()}
-        counts = [sizes.get(c, 0) for c in range(n_chunks)]
-        start_keys = [None] + [tuple(r[k] for k in keys) for r in ranges]
-
+        start_keys = [None] + [r[: len(keys)] for r in ranges]
         tails = _edge_rows(narrow, spec, ranges, back, last=True) if back else {}
         heads = _edge_rows(narrow, spec, ranges, ahead, last=False) if ahead else {}
 
+        # A chunk in which the crossing key ends has no tail of that key and stops the copies;
+        # one that the key fills entirely counts with its rows, up to the reach.
         def forward(c: int) -> int:
             """How many next chunks need the end of chunk ``c``."""
             steps = seen = 0
             for t in range(c + 1, n_chunks):
-                steps, seen = steps + 1, seen + counts[t]
+                steps, seen = steps + 1, seen + (tails[t][1] if t in tails else back)
                 if seen >= back or t + 1 >= n_chunks or start_keys[t + 1] != start_keys[c + 1]:
                     break
             return steps
@@ -189,50 +212,31 @@ class OrderedFrame:
             """How many earlier chunks need the start of chunk ``c``."""
             steps = seen = 0
             for t in range(c - 1, -1, -1):
-                steps, seen = steps + 1, seen + counts[t]
+                steps, seen = steps + 1, seen + (heads[t][1] if t in heads else ahead)
                 if seen >= ahead or t == 0 or start_keys[t] != start_keys[c]:
                     break
             return steps
 
-        rows = [
-            (
-                tails.get(c),
-                forward(c) if c in tails else 0,
-                heads.get(c),
-                backward(c) if c in heads else 0,
-            )
-            for c in range(n_chunks)
-        ]
-        border = _position_type(self._df, spec)
-        schema = T.StructType(
-            [
-                T.StructField("tail", border),
-                T.StructField("fwd", T.IntegerType()),
-                T.StructField("head", border),
-                T.StructField("bwd", T.IntegerType()),
-            ]
-        )
-        spark = self._df.sparkSession
-        # One row holding an array of n_chunks (<= MAX_CHUNKS) small structs.
-        edges = spark.createDataFrame([(rows,)], T.StructType([T.StructField("__edges", T.ArrayType(schema))]))
-        joined = self._df.crossJoin(F.broadcast(edges))
-        edge = F.get(F.col("__edges"), F.col(_CHUNK))
-        me = F.struct(*_position(self._df, spec))
-        in_tail = edge["tail"].isNotNull() & (me >= edge["tail"])
-        in_head = edge["head"].isNotNull() & (me <= edge["head"])
-        for k, at in zip(keys, _position(self._df, spec)):
-            in_tail = in_tail & at.eqNullSafe(edge["tail"][k])
-            in_head = in_head & at.eqNullSafe(edge["head"][k])
-        zero = F.lit(0)
+        position = _Position(self._df, spec)
+        here, zero = F.col(_CHUNK), F.lit(0)
+        in_tail = in_head = F.lit(False)
+        if tails:
+            edge = F.get(position.constant([tails[c][0] if c in tails else None for c in range(n_chunks)]), here)
+            in_tail = position.crosses(edge) & (position.row >= edge)
+        if heads:
+            edge = F.get(position.constant([heads[c][0] if c in heads else None for c in range(n_chunks)]), here)
+            in_head = position.crosses(edge) & (position.row <= edge)
+        ahead_by = F.get(_int_constant([forward(c) if c in tails else 0 for c in range(n_chunks)]), here)
+        back_by = F.get(_int_constant([backward(c) if c in heads else 0 for c in range(n_chunks)]), here)
         target = F.explode(
             F.sequence(
-                F.col(_CHUNK) - F.when(in_head, edge["bwd"]).otherwise(zero),
-                F.col(_CHUNK) + F.when(in_tail, edge["fwd"]).otherwise(zero),
+                here - F.when(in_head, back_by).otherwise(zero),
+                here + F.when(in_tail, ahead_by).otherwise(zero),
             )
         ).alias("__target")
         data = [c for c in self._df.columns if c != _CHUNK]
         return (
-            joined.select(*data, _CHUNK, target)
+            self._df.select(*data, _CHUNK, target)
             .withColumn(_HALO, F.col("__target") != F.col(_CHUNK))
             .select(*data, F.col("__target").alias(_CHUNK), _HALO)
         )
@@ -255,73 +259,63 @@ class OrderedFrame:
         cols = list(cols)
         if not cols:
             return self
-        grow = self._window(descending=backward).rowsBetween(Window.unboundedPreceding, 0)
-        filled = {c: F.last(c, ignorenulls=True).over(grow) for c in cols}
-        out = self._df.select(*[filled[c].alias(c) if c in filled else c for c in self._df.columns])
-        if not self.chunked:
-            return self._next(out)
-        order = F.struct(*self.spec.order_by)
+        me = self._settled(cols)
+        grow = me._window(descending=backward).rowsBetween(Window.unboundedPreceding, 0)
+        filled = {c: F.last(c, ignorenulls=True).over(grow).alias(c) for c in cols}
+        out = me._df.select(*[filled.get(c, c) for c in me._df.columns])
+        if not me.chunked:
+            return me._next(out, cols)
+        order = F.struct(*me.spec.order_by)
         pick = F.min_by if backward else F.max_by
         aggs = [pick(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in cols]
-        carry = self._carry(aggs, cols, lambda c, w: F.last(c, ignorenulls=True).over(w), backward)
-        out = self._join_carry(out, carry, cols)
-        return self._next(
-            out.select(
-                *[
-                    F.coalesce(F.col(c), F.col(f"__in_{c}")).alias(c) if c in filled else F.col(c)
-                    for c in self._df.columns
-                ]
-            )
-        )
+        carry = me._carry(aggs, cols, lambda c, w: F.last(c, ignorenulls=True).over(w), backward)
+        out = me._join_carry(out, carry, cols)
+        merged = {c: F.coalesce(F.col(c), F.col(f"__in_{c}")).alias(c) for c in cols}
+        return me._next(out.select(*[merged.get(c, F.col(c)) for c in me._df.columns]), cols)
 
     def row_index(self, name: str = "index") -> OrderedFrame:
         """0-based position within the key (or the whole table without keys)."""
         out = self._df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("bigint"))
-        if not self.chunked:
-            return self._next(out)
-        carry = self._carry(
-            [F.count(F.lit(1)).alias("n")], ["n"], lambda c, w: F.sum(c).over(w), backward=False
-        )
-        out = self._join_carry(out, carry, ["n"])
-        out = out.withColumn(name, F.col(name) + F.coalesce("__in_n", F.lit(0)))
-        return self._next(out.drop("__in_n"))
+        if self.chunked:
+            carry = self._carry([F.count(F.lit(1)).alias("n")], ["n"], lambda c, w: F.sum(c).over(w))
+            out = self._join_carry(out, carry, ["n"])
+            out = out.withColumn(name, F.col(name) + F.coalesce("__in_n", F.lit(0))).drop("__in_n")
+        return self._next(out, [name])
 
     def running_sum(self, col: str, name: str) -> OrderedFrame:
         """Sum of ``col`` up to and including the row."""
-        grow = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        out = self._df.withColumn(name, F.sum(col).over(grow))
-        if not self.chunked:
-            return self._next(out)
-        carry = self._carry(
-            [F.sum(col).alias("s")], ["s"], lambda c, w: F.sum(c).over(w), backward=False
-        )
-        out = self._join_carry(out, carry, ["s"])
-        total = F.when(
-            F.col(name).isNotNull() | F.col("__in_s").isNotNull(),
-            F.coalesce(name, F.lit(0)) + F.coalesce("__in_s", F.lit(0)),
-        )
-        return self._next(out.withColumn(name, total).drop("__in_s"))
+        me = self._settled([col])
+        grow = me._window().rowsBetween(Window.unboundedPreceding, 0)
+        out = me._df.withColumn(name, F.sum(col).over(grow))
+        if me.chunked:
+            carry = me._carry([F.sum(col).alias("s")], ["s"], lambda c, w: F.sum(c).over(w))
+            out = me._join_carry(out, carry, ["s"])
+            total = F.when(
+                F.col(name).isNotNull() | F.col("__in_s").isNotNull(),
+                F.coalesce(name, F.lit(0)) + F.coalesce("__in_s", F.lit(0)),
+            )
+            out = out.withColumn(name, total).drop("__in_s")
+        return me._next(out, [name])
 
     def running_min(self, col: str, name: str) -> OrderedFrame:
         """Smallest value up to and including the row."""
-        grow = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        out = self._df.withColumn(name, F.min(col).over(grow))
-        if not self.chunked:
-            return self._next(out)
-        carry = self._carry(
-            [F.min(col).alias("m")], ["m"], lambda c, w: F.min(c).over(w), backward=False
-        )
-        out = self._join_carry(out, carry, ["m"])
-        return self._next(out.withColumn(name, F.least(name, "__in_m")).drop("__in_m"))
-
-    def _carry(self, aggs: list[Column], cols: list[str], combine, backward: bool) -> DataFrame:
+        me = self._settled([col])
+        grow = me._window().rowsBetween(Window.unboundedPreceding, 0)
+        out = me._df.withColumn(name, F.min(col).over(grow))
+        if me.chunked:
+            carry = me._carry([F.min(col).alias("m")], ["m"], lambda c, w: F.min(c).over(w))
+            out = me._join_carry(out, carry, ["m"])
+            out = out.withColumn(name, F.least(name, "__in_m")).drop("__in_m")
+        return me._next(out, [name])
+
+    def _carry(self, aggs: list[Column], cols: list[str], combine, backward: bool = False) -> DataFrame:
         """(chunk, keys, __in_*): what the chunks before (after) hand to this chunk.
 
         Only rows of keys that cross a boundary count, so there is at most one row per
         chunk; they are map-side aggregated and the small table is windowed per key.
         """
         keys = list(self.spec.partition_by)
-        rows = self._df
+        rows = self._base
         if keys:
             rows = _only_crossing_keys(rows, self.spec, self._ranges, upper=not backward)
         part = rows.groupBy(_CHUNK, *keys).agg(*aggs)
@@ -353,19 +347,48 @@ class OrderedFrame:
 # -- helpers ------------------------------------------------------------------------
 
 
-def _position(df: DataFrame, spec: SeriesSpec) -> list[Column]:
-    """Keys and order of a row; zoned timestamps as microseconds, so that a value read
-    to the driver and back is the same in every time zone."""
-    out = []
-    for c in spec.columns:
-        zoned = isinstance(df.schema[c].dataType, T.TimestampType)
-        out.append((F.unix_micros(c) if zoned else F.col(c)).alias(c))
-    return out
+class _Position:
+    """Keys and order of a row as one comparable struct, and constants of that type.
+
+    Timestamps become microseconds, so that a value read to the driver and written into a
+    plan is the same in every time zone. Constants are folded into one literal array that
+    every task refers to: nothing is joined, and no array is copied per row.
+    """
+
+    def __init__(self, df: DataFrame, spec: SeriesSpec):
+        self.n_keys = len(spec.partition_by)
+        self.names = [f"p{i}" for i in range(len(spec.columns))]
+        self.columns = [_comparable(df, c).alias(n) for c, n in zip(spec.columns, self.names)]
+        self.row = F.struct(*self.columns)
+        fields = df.select(*self.columns).schema.fields
+        self.type = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+
+    def constant(self, rows: list) -> Column:
+        """Array literal of positions; None entries are null."""
+        data = [None if r is None else dict(zip(self.names, r)) for r in rows]
+        return F.from_json(F.lit(json.dumps(data, default=str)), T.ArrayType(self.type))
+
+    def crosses(self, edge: Column) -> Column:
+        """The row has the key of ``edge`` (a possibly null position)."""
+        hit = edge.isNotNull()
+        for here, name in zip(self.columns[: self.n_keys], self.names):
+            hit = hit & here.eqNullSafe(edge[name])
+        return hit
+
+
+def _int_constant(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<int>")
 
 
-def _position_type(df: DataFrame, spec: SeriesSpec) -> T.StructType:
-    fields = df.select(*_position(df, spec)).schema.fields
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+def _comparable(df: DataFrame, c: str) -> Column:
+    dtype = df.schema[c].dataType
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
+    return F.col(c)
 
 
 def _choose_ranges(df: DataFrame, spec: SeriesSpec) -> list | None:
@@ -378,67 +401,91 @@ def _choose_ranges(df: DataFrame, spec: SeriesSpec) -> list | None:
     chunks = min(MAX_CHUNKS, max(2, -(-n // spec.max_rows)))
     fraction = min(1.0, SAMPLES_PER_CHUNK * chunks / max(n, 1))
     # The sample is bounded by MAX_CHUNKS * SAMPLES_PER_CHUNK narrow rows.
-    narrow = df.select(*_position(df, spec))
-    sample = narrow.sample(fraction, seed=42).orderBy(*spec.columns).collect()
+    position = _Position(df, spec)
+    narrow = df.select(*position.columns)
+    sample = [tuple(r) for r in narrow.sample(fraction, seed=42).orderBy(*position.names).collect()]
     ranges: list = []
     for i in range(1, chunks):
         row = sample[i * len(sample) // chunks] if sample else None
         if row is not None and (not ranges or row != ranges[-1]):
             ranges.append(row)
     if spec.mode == "auto" and spec.partition_by:
-        starts = [tuple(r[k] for k in spec.partition_by) for r in ranges]
+        starts = [r[: len(spec.partition_by)] for r in ranges]
         if all(a != b for a, b in zip(starts, starts[1:])):
             return None  # no key fills a whole chunk: plain windows are balanced
     return ranges
 
 
 def _tag(df: DataFrame, spec: SeriesSpec, ranges: list) -> DataFrame:
-    """Add the chunk number: how many boundaries are <= the row (binary search)."""
-    border = _position_type(df, spec)
-    table = df.sparkSession.createDataFrame(
-        [(ranges,)], T.StructType([T.StructField(_RANGES, T.ArrayType(border))])
+    """Add the chunk number: how many boundaries are <= the row.
+
+    A numeric first column is looked up in a sorted array; only rows that share its value
+    with a boundary (the hot keys) are compared as a whole, by binary search.
+    """
+    position = _Position(df, spec)
+    borders = position.constant(ranges)
+    first = position.columns[0].cast("double")
+    numeric = isinstance(position.type[0].dataType, T.NumericType)
+    heads = [None if r[0] is None else float(r[0]) for r in ranges] if numeric else []
+    values = sorted({h for h in heads if h is not None})
+    if not values or not all(math.isfinite(v) for v in values):
+        chunk = _search(borders, position.row, F.lit(0), F.lit(len(ranges)), len(ranges))
+        return df.withColumn(_CHUNK, chunk)
+    below = [0] + [sum(h is None or h < v for h in heads) for v in values]
+    upto = [heads.count(None)] + [b + heads.count(v) for b, v in zip(below[1:], values)]
+    widest = max(b - a for a, b in zip(below, upto))
+    lookup = Bucketizer(
+        splits=[float("-inf"), *values, float("inf")], inputCol="__first", outputCol="__at", handleInvalid="keep"
     )
-    me = F.struct(*_position(df, spec))
-    steps = len(ranges).bit_length()
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(ranges)).alias("hi"))
+    # Nulls sort first, NaN last, as in the boundaries.
+    last = float("inf")
+    named = df.withColumn("__first", F.when(F.isnan(first), last).otherwise(F.coalesce(first, F.lit(float("-inf")))))
+    at = F.col("__at").cast("int")
+    low, high = F.get(_int_constant(below), at), F.get(_int_constant(upto), at)
+    value = F.get(F.from_json(F.lit(json.dumps([None, *values])), "array<double>"), at)
+    # Bucket 0 lies before all values: only null boundaries can be at or before its rows.
+    same = F.when(at == 0, F.col("__first") == float("-inf")).otherwise(F.col("__first") == value)
+    chunk = F.when(same, _search(borders, position.row, low, high, widest)).otherwise(high)
+    return lookup.transform(named).select(*df.columns, chunk.alias(_CHUNK))
+
+
+def _search(borders: Column, me: Column, low: Column, high: Column, widest: int) -> Column:
+    """Number of boundaries <= ``me``, known to lie in [low, high]."""
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-        right = F.get(F.col(_RANGES), mid) <= me
         return (
             F.when(acc["lo"] >= acc["hi"], acc)
-            .when(right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
-            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+            .when(
+                F.get(borders, mid) <= acc["me"],
+                F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"), acc["me"].alias("me")),
+            )
+            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"), acc["me"].alias("me")))
         )
 
-    chunk = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, halve)["lo"]
-    return df.crossJoin(F.broadcast(table)).select(*df.columns, chunk.alias(_CHUNK))
+    start = F.struct(low.alias("lo"), high.alias("hi"), me.alias("me"))
+    steps = F.array(*[F.lit(i) for i in range(widest.bit_length())])
+    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
 
 
 def _only_crossing_keys(df: DataFrame, spec: SeriesSpec, ranges: list, upper: bool) -> DataFrame:
     """Rows whose key goes on into the next (``upper``) or began in an earlier chunk."""
-    keys = list(spec.partition_by)
-    fields = T.StructType(_position_type(df, spec).fields[: len(keys)])
-    at = [tuple(r[k] for k in keys) for r in ranges]
-    table = df.sparkSession.createDataFrame(
-        [(at,)], T.StructType([T.StructField("__keys", T.ArrayType(fields))])
-    )
-    edge = F.get(F.col("__keys"), F.col(_CHUNK) if upper else F.col(_CHUNK) - 1)
-    hit = edge.isNotNull()
-    for k, here in zip(keys, _position(df, spec)):
-        hit = hit & here.eqNullSafe(edge[k])
-    return df.crossJoin(F.broadcast(table)).where(hit).select(*df.columns)
+    position = _Position(df, spec)
+    here = F.col(_CHUNK) if upper else F.col(_CHUNK) - 1
+    return df.where(position.crosses(F.get(position.constant(ranges), here)))
 
 
 def _edge_rows(narrow: DataFrame, spec: SeriesSpec, ranges: list, reach: int, last: bool) -> dict:
-    """Per chunk, the ``reach``-th row from its end (start) among the crossing key."""
+    """Per chunk, the ``reach``-th row from its end (start) of the crossing key, and how many
+    such rows there are up to ``reach``. Only ``reach`` rows per chunk and task are shuffled.
+    """
     rows = narrow
     if spec.partition_by:
         rows = _only_crossing_keys(narrow, spec, ranges, upper=last)
     order = [F.col(c).desc() if last else F.col(c).asc() for c in spec.order_by]
     w = Window.partitionBy(_CHUNK).orderBy(*order)
     near = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= reach)
-    me = F.struct(*_position(narrow, spec))
-    found = near.groupBy(_CHUNK).agg((F.min(me) if last else F.max(me)).alias("edge")).collect()
-    return {r[_CHUNK]: r["edge"] for r in found}
-
+    me = _Position(narrow, spec).row
+    edge = (F.min(me) if last else F.max(me)).alias("edge")
+    found = near.groupBy(_CHUNK).agg(edge, F.count(F.lit(1)).alias("n")).collect()
+    return {r[_CHUNK]: (tuple(r["edge"]), r["n"]) for r in found}

@@ -12,38 +12,24 @@ from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 def autocorrelation(df: DataFrame, col: str, spec: SeriesSpec, max_lag: int = 24) -> DataFrame:
     """(keys..., lag, autocorrelation) for lag 1..max_lag over complete pairs.
 
-    All lags come from one window stage and one aggregate; null with one pair or none, or
-    when a side is constant.
+    All lags come from one window stage. Each row is then one (lag, pair) entry per lag and
+    the entries are summed map-side, so only one row per lag and task is shuffled. Null with
+    one pair or none, or when a side is constant.
     """
     keys = list(spec.partition_by)
     names = [f"__l{k}" for k in range(1, max_lag + 1)]
     narrow = df.select(*spec.columns, F.col(col).cast("double").alias("__x"))
     ops = [o.lag("__x", k + 1, n) for k, n in enumerate(names)]
     lagged = OrderedFrame(narrow, spec).with_ops(ops).df
-    aggs = []
-    for n in names:
-        x = F.when(F.col(n).isNotNull(), F.col("__x"))
-        y = F.when(F.col("__x").isNotNull(), F.col(n))
-        aggs += [
-            F.covar_pop(x, y).alias(f"{n}_c"),
-            F.stddev_pop(x).alias(f"{n}_a"),
-            F.stddev_pop(y).alias(f"{n}_b"),
-            F.count_if(x.isNotNull() & y.isNotNull()).alias(f"{n}_n"),
-        ]
-    wide = lagged.groupBy(*keys).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(k + 1).alias("lag"),
-                F.when(
-                    F.col(f"{n}_n") > 1,
-                    F.try_divide(F.col(f"{n}_c"), F.col(f"{n}_a") * F.col(f"{n}_b")),
-                ).alias("autocorrelation"),
-            )
-            for k, n in enumerate(names)
-        ]
+    entries = F.array(*[F.struct(F.lit(k + 1).alias("lag"), F.col(n).alias("__y")) for k, n in enumerate(names)])
+    pairs = lagged.select(*keys, "__x", F.inline(entries))
+    both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    x, y = F.when(both, F.col("__x")), F.when(both, F.col("__y"))
+    wide = pairs.groupBy(*keys, "lag").agg(
+        F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("a"), F.stddev_pop(y).alias("b"), F.count_if(both).alias("n")
     )
-    return wide.select(*keys, F.inline(rows))
+    r = F.when(F.col("n") > 1, F.try_divide("c", F.col("a") * F.col("b")))
+    return wide.select(*keys, "lag", r.alias("autocorrelation"))
 
 
 def top_autocorrelation(ac: DataFrame, n: int = 10) -> DataFrame:
