@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandspark.operators import calendar as kal
 from demandspark.operators.ordered import SeriesSpec
+from demandspark.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,7 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.read_parquet(spark, f"{sf_dir}/{name}.parquet")
+
+
+def wide(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """A table (its ``cols``) for CPU-heavy scans: on all cores even if it is one file."""
+    df = table(spark, sf_dir, name)
+    return io.spread(df.select(*cols) if cols else df)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,14 +115,25 @@ hourly as (
 
 
 def r(expr: str, digits: int = 2) -> str:
-    """SQL text of the library's rounding rule."""
+    """SQL text of rounding half up."""
     s = f"{10**digits}e0"
     return f"(floor(({expr})*{s}+0.5e0)/{s})"
 
 
-def r2(expr: str) -> str:
-    return r(expr, 2)
-
-
 def r6(expr: str) -> str:
     return r(expr, 6)
+
+
+def r2(expr: str) -> str:
+    """SQL text of rounding at 2 decimals by exact binary value, ties to even."""
+    x = f"cast({expr} as double)"
+    a = f"abs({x})"
+    c = f"floor({a}*100e0+0.5e0)"
+    hi = f"({a}*134217729e0-({a}*134217729e0-{a}))"
+    over = f"((200e0*{hi}-(2e0*{c}-1e0))+200e0*({a}-{hi}))"
+    return f"(sign({x})*({c}-case when {over} > 0 then 0 when {over} < 0 then 1 else {c}%2 end)/100e0+0e0)"
+
+
+def rp(expr: str) -> str:
+    """SQL text of rounding the product with 100, ties to even."""
+    return f"(round_even(({expr})*100e0, 0)/100e0)"

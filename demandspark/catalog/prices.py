@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandspark.catalog.base import HOURLY, HOURLY_CTE, hourly, query, r2
+from demandspark.catalog.base import HOURLY, HOURLY_CTE, hourly, query, r, r2, rp
 from demandspark.config import BusinessConfig
 from demandspark.functions import pricing as rules
 from demandspark.functions.numeric import clip
@@ -19,7 +19,7 @@ DEMAND_SCALE = 40
 
 TEMP_C = "(temp*47e0 + -8e0)"
 WIND = "(windspeed*0.8507e0)"
-T2, H2, W2 = r2(TEMP_C), r2("hum"), r2(WIND)
+T2, H2, W2 = rp(TEMP_C), rp("hum"), rp(WIND)
 TEMP_CLASS = f"""cast(case when {T2} < 0 or {T2} > 35 then 4
   when {T2} between 0 and 9 or {T2} between 30 and 35 then 3
   when {T2} between 21 and 29 then 2 when {T2} between 10 and 20 then 1 else 4 end as tinyint)"""
@@ -46,7 +46,7 @@ NORMS = {
     "cnt": "least(coalesce(cnt,200)/1000e0, 1e0)",
 }
 SCORE = "0e0" + "".join(f" + ({NORMS[k]})*{w}e0" for k, w in rules.COMPETITOR_WEIGHTS.items())
-COMP_PRICE = r2(
+COMP_PRICE = r(
     f"least(greatest(3099.99e0 + ({SCORE})*(6250.50e0-3099.99e0), 3099.99e0), 6250.50e0)"
 )
 TIME = """case when hr in (7,8,9,16,17,18) then 1.48e0

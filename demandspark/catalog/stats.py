@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandspark.catalog.base import HOURLY_CTE, hourly, query, r, r2, r6, table
+from demandspark.catalog.base import HOURLY_CTE, hourly, query, r, r2, r6, table, wide
 from demandspark.functions.numeric import round6, strength_label
 from demandspark.operators import explore as ex
 from demandspark.operators import profile as pf
@@ -125,7 +125,7 @@ def _mode_text(df):
 
 @query("v08_numeric_summary", union(numeric_sql("lineitem", c) for c in LI_ALL_NUM))
 def _numeric(spark, sf):
-    return _mode_text(pf.numeric_summary(table(spark, sf, "lineitem")))
+    return _mode_text(pf.numeric_summary(wide(spark, sf, "lineitem")))
 
 
 @query("v08_numeric_summary_nulls", union(numeric_sql(EV_SPARSE, c) for c in EV_NUM))
@@ -289,7 +289,7 @@ def corr_sql(source: str, cols) -> str:
 
 @query("e05_pearson", corr_sql("lineitem", LI_ALL_NUM))
 def _pearson(spark, sf):
-    return ex.pearson_matrix(table(spark, sf, "lineitem")).withColumn("r", round6(F.col("r")))
+    return ex.pearson_matrix(wide(spark, sf, "lineitem", *LI_ALL_NUM)).withColumn("r", round6(F.col("r")))
 
 
 @query(
@@ -350,7 +350,7 @@ LABEL_SQL = """case when r > 0 then 'positive' else 'negative' end || '_' || cas
 
 @query("e09_strength_labels", f"with c as ({corr_sql('lineitem', LI_ALL_NUM)}) select a, b, {LABEL_SQL} as label from c")
 def _labels(spark, sf):
-    out = ex.pearson_matrix(table(spark, sf, "lineitem"))
+    out = ex.pearson_matrix(wide(spark, sf, "lineitem", *LI_ALL_NUM))
     return out.select("a", "b", strength_label(round6(F.col("r"))).alias("label"))
 
 
@@ -361,8 +361,8 @@ def group_sql(source: str, by: str, cols) -> str:
     parts = []
     for c in cols:
         parts.append(
-            f"count({c}) as {c}_count, {r2(f'avg({c})')} as {c}_mean, {r2(f'median({c})')} as {c}_median, "
-            f"{r2(f'stddev({c})')} as {c}_std, min({c}) as {c}_min, max({c}) as {c}_max"
+            f"count({c}) as {c}_count, {r(f'avg({c})')} as {c}_mean, {r(f'median({c})')} as {c}_median, "
+            f"{r(f'stddev({c})')} as {c}_std, min({c}) as {c}_min, max({c}) as {c}_max"
         )
     return f"select {by}, {', '.join(parts)} from {source} group by {by}"
 
@@ -438,7 +438,7 @@ def _box_group(spark, sf):
     ),
 )
 def _scatter(spark, sf):
-    return ex.outlier_rows(table(spark, sf, "lineitem"), ["l_extendedprice", "l_tax"])
+    return ex.outlier_rows(wide(spark, sf, "lineitem", "l_extendedprice", "l_tax"))
 
 
 @query(

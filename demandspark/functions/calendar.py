@@ -98,5 +98,24 @@ def holiday_name(day: Column) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def _fixed_date(day: Column) -> Column:
+    """The date itself is a fixed-date holiday."""
+    code = F.month(day) * 100 + F.dayofmonth(day)
+    by_start: dict[int, list[int]] = {}
+    for _, month, dom, since in FIXED_DATE_HOLIDAYS:
+        by_start.setdefault(since, []).append(month * 100 + dom)
+    out = F.lit(False)
+    for since, codes in by_start.items():
+        out = out | (code.isin(*codes) & (F.year(day) >= since))
+    return out
+
+
 def holiday_flag(day: Column) -> Column:
-    return F.when(holiday_name(day).isNotNull(), 1).otherwise(0).cast("bigint")
+    """1 on a federal holiday or its observed day, else 0; shorter than naming it."""
+    weekday = F.weekday(day)
+    # Only a Friday or a Monday can be the observed day of a neighbour.
+    neighbour = F.when(weekday == 4, F.date_add(day, 1)).when(weekday == 0, F.date_sub(day, 1))
+    hit = _fixed_date(day) | F.coalesce(_fixed_date(neighbour), F.lit(False))
+    for _, month, wd, nth, since in WEEKDAY_HOLIDAYS:
+        hit = hit | (_nth_weekday(day, month, wd, nth) & (F.year(day) >= since))
+    return F.when(hit, 1).otherwise(0).cast("bigint")

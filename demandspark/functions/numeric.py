@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # From 2**53 / 100 on, a double has no cents to round; also keeps floor() inside bigint.
 _ROUND_LIMIT = 9.0e13
+_SPLIT = 134217729.0  # 2**27 + 1: splits a double into two halves of 26 bits
 
 
-def round_to(x: Column, digits: int) -> Column:
-    """Round half up at ``digits`` decimals: floor(x * 10^d + 0.5) / 10^d.
+def round_half_up(x: Column, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d, the rule of column expressions.
 
-    One rule for the whole library, because the engines' own ``round`` disagree on
-    tie-like doubles. Values too large to have decimals, NaN and infinities pass.
+    Values too large to have decimals, NaN and infinities pass.
     """
     scale = float(10**digits)
     x = x.cast("double")
@@ -23,12 +23,31 @@ def round_to(x: Column, digits: int) -> Column:
     ).otherwise(x)
 
 
+def round_product(x: Column, digits: int = 2) -> Column:
+    """rint(x * 10^d) / 10^d, the rule of array libraries: ties of the product go to even."""
+    scale = F.lit(float(10**digits))
+    return F.rint(x.cast("double") * scale) / scale
+
+
 def round2(x: Column) -> Column:
-    return round_to(x, 2)
+    """Round at 2 decimals by the exact binary value, ties to even, as Python's ``round``.
+
+    3550.5 * 0.91 lies a hair below 3230.955 and gives 3230.95; multiplying by 100 first
+    would hide that. The candidate from floor() is compared with the exact 200 * x, built
+    from two halves of x whose products have no rounding error. Uses ``x`` several times:
+    pass a column rather than a long expression.
+    """
+    x = x.cast("double")
+    a = F.abs(x)
+    c = F.floor(a * F.lit(100.0) + F.lit(0.5)).cast("double")
+    hi = a * F.lit(_SPLIT) - (a * F.lit(_SPLIT) - a)
+    over = (F.lit(200.0) * hi - (F.lit(2.0) * c - F.lit(1.0))) + F.lit(200.0) * (a - hi)
+    cents = c - F.when(over > 0, F.lit(0.0)).when(over < 0, F.lit(1.0)).otherwise(c % 2)
+    return F.when(a < F.lit(_ROUND_LIMIT), F.signum(x) * cents / F.lit(100.0) + F.lit(0.0)).otherwise(x)
 
 
 def round6(x: Column) -> Column:
-    return round_to(x, 6)
+    return round_half_up(x, 6)
 
 
 def clip(x: Column, lo: float | Column | None = None, hi: float | Column | None = None) -> Column:

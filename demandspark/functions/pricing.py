@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from demandspark.config import BusinessConfig
-from demandspark.functions.numeric import clip, round2
+from demandspark.functions.numeric import clip, round2, round_half_up, round_product
 
 # Unit ranges of the normalised weather inputs.
 TEMP_MIN, TEMP_MAX = -8.0, 39.0
@@ -80,7 +80,7 @@ def _classes(x: Column, rules: list[tuple[Column, int]], default: int) -> Column
 
 def temperature_class(temp_c: Column) -> Column:
     """1 (best) .. 4; values in the gaps between bands fall to 4."""
-    x = round2(temp_c)
+    x = round_product(temp_c)
     return _classes(
         x,
         [
@@ -94,7 +94,7 @@ def temperature_class(temp_c: Column) -> Column:
 
 
 def humidity_class(hum: Column) -> Column:
-    x = round2(hum)
+    x = round_product(hum)
     return _classes(
         x,
         [
@@ -109,7 +109,7 @@ def humidity_class(hum: Column) -> Column:
 
 def wind_class(wind: Column) -> Column:
     """Gaps and negative speeds count as class 1."""
-    x = round2(wind)
+    x = round_product(wind)
     return _classes(
         x, [(x > 50, 4), (x.between(26, 50), 3), (x.between(16, 25), 2)], default=1
     )
@@ -228,7 +228,7 @@ def competitor_price(
 ) -> Column:
     """Score mapped onto the competitor's price range."""
     raw = F.lit(min_price) + competitor_score(weights) * F.lit(max_price - min_price)
-    return round2(clip(raw, min_price, max_price))
+    return round_half_up(clip(raw, min_price, max_price), 2)
 
 
 def rule_errors(cfg: BusinessConfig) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandspark.functions.numeric import percent_change, round2, round_to
+from demandspark.functions.numeric import percent_change, round2, round_half_up
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec, lag
 
 METRICS = ["MAE", "RMSE", "MAPE", "Adjusted_R2"]
@@ -111,7 +111,7 @@ def importance_share(scores: DataFrame, features: DataFrame, digits: int | None
     """
     total = scores.agg(F.sum("importance")).first()[0]
     share = F.col("importance") / F.lit(float(total)) if total else F.lit(None).cast("double")
-    share = round_to(share, digits) if digits is not None else share
+    share = round_half_up(share, digits) if digits is not None else share
     return features.join(scores, "feature", "left").select(
         "feature", F.coalesce(share, F.lit(0.0)).alias("importance")
     )
@@ -148,5 +148,5 @@ def trial_states(trials: DataFrame) -> DataFrame:
     """(state, trials, share_pct): counts by state and their share, 1 dp."""
     n = trials.count()
     return trials.groupBy("state").agg(F.count(F.lit(1)).alias("trials")).withColumn(
-        "share_pct", round_to(F.col("trials") / F.lit(float(max(n, 1))) * F.lit(100.0), 1)
+        "share_pct", round_half_up(F.col("trials") / F.lit(float(max(n, 1))) * F.lit(100.0), 1)
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.functions.numeric import round2, round_to
+from demandspark.functions.numeric import round2, round_half_up
 from demandspark.operators import columns as sel
 from demandspark.operators import profile as prof
 from demandspark.operators.quantiles import (
@@ -40,6 +40,7 @@ class Bounds:
 
     low: float | None
     high: float | None
+    iqr: float | None = None
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, Bounds]:
@@ -51,7 +52,8 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, Bounds]:
         if q1 is None:
             out[c] = Bounds(None, None)
         else:
-            out[c] = Bounds(q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
+            iqr = q3 - q1
+            out[c] = Bounds(q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr, iqr)
     return out
 
 
@@ -124,26 +126,26 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     The outlier values themselves are rows of :func:`outlier_rows`, not a list in a cell.
     """
     cols = sel.pick(sel.numeric_columns(df), cols)
-    base = prof.numeric_summary(df, cols)
-    quart = exact_quantiles(df, cols, [0.25, 0.75], "nearest")
+    base = prof.numeric_summary(df, cols, shape=True)
+    if not cols:
+        return base
+    bounds, scales = iqr_bounds(df, cols), z_scales(df, cols)
+    x = {c: F.col(c).cast("double") for c in cols}
     counted = df.agg(
-        *[F.count_if(f).alias(f"{c}__iqr") for c, f in outlier_flags(df, cols, "iqr").items()],
-        *[F.count_if(f).alias(f"{c}__z") for c, f in outlier_flags(df, cols, "zscore").items()],
+        *[F.count_if(iqr_flag(x[c], bounds[c])).alias(f"{c}__iqr") for c in cols],
+        *[F.count_if(z_flag(x[c], scales[c])).alias(f"{c}__z") for c in cols],
     )
     entries = [
         F.struct(
             F.lit(c).alias("column"),
-            round2(F.lit(None if quart[c][0] is None else quart[c][1] - quart[c][0])).alias("iqr_value"),
+            round2(F.lit(bounds[c].iqr)).alias("iqr_value"),
             F.col(f"{c}__iqr").alias("outlier_count_iqr"),
             F.col(f"{c}__z").alias("outlier_count_zscore"),
         )
         for c in cols
     ]
-    extra = counted.select(F.inline(F.array(*entries)))
-    form = prof.moments(df, cols).select(
-        "column", round2(F.col("skewness")).alias("skewness"), round2(F.col("kurtosis")).alias("kurtosis")
-    )
-    return base.join(F.broadcast(extra), "column").join(F.broadcast(form), "column")
+    # Both sides have one row per column.
+    return base.join(F.broadcast(counted.select(F.inline(F.array(*entries)))), "column")
 
 
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -164,7 +166,7 @@ def category_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """
     cols = sel.pick(sel.string_columns(df) + sel.boolean_columns(df), cols)
     n = df.count()
-    share = round_to(F.col("n") / F.lit(float(max(n, 1))) * F.lit(100.0), 1)
+    share = round_half_up(F.col("n") / F.lit(float(max(n, 1))) * F.lit(100.0), 1)
     return value_counts(df, cols, "string").select("column", "value", share.alias("share"))
 
 
@@ -172,7 +174,7 @@ def category_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, nulls: str = "propagate") -> DataFrame:
-    """(a, b, r) for every ordered pair of numeric columns, from one aggregate.
+    """(a, b, r) for every ordered pair of numeric columns, in one pass.
 
     A constant column gives null. ``propagate``: a column with a null gives null;
     ``pairwise``: each pair uses the rows where both are present.
@@ -182,36 +184,40 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, nulls: str
         raise ValueError("at least two numeric columns are required")
     if nulls not in ("propagate", "pairwise"):
         raise ValueError("nulls must be 'propagate' or 'pairwise'")
-    wide = df.agg(*_pair_aggs(cols, nulls))
-    entries = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = _pair_r(min(i, j), max(i, j), nulls)
-            entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-    return wide.select(F.inline(F.array(*entries)))
+    x = [F.col(c).cast("double") for c in cols]
+    entries = F.array(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), x[i].alias("x"), x[j].alias("y"))
+            for i, a in enumerate(cols)
+            for j, b in enumerate(cols)
+            if i <= j
+        ]
+    )
+    pairs = _pair_correlation(df.select(F.inline(entries)), ["a", "b"], nulls)
+    r = F.when((F.col("a") == F.col("b")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r"))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    # The small result, mirrored.
+    out = pairs.select(F.explode(F.array_distinct(both)).alias("p"), r.alias("r"))
+    return out.select("p.a", "p.b", "r")
 
 
-def _pair_aggs(cols: Sequence[str], nulls: str) -> list[Column]:
-    x = [F.col(c).cast("double") for c in cols]
-    aggs = []
-    for i in range(len(cols)):
-        aggs += [F.count_if(x[i].isNull()).alias(f"n{i}"), F.stddev_pop(x[i]).alias(f"s{i}")]
-        for j in range(i + 1, len(cols)):
-            aggs.append(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}"))
-            if nulls == "pairwise":
-                aggs.append(F.stddev_pop(F.when(x[j].isNotNull(), x[i])).alias(f"a{i}_{j}"))
-                aggs.append(F.stddev_pop(F.when(x[i].isNotNull(), x[j])).alias(f"b{i}_{j}"))
-    return aggs
-
-
-def _pair_r(i: int, j: int, nulls: str) -> Column:
-    if i == j:
-        r = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
-    elif nulls == "pairwise":
-        return F.try_divide(F.col(f"c{i}_{j}"), F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}"))
-    else:
-        r = F.try_divide(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}"))
-    return F.when((F.col(f"n{i}") == 0) & (F.col(f"n{j}") == 0), r) if nulls == "propagate" else r
+def _pair_correlation(pairs: DataFrame, by: Sequence[str], nulls: str) -> DataFrame:
+    """(by..., r) from entries (by..., x, y), summed map-side: one row per pair is shuffled.
+
+    Moments are combined by hand because ``corr`` raises on a constant side.
+    """
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    sums = pairs.groupBy(*by).agg(
+        F.covar_pop(x, y).alias("c"),
+        F.stddev_pop(x).alias("sx"),
+        F.stddev_pop(y).alias("sy"),
+        F.count_if(~both).alias("gaps"),
+    )
+    r = F.try_divide("c", F.col("sx") * F.col("sy"))
+    if nulls == "propagate":
+        r = F.when(F.col("gaps") == 0, r)
+    return sums.select(*by, r.alias("r"))
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -274,26 +280,11 @@ def target_correlations(df: DataFrame, target: str) -> DataFrame:
     if target not in cols:
         raise ValueError(f"target {target!r} must be a numeric column")
     others = [c for c in cols if c != target]
-    t = F.col(target).cast("double")
-    aggs = [F.count_if(t.isNull()).alias("nt"), F.stddev_pop(t).alias("st")]
-    for i, c in enumerate(others):
-        x = F.col(c).cast("double")
-        aggs += [
-            F.covar_pop(x, t).alias(f"c{i}"),
-            F.stddev_pop(x).alias(f"s{i}"),
-            F.count_if(x.isNull()).alias(f"n{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.when(
-                (F.col("nt") == 0) & (F.col(f"n{i}") == 0),
-                F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col("st")),
-            ).alias("r"),
-        )
-        for i, c in enumerate(others)
-    ]
-    rows = df.agg(*aggs).select(F.inline(F.array(*entries)))
+    y = F.col(target).cast("double").alias("y")
+    entries = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), y) for c in others]
+    )
+    rows = _pair_correlation(df.select(F.inline(entries)), ["feature"], "propagate")
     return rows.where(F.col("r").isNull() | (F.col("r") != 1.0)).orderBy(F.desc_nulls_last("r"), "feature")
 
 
@@ -317,15 +308,15 @@ def group_analysis(df: DataFrame, by: str, cols: Sequence[str] | None = None) ->
     for c in cols:
         aggs += [
             F.count(c).alias(f"{c}_count"),
-            round2(F.avg(c)).alias(f"{c}_mean"),
-            round2(F.stddev(c)).alias(f"{c}_std"),
+            round_half_up(F.avg(c), 2).alias(f"{c}_mean"),
+            round_half_up(F.stddev(c), 2).alias(f"{c}_std"),
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
         ]
     base = df.groupBy(by).agg(*aggs)
     med = grouped_quantiles(df.select(by, *cols), cols, {"median": 0.5}, [by])
     wide = med.groupBy(F.col(by).alias("__g")).agg(
-        *[round2(F.max(F.when(F.col("column") == c, F.col("median")))).alias(f"{c}_median") for c in cols]
+        *[round_half_up(F.max(F.when(F.col("column") == c, F.col("median"))), 2).alias(f"{c}_median") for c in cols]
     )
     out = base.join(wide, F.col(by).eqNullSafe(F.col("__g")), "left")
     return out.select(by, *[f"{c}_{s}" for c in cols for s in GROUP_STATS])

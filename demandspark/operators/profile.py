@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from demandspark.functions.numeric import round2
 from demandspark.operators import columns as sel
-from demandspark.operators.quantiles import exact_quantiles, top_values, value_counts
+from demandspark.operators.quantiles import exact_quantiles, melt, top_values, value_counts
 
 TOP_MODES = 5
 TOP_VALUES = 10
@@ -145,40 +145,34 @@ def modes(counts: DataFrame) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, mean, std, variance, min, max, count, missing, skewness, kurtosis), unrounded."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev(x).alias(f"{c}__std"),
-            F.variance(x).alias(f"{c}__var"),
-            F.min(x).alias(f"{c}__min"),
-            F.max(x).alias(f"{c}__max"),
-            F.count(x).alias(f"{c}__n"),
-            F.skewness(x).alias(f"{c}__skew"),
-            F.kurtosis(x).alias(f"{c}__kurt"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col("__rows").alias("rows"),
-            F.col(f"{c}__mean").alias("mean"),
-            F.col(f"{c}__std").alias("std"),
-            F.col(f"{c}__var").alias("variance"),
-            F.col(f"{c}__min").alias("min"),
-            F.col(f"{c}__max").alias("max"),
-            F.col(f"{c}__n").alias("count"),
-            F.col(f"{c}__skew").alias("skewness"),
-            F.col(f"{c}__kurt").alias("kurtosis"),
+    """(column, rows, mean, std, variance, min, max, count, skewness, kurtosis), unrounded.
+
+    Columns become (column, value) entries that are summed map-side: the generated code
+    stays small however many columns there are, and one row per column is shuffled.
+    """
+    x = F.col("value")
+    return (
+        melt(df, cols, "double")
+        .groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.avg(x).alias("mean"),
+            F.stddev(x).alias("std"),
+            F.variance(x).alias("variance"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+            F.count(x).alias("count"),
+            F.skewness(x).alias("skewness"),
+            F.kurtosis(x).alias("kurtosis"),
         )
-        for c in cols
-    ]
-    return _rows(df.agg(*aggs), entries)
+    )
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column; ``missing_pct`` is a fraction here. Empty table: no rows."""
+def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, shape: bool = False) -> DataFrame:
+    """One row per numeric column; ``missing_pct`` is a fraction here. Empty table: no rows.
+
+    ``shape`` adds skewness and (excess) kurtosis.
+    """
     cols = sel.pick(sel.numeric_columns(df), cols)
     if not cols:
         return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
@@ -186,7 +180,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     counts = value_counts(df, cols)
     unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
     median = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(medians[c][0]).cast("double"))])
-    base = moments(df, cols).where(F.col("rows") > 0)
+    base = moments(df, cols)
     missing = F.col("rows") - F.col("count")
     # Joins of tables with one row per column.
     out = base.join(F.broadcast(unique), "column").join(F.broadcast(modes(counts)), "column", "left")
@@ -204,6 +198,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         missing.alias("missing_values"),
         round2(missing / F.col("rows")).alias("missing_pct"),
         "unique_values",
+        *([round2(F.col(c)).alias(c) for c in ("skewness", "kurtosis")] if shape else []),
     )
 
 

@@ -1,8 +1,8 @@
 """Exact order statistics that do not need a sort of the table or one big buffer.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task. Above
-``max_rows`` the value at a rank is found in two scans instead: a sketch brackets the
-rank, then only the values inside the bracket are counted.
+Spark's exact ``percentile`` keeps every distinct value of a group in one task. It is used
+only for small tables; above, the value at a rank is found in a few scans: a sketch
+brackets the rank, then only the values inside the bracket are counted.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 from demandspark.session import materialize
 
 MAX_ROWS = 4_000_000  # values one task may hold
+FAST_CELLS = 8_000_000  # values (over all columns) that one aggregate may keep
 SKETCH_ACCURACY = 10_000
-BRACKET_ROWS = 1_000_000
 
 
 def nearest_rank(q: float, n: int) -> int:
@@ -67,6 +67,11 @@ def values_at_ranks(
     df: DataFrame, wanted: dict[str, set[int]], counts: dict[str, int], max_rows: int = MAX_ROWS
 ) -> dict[str, dict[int, float]]:
     """Values (as double) at 0-based ascending ranks of each column's non-null values."""
+    cells = sum(counts[c] for c in wanted if wanted[c])
+    if cells <= FAST_CELLS and max_rows >= MAX_ROWS:
+        quick = _small_values(df, wanted, counts)
+        if quick is not None:
+            return quick
     out: dict[str, dict[int, float]] = {c: {} for c in wanted}
     # Brackets: (column, rank, low, high, rows up to low, rows inside); bounds exclusive,
     # None = unbounded; 0 rows inside = low is the answer, -1 = count whatever is inside.
@@ -80,6 +85,32 @@ def values_at_ranks(
     return out
 
 
+def _fraction(rank: int, n: int) -> float | None:
+    """A p with p * (n - 1) == rank in double arithmetic, so nothing is interpolated."""
+    p = rank / (n - 1) if n > 1 else 0.0
+    for q in (p, math.nextafter(p, 2.0), math.nextafter(p, -1.0)):
+        if 0.0 <= q <= 1.0 and q * (n - 1) == rank:
+            return q
+    return None
+
+
+def _small_values(df: DataFrame, wanted: dict, counts: dict) -> dict[str, dict[int, float]] | None:
+    """One aggregate for tables whose distinct values fit a task; None if a rank has no
+    exact fraction."""
+    plan = {c: [(r, _fraction(r, counts[c])) for r in sorted(ranks)] for c, ranks in wanted.items() if ranks}
+    if any(p is None for pairs in plan.values() for _, p in pairs):
+        return None
+    if not plan:
+        return {c: {} for c in wanted}
+    aggs = [
+        F.percentile(F.col(c).cast("double"), [p for _, p in pairs]).alias(f"q{i}")
+        for i, (c, pairs) in enumerate(plan.items())
+    ]
+    row = df.agg(*aggs).first()
+    found = {c: dict(zip([r for r, _ in pairs], row[f"q{i}"])) for i, (c, pairs) in enumerate(plan.items())}
+    return {c: found.get(c, {}) for c in wanted}
+
+
 def _inside(c: str, lo, hi):
     x = F.col(c).cast("double")
     cond = x.isNotNull()

@@ -85,23 +85,22 @@ def price_table(
         out = add_competitor_price(out, cfg.min_competitor_price, cfg.max_competitor_price)
     out = add_weather_factor(out)
     util = rules.utilization(c("demand"), cfg.max_capacity)
-    out = out.withColumn(
-        "elasticity",
-        rules.dynamic_elasticity(lit(base_elasticity, cfg.base_elasticity), util, c("weather_factor")),
+    # One column per rounded step: the next step then refers to it instead of repeating it.
+    out = out.withColumns(
+        {
+            "elasticity": rules.dynamic_elasticity(lit(base_elasticity, cfg.base_elasticity), util, c("weather_factor")),
+            "competitor_factor": rules.competitor_factor(c("base_price"), c("competitor_price")),
+        }
     )
     out = out.withColumn(
         "price_multiplier",
-        rules.price_multiplier(
-            rules.competitor_factor(c("base_price"), c("competitor_price")),
-            util,
-            rules.time_factor(c("hr")),
-            c("elasticity"),
-        ),
+        rules.price_multiplier(c("competitor_factor"), util, rules.time_factor(c("hr")), c("elasticity")),
     )
     out = out.withColumn(
         "price", rules.final_price(c("base_price"), c("price_multiplier"), cfg.min_price, cfg.max_price)
     )
-    delta = rules.price_delta(c("price"), c("base_price"))
+    out = out.withColumn("__delta", rules.price_delta(c("price"), c("base_price")))
+    delta = c("__delta")
     out = out.withColumns(
         {
             "surge": F.when(delta > 0, delta).when(delta.isNotNull(), F.lit(0.0)),

@@ -18,6 +18,9 @@ def get_session(app: str = "demandspark", cpus: int | str = "*", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # HotSpot does not compile methods above 8000 bytes of bytecode: long rule chains
+        # run faster as separately compiled projections than as one interpreted stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
