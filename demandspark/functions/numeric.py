@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # From 2**53 / 100 on, a double has no cents to round; also keeps floor() inside bigint.
@@ -46,6 +46,17 @@ def round2(x: Column) -> Column:
     return F.when(a < F.lit(_ROUND_LIMIT), F.signum(x) * cents / F.lit(100.0) + F.lit(0.0)).otherwise(x)
 
 
+def with_rounded(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns rounded by :func:`round2`.
+
+    The values become columns first, so the rounding refers to them by name instead of
+    repeating their expressions; plans stay small however long the rules are.
+    """
+    raw = {f"__raw_{n}": c.cast("double") for n, c in cols.items()}
+    out = df.withColumns(raw).withColumns({n: round2(F.col(f"__raw_{n}")) for n in cols})
+    return out.drop(*raw)
+
+
 def round6(x: Column) -> Column:
     return round_half_up(x, 6)
 

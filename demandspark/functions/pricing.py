@@ -127,8 +127,8 @@ def weather_columns(
     }
 
 
-def weather_factor(temp: Column, hum: Column, wind: Column, sit: Column) -> Column:
-    """Combined factor of four classes in 1..4; null when one is outside."""
+def weather_raw(temp: Column, hum: Column, wind: Column, sit: Column) -> Column:
+    """Combined weather value of four classes before rounding; null when one is outside 1..4."""
     w = WEATHER_WEIGHTS
     ok = temp.between(1, 4) & hum.between(1, 4) & wind.between(1, 4) & sit.between(1, 4)
     base = (
@@ -137,17 +137,28 @@ def weather_factor(temp: Column, hum: Column, wind: Column, sit: Column) -> Colu
         + F.lit(w["hum"]) * hum
         + F.lit(w["windspeed"]) * wind
     ) * (F.lit(w["weathersit"]) * sit)
-    return F.when(ok, round2(clip(base, *WEATHER_LIMITS)))
+    lo, hi = WEATHER_LIMITS
+    return F.when(ok, F.least(F.greatest(base, F.lit(lo)), F.lit(hi)))
 
 
-def dynamic_elasticity(
+def weather_factor(temp: Column, hum: Column, wind: Column, sit: Column) -> Column:
+    return round2(weather_raw(temp, hum, wind, sit))
+
+
+def elasticity_raw(
     base_elasticity: float | Column, utilization: Column, weather: Column | float = 1.0
 ) -> Column:
-    """Elasticity adjusted for utilisation (0..1, else null) and weather."""
     base = base_elasticity if isinstance(base_elasticity, Column) else F.lit(base_elasticity)
     weather = weather if isinstance(weather, Column) else F.lit(weather)
     value = base * (F.lit(ELASTICITY_ALPHA) * weather + (F.lit(1.0) - utilization))
-    return F.when(utilization.between(0.0, 1.0), round2(value))
+    return F.when(utilization.between(0.0, 1.0), value)
+
+
+def dynamic_elasticity(
+    base_elasticity: float | Column, utilization: Column, weather: Column | float = 1.0
+) -> Column:
+    """Elasticity adjusted for utilisation (0..1, else null) and weather."""
+    return round2(elasticity_raw(base_elasticity, utilization, weather))
 
 
 def time_factor(hour: Column) -> Column:
@@ -159,10 +170,14 @@ def time_factor(hour: Column) -> Column:
     )
 
 
-def competitor_factor(base_price: Column, competitor_price: Column) -> Column:
+def competitor_raw(base_price: Column, competitor_price: Column) -> Column:
     change = F.try_divide(base_price - competitor_price, base_price)
-    value = round2(F.lit(1.0) - F.lit(COMPETITOR_ALPHA) * change)
-    return F.when((competitor_price >= 0) & (base_price != 0), clip(value, *COMPETITOR_LIMITS))
+    return F.when(competitor_price >= 0, F.lit(1.0) - F.lit(COMPETITOR_ALPHA) * change)
+
+
+def competitor_factor(base_price: Column, competitor_price: Column) -> Column:
+    """Answer to the competitor's price; null at a base price of 0 or a negative price."""
+    return clip(round2(competitor_raw(base_price, competitor_price)), *COMPETITOR_LIMITS)
 
 
 def utilization(demand: Column, capacity: float | Column) -> Column:
@@ -170,19 +185,23 @@ def utilization(demand: Column, capacity: float | Column) -> Column:
     return F.try_divide(cap - (cap - demand), cap)
 
 
-def price_multiplier(
-    comp: Column, util: Column, time: Column, elasticity: Column
-) -> Column:
-    """k * competitor * surge * time / |elasticity|; null above capacity or at elasticity 0."""
+def multiplier_raw(comp: Column, util: Column, time: Column, elasticity: Column) -> Column:
     surge = F.lit(1.0) + F.lit(SURGE_K) * util
     value = F.lit(SURGE_K) * comp * surge * time * F.try_divide(F.lit(1.0), F.abs(elasticity))
-    return F.when(util <= 1.0, round2(value))
+    return F.when(util <= 1.0, value)
+
+
+def price_multiplier(comp: Column, util: Column, time: Column, elasticity: Column) -> Column:
+    """k * competitor * surge * time / |elasticity|; null above capacity or at elasticity 0."""
+    return round2(multiplier_raw(comp, util, time, elasticity))
+
+
+def price_raw(base_price: Column, multiplier: Column) -> Column:
+    return F.when((base_price >= 0) & (multiplier > 0), base_price * multiplier)
 
 
 def final_price(base_price: Column, multiplier: Column, lo: float, hi: float) -> Column:
-    return F.when(
-        (base_price >= 0) & (multiplier > 0), clip(round2(base_price * multiplier), lo, hi)
-    )
+    return clip(round2(price_raw(base_price, multiplier)), lo, hi)
 
 
 def price_delta(price: Column, base_price: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import BusinessConfig
 from demandspark.functions import pricing as rules
-from demandspark.functions.numeric import clip, round2
+from demandspark.functions.numeric import clip, round2, with_rounded
 
 PRICE_COLUMNS = [
     "base_price",
@@ -43,10 +43,9 @@ def add_competitor_price(
 def add_weather_factor(df: DataFrame) -> DataFrame:
     """Weather classes and their combined factor."""
     c = F.col
-    return df.withColumns(rules.weather_columns()).withColumn(
-        "weather_factor",
-        rules.weather_factor(c("temp_class"), c("hum_class"), c("wind_class"), c("weather_class")),
-    )
+    classed = df.withColumns(rules.weather_columns())
+    raw = rules.weather_raw(c("temp_class"), c("hum_class"), c("wind_class"), c("weather_class"))
+    return with_rounded(classed, {"weather_factor": raw})
 
 
 def price_table(
@@ -84,22 +83,23 @@ def price_table(
     if "competitor_price" not in df.columns:
         out = add_competitor_price(out, cfg.min_competitor_price, cfg.max_competitor_price)
     out = add_weather_factor(out)
-    util = rules.utilization(c("demand"), cfg.max_capacity)
-    # One column per rounded step: the next step then refers to it instead of repeating it.
-    out = out.withColumns(
+    out = out.withColumn("__util", rules.utilization(c("demand"), cfg.max_capacity))
+    base = c("base_price")
+    out = with_rounded(
+        out,
         {
-            "elasticity": rules.dynamic_elasticity(lit(base_elasticity, cfg.base_elasticity), util, c("weather_factor")),
-            "competitor_factor": rules.competitor_factor(c("base_price"), c("competitor_price")),
-        }
-    )
-    out = out.withColumn(
-        "price_multiplier",
-        rules.price_multiplier(c("competitor_factor"), util, rules.time_factor(c("hr")), c("elasticity")),
-    )
-    out = out.withColumn(
-        "price", rules.final_price(c("base_price"), c("price_multiplier"), cfg.min_price, cfg.max_price)
+            "elasticity": rules.elasticity_raw(
+                lit(base_elasticity, cfg.base_elasticity), c("__util"), c("weather_factor")
+            ),
+            "__comp": rules.competitor_raw(base, c("competitor_price")),
+        },
     )
-    out = out.withColumn("__delta", rules.price_delta(c("price"), c("base_price")))
+    comp = clip(c("__comp"), *rules.COMPETITOR_LIMITS)
+    raw = rules.multiplier_raw(comp, c("__util"), rules.time_factor(c("hr")), c("elasticity"))
+    out = with_rounded(out, {"price_multiplier": raw})
+    out = with_rounded(out, {"price": rules.price_raw(base, c("price_multiplier"))})
+    out = out.withColumn("price", clip(c("price"), cfg.min_price, cfg.max_price))
+    out = with_rounded(out, {"__delta": c("price") - base})
     delta = c("__delta")
     out = out.withColumns(
         {
