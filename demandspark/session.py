@@ -21,6 +21,9 @@ def get_session(app: str = "demandspark", cpus: int | str = "*", **conf: str) ->
         # HotSpot does not compile methods above 8000 bytes of bytecode: long rule chains
         # run faster as separately compiled projections than as one interpreted stage.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Call-site capture for every Column call doubles the time to build long plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
