@@ -252,11 +252,11 @@ def ext_sql(source: str, c: str) -> str:
     m = f"(select avg({x}) from {source})"
     m2, m3 = f"avg(({x}-{m})*({x}-{m}))", f"avg(({x}-{m})*({x}-{m})*({x}-{m}))"
     m4 = f"avg(({x}-{m})*({x}-{m})*({x}-{m})*({x}-{m}))"
-    return f"""select '{c}' as column,
-      {r2(f"{nearest_sql(source, c, 0.75)} - {nearest_sql(source, c, 0.25)}")} as iqr_value,
-      {r2(f"{m3}/pow({m2}, 1.5)")} as skewness, {r2(f"{m4}/({m2}*{m2}) - 3")} as kurtosis,
+    return f"""select '{c}' as column, {r2('q')} as iqr_value, {r2('s')} as skewness, {r2('k')} as kurtosis,
       (select count(*) from {source} where {iqr_sql(source, c)}) as outlier_count_iqr,
-      (select count(*) from {source} where {z_sql(source, c)}) as outlier_count_zscore, count({c}) as count from {source}"""
+      (select count(*) from {source} where {z_sql(source, c)}) as outlier_count_zscore, n as count
+      from (select {nearest_sql(source, c, 0.75)} - {nearest_sql(source, c, 0.25)} as q, {m3}/pow({m2}, 1.5) as s,
+        {m4}/({m2}*{m2}) - 3 as k, count({c}) as n from {source})"""
 
 
 @query("e03_numeric_summary", union(ext_sql("lineitem", c) for c in LI_NUM))
