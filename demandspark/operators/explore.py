@@ -18,6 +18,7 @@ from demandspark.operators import profile as prof
 from demandspark.operators.quantiles import (
     exact_quantiles,
     grouped_quantiles,
+    mixed_quantiles,
     ranked_counts,
     value_counts,
 )
@@ -46,15 +47,14 @@ class Bounds:
 def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, Bounds]:
     """Q1 - 1.5 IQR .. Q3 + 1.5 IQR with nearest-rank quartiles."""
     q = exact_quantiles(df, cols, [0.25, 0.75], "nearest")
-    out = {}
-    for c in cols:
-        q1, q3 = q[c]
-        if q1 is None:
-            out[c] = Bounds(None, None)
-        else:
-            iqr = q3 - q1
-            out[c] = Bounds(q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr, iqr)
-    return out
+    return {c: _bounds(*q[c]) for c in cols}
+
+
+def _bounds(q1: float | None, q3: float | None) -> Bounds:
+    if q1 is None:
+        return Bounds(None, None)
+    iqr = q3 - q1
+    return Bounds(q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr, iqr)
 
 
 @dataclass(frozen=True)
@@ -126,10 +126,11 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     The outlier values themselves are rows of :func:`outlier_rows`, not a list in a cell.
     """
     cols = sel.pick(sel.numeric_columns(df), cols)
-    base = prof.numeric_summary(df, cols, shape=True)
     if not cols:
-        return base
-    bounds, scales = iqr_bounds(df, cols), z_scales(df, cols)
+        return prof.numeric_summary(df, cols)
+    q = mixed_quantiles(df, cols, [(0.25, "nearest"), (0.5, "linear"), (0.75, "nearest")])
+    base = prof.numeric_summary(df, cols, shape=True, medians={c: q[c][1] for c in cols})
+    bounds, scales = {c: _bounds(q[c][0], q[c][2]) for c in cols}, z_scales(df, cols)
     x = {c: F.col(c).cast("double") for c in cols}
     counted = df.agg(
         *[F.count_if(iqr_flag(x[c], bounds[c])).alias(f"{c}__iqr") for c in cols],

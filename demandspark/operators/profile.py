@@ -168,18 +168,24 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, shape: bool = False) -> DataFrame:
+def numeric_summary(
+    df: DataFrame,
+    cols: Sequence[str] | None = None,
+    shape: bool = False,
+    medians: dict[str, float | None] | None = None,
+) -> DataFrame:
     """One row per numeric column; ``missing_pct`` is a fraction here. Empty table: no rows.
 
-    ``shape`` adds skewness and (excess) kurtosis.
+    ``shape`` adds skewness and (excess) kurtosis; known ``medians`` are not computed again.
     """
     cols = sel.pick(sel.numeric_columns(df), cols)
     if not cols:
         return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
-    medians = exact_quantiles(df, cols, [0.5])
+    if medians is None:
+        medians = {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
     counts = value_counts(df, cols)
     unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    median = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(medians[c][0]).cast("double"))])
+    median = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(medians[c]).cast("double"))])
     base = moments(df, cols)
     missing = F.col("rows") - F.col("count")
     # Joins of tables with one row per column.

@@ -35,32 +35,36 @@ def exact_quantiles(
     ``linear`` interpolates between neighbours, ``nearest`` picks a row's value; nulls
     are left out; a column without values gives None.
     """
-    if method not in ("linear", "nearest"):
-        raise ValueError(f"unknown method {method!r}")
-    cols, probs = list(dict.fromkeys(cols)), list(probs)
+    return mixed_quantiles(df, cols, [(q, method) for q in probs], max_rows)
+
+
+def mixed_quantiles(
+    df: DataFrame, cols: Sequence[str], wanted: Sequence[tuple[float, str]], max_rows: int = MAX_ROWS
+) -> dict[str, list[float | None]]:
+    """Like :func:`exact_quantiles`, with a (probability, method) pair per quantile."""
+    for _, method in wanted:
+        if method not in ("linear", "nearest"):
+            raise ValueError(f"unknown method {method!r}")
+    cols = list(dict.fromkeys(cols))
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    wanted: dict[str, set[int]] = {}
-    for c in cols:
-        ranks: set[int] = set()
-        for q in probs:
-            if counts[c]:
-                pos = q * (counts[c] - 1)
-                both = (math.floor(pos), math.ceil(pos))
-                ranks.update(both if method == "linear" else (nearest_rank(q, counts[c]),))
-        wanted[c] = ranks
-    values = values_at_ranks(df, wanted, {c: counts[c] for c in cols}, max_rows)
-
-    def pick(c: str, q: float) -> float | None:
+
+    def ranks(n: int, q: float, method: str) -> tuple[int, int]:
+        if method == "nearest":
+            return (nearest_rank(q, n),) * 2
+        return math.floor(q * (n - 1)), math.ceil(q * (n - 1))
+
+    needed = {c: {r for q, m in wanted if counts[c] for r in ranks(counts[c], q, m)} for c in cols}
+    values = values_at_ranks(df, needed, {c: counts[c] for c in cols}, max_rows)
+
+    def pick(c: str, q: float, method: str) -> float | None:
         n = counts[c]
         if not n:
             return None
-        if method == "nearest":
-            return values[c][nearest_rank(q, n)]
+        lo, hi = (values[c][r] for r in ranks(n, q, method))
         pos = q * (n - 1)
-        lo, hi = values[c][math.floor(pos)], values[c][math.ceil(pos)]
         return lo if lo == hi else lo + (hi - lo) * (pos - math.floor(pos))
 
-    return {c: [pick(c, q) for q in probs] for c in cols}
+    return {c: [pick(c, q, m) for q, m in wanted] for c in cols}
 
 
 def values_at_ranks(
