@@ -33,18 +33,19 @@ def get_session(app: str = "demandspark", cpus: int | str = "*", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints, as the session names it.
+    """Shared folder for checkpoints, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without one (a local test) gets a temporary folder.
+    Where it is unset, a local session (tests) gets a temporary folder; a cluster's executors
+    would each write to their own disk, so there it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="demandspark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="demandspark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
