@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text: which words, pairs of neighbours and pairs with one word between occur in
-it, hashed to 2^20 places. Learning keeps a rate for every coordinate and an L1 threshold, so
+Features of a text: which words, word stems, pairs of neighbours and pairs with one word between
+occur in it, hashed to 2^20 places. Learning keeps a rate for every coordinate and an L1 threshold, so
 most weights are exactly zero and the rest is small enough to broadcast.
 
 Learning uses at most about ``MAX_ROWS`` labelled rows (a documented bound for the fit): the
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from demandspark.llm.words import ALNUM, chunks, hash_spans, words
 
 BITS = 20
+#: A word's first so many bytes are features as well: inflected words share them.
+STEMS = (4, 5, 6)
 MAX_ROWS = 12_000
-EPOCHS = 2
+EPOCHS = 3
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -38,6 +40,12 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         found = words(chunk, ALNUM)
         h, row = hash_spans(chunk.data, found.starts, found.ends), found.rows()
         rows, feats = [row], [(h * _PAIR) >> shift]
+        length = found.ends - found.starts
+        for size in STEMS:
+            long = np.flatnonzero(length >= size)
+            stem = hash_spans(chunk.data, found.starts[long], found.starts[long] + size, size)
+            rows.append(row[long])
+            feats.append((stem * _SKIP) >> shift)
         for gap, salt in ((1, _PAIR), (2, _SKIP)):
             if len(h) > gap:
                 same = row[gap:] == row[:-gap]
@@ -70,7 +78,7 @@ class Weights:
         return out
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = EPOCHS) -> Weights:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = EPOCHS) -> Weights:
     """Sequential FTRL-proximal over rows of distinct features."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
