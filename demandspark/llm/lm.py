@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.llm.store import written
-from demandspark.llm.words import NOT_SPACE, chunks, hash_spans, lanes, signed, words
+from demandspark.llm.words import NOT_SPACE, chunks, hash_spans, lanes, signed, slices, words
 
 #: Classes: the end of a text, common words, and shared classes.
 COMMON = 511
@@ -39,6 +39,8 @@ CLASSES = 1 + COMMON + SHARED
 #: Tokens whose counts are broadcast, 20 bytes each.
 HOT = 1 << 19
 DISCOUNT = 0.75
+#: Text whose tokens are held at once, in bytes.
+SLICE = 4 << 20
 _SEED2 = 0x5851F42D4C957F2D
 
 
@@ -80,7 +82,7 @@ def token_counts(docs: DataFrame, text: str, learn: Column) -> DataFrame:
     """(h1, h2, shared, n) over the learning rows, without ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 0, 4 * SLICE)):
             t = tokens(batch.column(0))
             order = np.argsort(t.h1, kind="stable")
             at = _runs(t.h1, t.h2, order)
@@ -142,7 +144,7 @@ def pair_counts(docs: DataFrame, text: str, learn: Column, common: Table) -> np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 0, SLICE)):
             t = tokens(batch.column(0))
             before, after = _pairs(classes_of(t, shared.value), t.row_first)
             total += np.bincount(before * CLASSES + after, minlength=CLASSES * CLASSES)
@@ -292,7 +294,7 @@ def scored(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_
         s, part, done = shared.value, TaskContext.get().partitionId(), 0
         table = s.model.log10() if s.n else np.zeros((CLASSES, CLASSES))
         unseen = s.unseen()
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 2, SLICE)):
             n = batch.num_rows
             (size, known, base, model), rest = _scores(s, tokens(batch.column(2)), table, unseen)
             ids, held = batch.column(0), batch.column(1)

@@ -91,6 +91,17 @@ def chunks(column: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES) -> It
         first = last
 
 
+def slices(batch: pa.RecordBatch, text: int, limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows with about ``limit`` bytes of its column ``text``."""
+    _, offsets = column_bytes(batch.column(text))
+    first, n = 0, batch.num_rows
+    while first < n:
+        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
+        last = min(max(last, first + 1), n)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def words(chunk: Chunk, inside_table: np.ndarray) -> Words:
     """Maximal runs of the bytes that ``inside_table`` allows; none crosses a row's end."""
     n = chunk.size
