@@ -35,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """A table (its ``cols``) for CPU-heavy scans: on all cores even if it is one file."""
+    """A table or its ``cols``."""
     df = table(spark, sf_dir, name)
-    return io.spread(df.select(*cols) if cols else df)
+    return df.select(*cols) if cols else df
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

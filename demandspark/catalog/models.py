@@ -1,4 +1,4 @@
-"""Evaluation queries against their SQL; training queries with small model settings."""
+"""Evaluation and training queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from demandspark.catalog.base import HOURLY, HOURLY_CTE, LINEITEM, hourly, query, r, r2, r6, table
+from demandspark.catalog.base import HOURLY, HOURLY_CTE, LINEITEM, hourly, query, r, r2, r6, rp, table
 from demandspark.config import BOOST_A_SPACE, FOREST_SPACE, BoostConfig, ForestConfig, TrainConfig
 from demandspark.functions.numeric import round6
 from demandspark.operators import evaluate as ev
@@ -17,16 +17,20 @@ from demandspark.plans import models as md
 from demandspark.plans import scoring
 from demandspark.plans.features import build_features, fit_thresholds
 from demandspark.plans.pricing import price_table, whole_demand
-from demandspark.session import scratch_path
+from demandspark.session import materialize, scratch_path
 
-# Small settings keep the training queries short; defaults are in TrainConfig.
+CFG = TrainConfig()
+# The search alone runs on few trials of small models: its defaults are 115 fits of up to 500 rounds.
 SMALL = TrainConfig(
-    cv_test_size=48,
     forest=ForestConfig(n_estimators=10, max_depth=5),
     boost_a=BoostConfig(learning_rate=0.1, num_boost_round=8, early_stopping_rounds=3, max_depth=4),
     boost_b=BoostConfig(learning_rate=0.05, num_boost_round=8, early_stopping_rounds=3, max_depth=4),
 )
 
+HOURLY_NUMERIC = [
+    "season", "yr", "mnth", "hr", "holiday", "weekday", "workingday", "weathersit", "temp", "atemp", "hum", "windspeed", "casual", "registered", "cnt",
+]
+
 # Naive forecasts of the hourly count stand in for models where SQL has to agree.
 NAIVE = {"naive_1": 1, "naive_24": 24, "naive_168": 168}
 PRED_CTE = f"""{HOURLY_CTE},
@@ -79,13 +83,23 @@ def _whole(spark, sf):
 @query(
     "m07_mean_of_folds",
     f"""with {PRED_CTE}, f as (select model, day(datetime) % 3 as fold, {metric_sql(n_features=2)} from p group by 1, 2)
-    select model, {', '.join(f'{r2(f"avg({chr(34)}{m}{chr(34)})")} as "{m}"' for m in ev.METRICS)} from f group by model""",
+    select model, {', '.join(f'{rp(f"avg({chr(34)}{m}{chr(34)})")} as "{m}"' for m in ev.METRICS)} from f group by model""",
 )
 def _mean_folds(spark, sf):
     p = naive_predictions(spark, sf).withColumn("fold", F.dayofmonth("datetime") % 3)
     return ev.mean_of_folds(ev.regression_metrics(p, by=["model", "fold"], n_features=2))
 
 
+@query(
+    "m07_mean_of_even_folds",
+    f"""with {PRED_CTE}, f as (select model, day(datetime) % 2 as fold, {metric_sql(n_features=2)} from p group by 1, 2)
+    select model, {', '.join(f'{rp(f"avg({chr(34)}{m}{chr(34)})")} as "{m}"' for m in ev.METRICS)} from f group by model""",
+)
+def _mean_even_folds(spark, sf):
+    p = naive_predictions(spark, sf).withColumn("fold", F.dayofmonth("datetime") % 2)
+    return ev.mean_of_folds(ev.regression_metrics(p, by=["model", "fold"], n_features=2))
+
+
 TRIALS = "select l_suppkey as study, l_orderkey * 10 + l_linenumber as trial, l_extendedprice as rmse from lineitem"
 
 
@@ -242,69 +256,161 @@ def _mean_res(spark, sf):
     return out.withColumn("mean_residual", round6(F.col("mean_residual")))
 
 
-@query("e17_full_report")
+@query(
+    "e17_full_report",
+    f"""with {HOURLY_CTE} select 'dataset_info' as part, m as metric, cast(v as double) as value from (
+      select unnest(['total_rows', 'total_columns', 'numeric_columns', 'categorical_columns', 'boolean_columns', 'missing_values_total']) as m,
+             unnest([count(*), 16, 15, 0, 0, 0]) as v from hourly)
+    union all select 'numeric_summary', c || '.count', cast((select count(*) from hourly) as double)
+      from (select unnest({[c for c in HOURLY_NUMERIC]}) as c)
+    union all select 'correlation_matrix', 'pairs', {len(HOURLY_NUMERIC) ** 2}::double""",
+)
 def _full_report(spark, sf):
-    parts = ex.full_report(hourly(spark, sf).select("hr", "temp", "hum", "cnt"))
-    return parts["correlation_matrix"].withColumn("rows", F.lit(parts["dataset_info"].first()["total_rows"]))
+    parts = ex.full_report(hourly(spark, sf))
+    info = parts["dataset_info"]
+    info = info.select(F.explode(F.create_map(*[x for c in info.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
+    numeric = parts["numeric_summary"].select(F.concat("column", F.lit(".count")).alias("metric"), F.col("count").cast("double").alias("value"))
+    pairs = parts["correlation_matrix"].agg(F.lit("pairs").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
+    named = [d.select(F.lit(n).alias("part"), "metric", "value") for n, d in (("dataset_info", info), ("numeric_summary", numeric), ("correlation_matrix", pairs))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
 
+# -- training: what SQL can derive of the rows that training gives ------------------------------
 
-# -- training (no SQL counterpart) ------------------------------------------------------------
+# The last int(0.1 * n) or so hours, each with the next hour's count; the last has none after it
+# and takes its own part's last target.
+TEST_CTE = f"""{HOURLY_CTE}, i as (select datetime, cnt, row_number() over (order by datetime) - 1 as i, count(*) over () as n from hourly),
+t0 as (select datetime, lead(cnt) over (order by datetime) as y from i
+  where i > cast(floor((1 - 0.1::double - 0.1::double) * n) as bigint) + cast(floor(0.1::double * n) as bigint)),
+test as (select datetime, cast(coalesce(y, lag(y) over (order by datetime)) as double) as y from t0)"""
+MODELS = (md.FOREST, md.BOOSTED_A, md.BOOSTED_B)
 
 
-def _prepared(spark, sf, cfg: TrainConfig = SMALL) -> md.Prepared:
-    train, val, test = md.build_parts(hourly(spark, sf), HOURLY, cfg)
+def _prepared(spark, sf, cfg: TrainConfig = CFG) -> md.Prepared:
+    train, val, test = md.build_parts(materialize(hourly(spark, sf)), HOURLY, cfg)
     return md.prepare(train, val, test, HOURLY.order_by)
 
 
-@query("m03_forest")
+def _shown(pred):
+    return pred.select("model", "datetime", "y", F.col("yhat").isNotNull().alias("predicted"))
+
+
+def _test_sql(*models: str) -> str:
+    return f"with {TEST_CTE} select m as model, datetime, y, true as predicted from test, (select unnest({list(models)}) as m)"
+
+
+@query("m03_forest", _test_sql(md.FOREST))
 def _forest(spark, sf):
     data = _prepared(spark, sf)
-    result = md.train_forest(data, SMALL)
-    return md.predictions(result.model, data.test, "target", data.keys, result.model_name)
+    result = md.train_forest(data, CFG)
+    return _shown(md.predictions(result.model, data.test, "target", data.keys, result.model_name))
 
 
-@query("m04_boosted_with_patience")
+@query("m04_boosted_with_patience", _test_sql(md.BOOSTED_A))
 def _boosted(spark, sf):
     data = _prepared(spark, sf)
-    result = md.train_boosted(data, SMALL.boost_a, SMALL, md.BOOSTED_A)
-    return md.predictions(result.model, data.test, "target", data.keys, result.model_name)
+    result = md.train_boosted(data, CFG.boost_a, CFG, md.BOOSTED_A)
+    return _shown(md.predictions(result.model, data.test, "target", data.keys, result.model_name))
 
 
-@query("m05_train_all")
+@query("m05_train_all", _test_sql(*MODELS))
 def _train_all(spark, sf):
-    return md.train_all(_prepared(spark, sf), SMALL)[1]
+    return _shown(md.train_all(_prepared(spark, sf), CFG)[1])
 
 
-@query("m06_score_and_price")
+@query(
+    "m06_score_and_price",
+    f"with {HOURLY_CTE} select datetime, true as whole_demand, true as priced from hourly",
+)
 def _score(spark, sf):
-    """Train, predict demand on the test hours, price them."""
-    df = hourly(spark, sf)
+    """Train, predict demand of every hour, price it within the price limits."""
+    df = materialize(hourly(spark, sf))
     thresholds = fit_thresholds(df)
     feats = build_features(df, HOURLY, thresholds=thresholds, keep=["datetime"])
-    model = md.demand_model(feats, md.forest(SMALL.forest, SMALL.random_seed), keys=["datetime"])
+    model = md.demand_model(feats, md.forest(CFG.forest, CFG.random_seed), keys=["datetime"])
     scored = scoring.score_demand(model, df, HOURLY, thresholds=thresholds, keep=["datetime"])
-    return price_table(df.join(scored, "datetime"), keep=["datetime"])
+    priced = price_table(df.join(scored, "datetime"), keep=["datetime"])
+    return priced.select(
+        "datetime",
+        (F.col("demand").isNotNull() & (F.col("demand") >= 0) & (F.col("demand") == F.floor("demand"))).alias("whole_demand"),
+        F.coalesce(F.col("price").between(F.col("min_price"), F.col("max_price")), F.col("error").isNotNull()).alias("priced"),
+    )
 
 
-@query("m08_random_search")
+@query(
+    "m08_random_search",
+    f"select m as model, cast(t as bigint) as trial, 'COMPLETE' as state, true as scored from (select unnest({list(MODELS[:2])}) as m), range(2) x(t)",
+)
 def _search(spark, sf):
-    data = _prepared(spark, sf)
+    data = _prepared(spark, sf, SMALL)
     small = {
         md.FOREST: replace(FOREST_SPACE, n_trials=2, ints={**FOREST_SPACE.ints, "n_estimators": (3, 6), "max_depth": (3, 5)}),
         md.BOOSTED_A: replace(BOOST_A_SPACE, n_trials=2, ints={**BOOST_A_SPACE.ints, "num_boost_round": (3, 5), "max_depth": (3, 4)}),
     }
-    return md.tune(data, SMALL, small)[2].select("model", "trial", "rmse", "state")
+    return md.tune(data, SMALL, small)[2].select("model", "trial", "state", (F.col("rmse") > 0).alias("scored"))
 
 
-@query("m17_run_log")
+@query(
+    "m17_run_log",
+    f"""select 'run-0' as run_id, '{md.BOOSTED_B}' as model, '0.05' as learning_rate, 'Model Training' as purpose,
+    '{md.BOOSTED_B}' as model_family, true as rmse_logged""",
+)
 def _runs(spark, sf):
     data = _prepared(spark, sf)
-    result = md.train_boosted(data, SMALL.boost_b, SMALL, md.BOOSTED_B)
+    result = md.train_boosted(data, CFG.boost_b, CFG, md.BOOSTED_B)
     path = scratch_path(spark, "runs")
     md.log_runs(md.run_rows(spark, [result], "run", {"purpose": "Model Training"}), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select(
+        "run_id", "model", F.col("params")["learning_rate"].alias("learning_rate"), F.col("tags")["purpose"].alias("purpose"),
+        F.col("tags")["model_family"].alias("model_family"), (F.col("metrics")["RMSE"] > 0).alias("rmse_logged"),
+    )
 
 
-@query("m18_job")
+@query(
+    "m18_job",
+    f"with {TEST_CTE} select m as model, count(*) as n, true as metrics_agree from test, (select unnest({list(MODELS)}) as m) group by 1",
+)
 def _job(spark, sf):
-    return md.run_job(hourly(spark, sf), HOURLY, SMALL).metrics
+    """The whole job; its reported RMSE is that of its stored predictions."""
+    job = md.run_job(hourly(spark, sf), HOURLY, CFG)
+    error = F.col("y") - F.col("yhat")
+    own = job.predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(error * error)).alias("own"))
+    agree = F.abs(F.col("own") - F.col("RMSE")) < 0.00501
+    return own.join(job.metrics, "model").select("model", "n", agree.alias("metrics_agree"))
+
+
+@query("m11_trained_importances", f"select '{md.FOREST}' as model, 1e0 as total, true as none_negative")
+def _trained_importances(spark, sf):
+    data = _prepared(spark, sf)
+    model = md.forest(CFG.forest, CFG.random_seed).fit(data.train)
+    rows = md.importances(md.TrainResult(md.FOREST, model, {}), data.features, spark)
+    return rows.groupBy("model").agg(round6(F.sum("importance")).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+@query(
+    "m20_request_job",
+    f"""with {HOURLY_CTE} select datetime, cnt % 7 <> 0 as accepted, case when cnt % 7 = 0 then 'weathersit' end as violations, cnt % 7 <> 0 as answered
+    from hourly where hr >= 12""",
+)
+def _request_job(spark, sf):
+    """JSON requests: checked, forecast with a model that was saved and loaded, priced, answered."""
+    from demandspark.plans import pricing as pr
+    from demandspark.plans import requests as rq
+    from demandspark.sources import io
+
+    df = materialize(hourly(spark, sf))
+    thresholds = fit_thresholds(df)
+    feats = build_features(scoring.add_missing_inputs(df), HOURLY, thresholds=thresholds, keep=["datetime"])
+    trained = md.demand_model(feats, md.forest(CFG.forest, CFG.random_seed), keys=["datetime"])
+    model = rq.load_model(rq.save_model(trained, scratch_path(spark, "model")))
+    asked = df.where("hr >= 12").withColumn("weathersit", F.when(F.col("cnt") % 7 == 0, 9).otherwise(F.col("weathersit")))
+    asked = asked.withColumn("datetime", F.date_format("datetime", io.TIME_FORMAT))
+    path = scratch_path(spark, "requests")
+    asked.select(F.array(F.struct(*asked.columns)).alias("data"), F.lit("USD").alias("currency")).write.json(path)
+    requests = io.read_records(spark, path, io.REQUEST_SCHEMA)
+    priced, rejected = rq.score_requests(requests, df.where("hr < 12"), model, HOURLY, thresholds)
+    answers = pr.response(priced)
+    body = F.coalesce(F.col("price_components.price").isNotNull() & F.col("price_components.currency").eqNullSafe("USD"), F.col("error").isNotNull())
+    good = answers.select("datetime", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("violations"), body.alias("answered"))
+    bad = rejected.select("datetime", F.lit(False).alias("accepted"), F.array_join("violations", ",").alias("violations"), F.lit(False).alias("answered"))
+    return good.unionByName(bad)

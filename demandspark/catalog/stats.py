@@ -46,9 +46,21 @@ def _card(spark, sf):
     return pf.cardinality(_ev_sparse(spark, sf))
 
 
-@query("v03_cardinality_approximate")
+LI_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+]
+
+
+@query(
+    "v03_cardinality_approximate",
+    f"select unnest({LI_COLUMNS}) as column, true as within_15_percent",
+)
 def _card_approx(spark, sf):
-    return pf.cardinality(table(spark, sf, "lineitem"), approximate=True)
+    """The default relative deviation is 5 percent: three of these hold for every column."""
+    li = table(spark, sf, "lineitem")
+    exact = pf.cardinality(li).withColumnRenamed("unique_values", "exact")
+    off = F.abs(F.col("unique_values") - F.col("exact")) / F.col("exact")
+    return pf.cardinality(li, approximate=True).join(exact, "column").select("column", (off <= 0.15).alias("within_15_percent"))
 
 
 @query(
@@ -215,9 +227,41 @@ def _profile(spark, sf):
     return pf.profile(table(spark, sf, "customer"))
 
 
-@query("v11_report")
+def _report_sql() -> str:
+    nums = [f"select 'numeric' as part, '{c}' as column, '{m}' as metric, cast({m} as double) as value from ({numeric_sql('customer', c)})" for c in CU_NUM for m in pf.NUMERIC_METRICS]
+    cats = [
+        f"select 'categorical', '{c}', '{m}', cast({m} as double) from ({cat_sql('customer', c, False)})"
+        for c in CU_STR for m in ["total_count", "unique_values", "missing_values", "missing_pct"]
+    ]
+    star = {"total_rows": "count(*)", "total_columns": "max(5)", "number_of_numeric_columns": "max(3)", "number_of_categorical_columns": "max(2)"}
+    shape = [f"select 'shape', '*', '{m}', cast({e} as double) from customer" for m, e in star.items()]
+    nulls = [f"select 'nulls', '{c}', 'nulls', cast(count(*) - count({c}) as double) from customer" for c in CU_TYPES]
+    return union([*nums, *cats, *shape, *nulls])
+
+
+@query("v11_report", _report_sql())
 def _report(spark, sf):
-    return pf.report(table(spark, sf, "customer"))
+    """The nested report, its parts taken apart again."""
+    whole = pf.report(table(spark, sf, "customer"))
+
+    def long(part: str, row: str, metrics: list[str]):
+        pairs = F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(f"r.{m}").cast("double"))])
+        each = whole.select(F.explode(f"summary_statistics.{row}").alias("r"))
+        return each.select(F.lit(part).alias("part"), F.col("r.column").alias("column"), F.explode(pairs).alias("metric", "value"))
+
+    shape = ["total_rows", "total_columns", "number_of_numeric_columns", "number_of_categorical_columns"]
+    pairs = F.create_map(*[x for m in shape for x in (F.lit(m), F.col(f"data_shape.{m}").cast("double"))])
+    parts = [
+        long("numeric", "numeric", list(pf.NUMERIC_METRICS)),
+        long("categorical", "categorical", ["total_count", "unique_values", "missing_values", "missing_pct"]),
+        whole.select(F.lit("shape").alias("part"), F.lit("*").alias("column"), F.explode(pairs).alias("metric", "value")),
+        whole.select(F.lit("nulls").alias("part"), F.explode(F.col("other_info.data_nulls").cast("map<string,double>")).alias("column", "value"))
+        .select("part", "column", F.lit("nulls").alias("metric"), "value"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # -- outliers and summaries -----------------------------------------------------------------
@@ -458,9 +502,18 @@ def _points(spark, sf):
     return ex.group_points(table(spark, sf, "events"), "event_type", "value", size="user_id")
 
 
-@query("e15_group_points_sample")
+@query("e15_group_points_sample", "select distinct event_type, true as all_from_table, true as share_near_tenth from events")
 def _points_sample(spark, sf):
-    return ex.group_points(table(spark, sf, "events"), "event_type", "value", fraction=0.1)
+    """Each sampled point is one of the table's; every group keeps about a tenth."""
+    ev = table(spark, sf, "events")
+    got = ex.group_points(ev, "event_type", "value", fraction=0.1).groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("taken"))
+    have = ev.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    share = F.sum("taken") / F.sum("n")
+    both = have.join(got, ["event_type", "value"], "full").groupBy("event_type")
+    return both.agg(
+        F.bool_and(F.coalesce(F.col("taken"), F.lit(0)) <= F.coalesce(F.col("n"), F.lit(0))).alias("all_from_table"),
+        share.between(0.05, 0.2).alias("share_near_tenth"),
+    )
 
 
 @query(

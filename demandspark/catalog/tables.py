@@ -245,7 +245,11 @@ def _csv_sink(spark, sf):
     return io.read_csv(spark, _round_trip(spark, df, ".csv"), df.schema)
 
 
-@query("s07_report_sink")
+@query(
+    "s07_report_sink",
+    """select count(*) as total_rows, 4::bigint as total_columns, 3::bigint as number_of_numeric_columns, 1::bigint as number_of_categorical_columns
+    from supplier""",
+)
 def _report_sink(spark, sf):
     from demandspark.operators.profile import report
 
@@ -316,12 +320,18 @@ def _drop_nulls(spark, sf):
     return df.dropna(subset=["value"])
 
 
-@query("p12_assemble")
+@query(
+    "p12_assemble",
+    f"with {HOURLY_CTE} select cast(hr as double) as hr, temp, hum, cast(cnt as double) as target from hourly",
+)
 def _assemble(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
     from demandspark.plans.models import assemble
 
     df = hourly(spark, sf).select("hr", "temp", "hum", F.col("cnt").alias("target"))
-    return assemble(df, "target")
+    vector = vector_to_array("features")
+    return assemble(df, "target").select(*[vector[i].alias(c) for i, c in enumerate(("hr", "temp", "hum"))], "target")
 
 
 # -- splits -------------------------------------------------------------------------------------
@@ -359,6 +369,30 @@ def _split(spark, sf):
     return sp.combine_rows(sp.combine_rows(parts[0], parts[1]), parts[2])
 
 
+# Every third ship date is missing: nulls come first in series order.
+LI_GAPS = "(select l_orderkey, l_linenumber, case when l_orderkey % 3 <> 0 then l_shipdate end as l_shipdate from lineitem)"
+LI_GAPS_W = "(order by l_shipdate nulls first, l_orderkey, l_linenumber)"
+
+
+def _with_gaps(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return li.withColumn("l_shipdate", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_shipdate")))
+
+
+@query("t01_split_null_times", _split_sql(LI_GAPS, LI_GAPS_W, "l_orderkey, l_linenumber", 0.2, 0.2))
+def _split_null_times(spark, sf):
+    return sp.label_split(_with_gaps(spark, sf), LI_SINGLE, 0.2, 0.2).select("l_orderkey", "l_linenumber", "split")
+
+
+@query(
+    "t02_two_way_split_null_times",
+    f"""select l_orderkey, l_linenumber, case when i < cast(floor((0.25::double) * n) as bigint) then 'train' else 'test' end as split
+    from (select *, row_number() over {LI_GAPS_W} - 1 as i, count(*) over () as n from {LI_GAPS})""",
+)
+def _two_way_null_times(spark, sf):
+    return sp.label_two_way(_with_gaps(spark, sf), LI_SINGLE, 0.75).select("l_orderkey", "l_linenumber", "split")
+
+
 @query("t01_split_large", _split_sql("lineitem", LI_W, "l_orderkey, l_linenumber", 0.2, 0.2))
 def _split_large(spark, sf):
     li = table(spark, sf, "lineitem")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandspark.functions.numeric import percent_change, round2, round_half_up
+from demandspark.functions.numeric import percent_change, round2, round_half_up, round_product
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec, lag
 
 METRICS = ["MAE", "RMSE", "MAPE", "Adjusted_R2"]
@@ -48,8 +48,8 @@ def regression_metrics(
 
 
 def mean_of_folds(metrics: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Mean of the (already rounded) fold metrics, 2 dp."""
-    return metrics.groupBy(*by).agg(*[round2(F.avg(m)).alias(m) for m in METRICS])
+    """Mean of the (already rounded) fold metrics, 2 dp by the rule of array libraries."""
+    return metrics.groupBy(*by).agg(*[round_product(F.avg(m)).alias(m) for m in METRICS])
 
 
 def evaluate_models(predictions: DataFrame, truth: DataFrame, key: str = "row_key") -> DataFrame:

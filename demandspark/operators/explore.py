@@ -28,8 +28,7 @@ OUTLIER_METHODS = ("iqr", "zscore")
 IQR_FACTOR = 1.5
 Z_LIMIT = 3.0
 BROADCAST_ROWS = 100_000  # largest rank table that is broadcast; its size is counted first
-HOT_SHARE = 1000  # a value with more than 1/1000 of the rows is salted
-SALTS = 64
+SALT_ROWS = 4_000_000  # rows of one value that a task of a rank join may hold
 
 
 # -- outliers -------------------------------------------------------------------------
@@ -257,20 +256,20 @@ def _attach_rank(rows: DataFrame, ranks: DataFrame, col: str, name: str, size: i
         small = ranks.select(F.col("value").alias("__v"), F.col("rank").alias(name))
         joined = rows.join(F.broadcast(small), F.col(col) == F.col("__v"), "left")
         return joined.select(*keep, name)
-    # At most HOT_SHARE values can each hold 1/HOT_SHARE of the rows.
-    hot = [r["value"] for r in ranks.where(F.col("n") > total / HOT_SHARE).select("value").collect()]
-    if hot:
-        is_hot = F.col(col).isin(hot)
-        salt = F.when(is_hot, F.col("__id") % SALTS).otherwise(F.lit(0))
-        spread = F.when(F.col("value").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-            F.array(F.lit(0))
-        )
-    else:
-        salt, spread = F.lit(0), F.array(F.lit(0))
+    # A value gets as many salts as its rows need tasks; there are at most total / SALT_ROWS
+    # values with more than one, which is the size of what is broadcast.
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("bigint")
+    hot = ranks.where(F.col("n") > SALT_ROWS).select(F.col("value").alias("__hot"), salts.alias("__salts"))
     right = ranks.select(
-        F.col("value").alias("__v"), F.col("rank").alias(name), F.explode(spread.cast("array<bigint>")).alias("__s2")
+        F.col("value").alias("__v"), F.col("rank").alias(name),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(salts - 1, F.lit(0)))).alias("__s2"),
     )
-    left = rows.withColumn("__s1", salt.cast("bigint"))
+    left = rows
+    if total > SALT_ROWS:
+        left = rows.join(F.broadcast(hot), F.col(col) == F.col("__hot"), "left").drop("__hot")
+        left = left.withColumn("__s1", F.pmod("__id", F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    else:
+        left = rows.withColumn("__s1", F.lit(0).cast("bigint"))
     on = (F.col(col) == F.col("__v")) & (F.col("__s1") == F.col("__s2"))
     return left.join(right, on, "left").select(*keep, name)
 

@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 from demandspark.session import materialize
 
-MAX_ROWS = 4_000_000  # values one task may hold
-FAST_CELLS = 8_000_000  # values (over all columns) that one aggregate may keep
+MAX_ROWS = 8_000_000  # values (over all columns) that one task may hold
 SKETCH_ACCURACY = 10_000
 
 
@@ -72,7 +71,7 @@ def values_at_ranks(
 ) -> dict[str, dict[int, float]]:
     """Values (as double) at 0-based ascending ranks of each column's non-null values."""
     cells = sum(counts[c] for c in wanted if wanted[c])
-    if cells <= FAST_CELLS and max_rows >= MAX_ROWS:
+    if cells <= max_rows:
         quick = _small_values(df, wanted, counts)
         if quick is not None:
             return quick

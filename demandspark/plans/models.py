@@ -37,6 +37,7 @@ from demandspark.session import checkpoint_dir, materialize
 FOREST, BOOSTED_A, BOOSTED_B = "RandomForestRegressor", "BoostedTreesA", "BoostedTreesB"
 FEATURES = "features"
 MAX_BINS = 64
+PART_ROWS = 50_000
 INDEX = "__row"
 
 
@@ -102,9 +103,10 @@ def rounds_until_stop(errors: Sequence[float], patience: int) -> int:
 def fit_boosted(train: DataFrame, val: DataFrame, cfg: BoostConfig, seed: int, target: str = "target"):
     """Boosted trees stopped by patience: (model, rounds used).
 
-    Spark's own validation stop is tolerance-based, so the full number of rounds is fitted,
-    the patience rule applied to the per-round validation errors, and the shorter model
-    refitted; with a fixed seed it is the prefix of the long one.
+    Spark's own validation stop is tolerance-based, so the patience rule is applied to the
+    per-round validation errors of a fit. With a fixed seed a short fit is the prefix of a
+    long one, so fits start short and double until the rule stops one or all rounds are
+    used; a model with rounds after the best one is fitted again without them.
     """
     spark = train.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -124,10 +126,14 @@ def fit_boosted(train: DataFrame, val: DataFrame, cfg: BoostConfig, seed: int, t
             seed=seed,
         )
 
-    model = gbt(cfg.num_boost_round).fit(train)
-    errors = model.evaluateEachIteration(val, "squared")
-    rounds = rounds_until_stop(errors, cfg.early_stopping_rounds)
-    if rounds < cfg.num_boost_round:
+    tried = min(cfg.num_boost_round, cfg.early_stopping_rounds + 5)
+    while True:
+        model = gbt(tried).fit(train)
+        rounds = rounds_until_stop(model.evaluateEachIteration(val, "squared"), cfg.early_stopping_rounds)
+        if rounds + cfg.early_stopping_rounds <= tried or tried == cfg.num_boost_round:
+            break
+        tried = min(cfg.num_boost_round, 2 * tried)
+    if rounds < tried:
         model = gbt(rounds).fit(train)
     return model, rounds
 
@@ -191,15 +197,21 @@ class Prepared:
     keys: list[str]
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """As many partitions as rows need: tree fits run a job over all of them for every level."""
+    n = max(1, -(-df.count() // PART_ROWS))
+    return df.coalesce(n) if n < df.rdd.getNumPartitions() else df
+
+
 def prepare(
     train: DataFrame, val: DataFrame, test: DataFrame, order: Sequence[str], target: str = "target"
 ) -> Prepared:
     """Vectors for three feature tables that still carry their order columns."""
     keys = list(order)
     names = feature_names(train, target, keys)
-    parts = [materialize(assemble(p.select(*train.columns), target, keys)) for p in (train, val, test)]
+    parts = [_sized(materialize(assemble(p.select(*train.columns), target, keys))) for p in (train, val, test)]
     both = sp.combine_rows(parts[0], parts[1])
-    indexed = materialize(sp.add_row_index(both, SeriesSpec(tuple(order)), INDEX))
+    indexed = _sized(materialize(sp.add_row_index(both, SeriesSpec(tuple(order)), INDEX)))
     return Prepared(*parts, indexed, names, target, keys)
 
 
@@ -276,7 +288,7 @@ def search(
             rmse, state = objective(params), "COMPLETE"
         except Exception as e:  # recorded, as one bad point must not end the search
             rmse, state = None, "FAIL"
-            params = {**params, "error": str(e)[:200]}
+            params = {**params, "error": str(e)}
         if rmse is not None and (best is None or rmse < best[0]):
             best = (rmse, params)
         rows.append((trial, {k: str(v) for k, v in params.items()}, rmse, state))

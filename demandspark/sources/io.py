@@ -42,16 +42,6 @@ def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType | No
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Scan of fewer files than half the cores: deal its rows out to all cores.
-
-    For expensive per-row work on a table that Spark would read in one or two tasks. A
-    table of many files, as any large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
-
-
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON records (one per line) with a fixed schema: no inference pass."""
     return spark.read.schema(schema).json(path)

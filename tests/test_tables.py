@@ -185,7 +185,7 @@ def test_spearman_salted_join(spark, monkeypatch):
     df = spark.createDataFrame(rows, "a double, b double").repartition(4)
     want = {(r["a"], r["b"]): r["r"] for r in ex.spearman_matrix(df).collect()}
     monkeypatch.setattr(ex, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(ex, "HOT_SHARE", 50)
+    monkeypatch.setattr(ex, "SALT_ROWS", 20)
     got = {(r["a"], r["b"]): r["r"] for r in ex.spearman_matrix(df).collect()}
     assert got == pytest.approx(want)
 
