@@ -40,13 +40,16 @@ def wide(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
     """``hourly_demand`` (16 columns) counted from ``events``.
 
     Weather readings are stand-ins of the right type and range, derived from integer
     sums so that every engine gets the same doubles.
     """
     ev = table(spark, sf_dir, "events")
+    keys = []
+    if key:  # hours of each value of an expression
+        ev, keys = ev.withColumn("key", F.expr(key)), ["key"]
     is_casual = F.col("event_type").isin("click", "view")
     totals = kal.hourly_totals(
         ev,
@@ -59,9 +62,11 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
             "mx": F.max("event_id"),
             "cents": F.sum(F.round(F.col("value") * 100).cast("bigint")),
         },
+        keys,
     )
     temp = F.least(F.lit(1.0), F.col("cents") / (F.col("cnt") * F.lit(10000.0)))
     return kal.add_calendar(totals).select(
+        *keys,
         "datetime",
         "season",
         "yr",

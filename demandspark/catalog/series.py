@@ -22,7 +22,7 @@ from demandspark.functions import calendar as cal
 from demandspark.functions.numeric import interaction, round6
 from demandspark.operators import ordered as o
 from demandspark.operators import seriesstats as st
-from demandspark.operators.ordered import OrderedFrame
+from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 from demandspark.plans import features as ft
 
 LI_KEY = "l_orderkey, l_linenumber"
@@ -286,8 +286,13 @@ def _inter(spark, sf):
     )
 
 
-def features_sql(cfg: FeatureConfig) -> str:
-    """SQL of the whole feature table; fractional columns rounded to 6 dp."""
+def features_sql(cfg: FeatureConfig, key: str | None = None) -> str:
+    """SQL of the whole feature table; fractional columns rounded to 6 dp.
+
+    ``key``: a series for each value of this expression over ``events``.
+    """
+    if key:
+        return keyed_sql(features_sql(cfg), key)
     lags = {f"{f.feature}_lag_{k}hr": f"lag({f.feature},{k}) over {H_W}" for f in cfg.lag_features for k in f.lags}
     rolls = {}
     for f in cfg.rolling_features:
@@ -335,6 +340,59 @@ def _features(spark, sf, cfg: FeatureConfig):
     )
 
 
+def keyed_sql(sql: str, key: str) -> str:
+    """A query over ``hourly`` as one over hours of each ``key``."""
+    for old, new in (
+        ("date_trunc('hour', ts) as dt, count(*)", f"date_trunc('hour', ts) as dt, {key} as key, count(*)"),
+        ("from events group by 1)", "from events group by 1, 2)"),
+        ("select cast(dt as timestamp) as datetime", "select key, cast(dt as timestamp) as datetime"),
+        ("(order by datetime", "(partition by key order by datetime"),
+        ("select datetime,", "select key, datetime,"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+HOT_KEY = "case when user_id % 3 = 0 then 0 else user_id end"
+BY_USER = SeriesSpec(("datetime",), ("key",))
+BY_HOT_USER = SeriesSpec(("datetime",), ("key",), max_rows=500)
+
+
+def _features_by(spark, sf, key: str, spec: SeriesSpec, cfg: FeatureConfig):
+    df = ft.build_features(hourly(spark, sf, key), spec, cfg, keep=["datetime"])
+    return df.select(
+        *[round6(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields]
+    )
+
+
+@query("f14_features_by_user", features_sql(FeatureConfig(), "user_id"))
+def _f14_by_user(spark, sf):
+    return _features_by(spark, sf, "user_id", BY_USER, FeatureConfig())
+
+
+@query("f14_features_hot_user", features_sql(FeatureConfig(), HOT_KEY))
+def _f14_hot_user(spark, sf):
+    """A third of the users are one key: the automatic layout cuts it into chunks."""
+    return _features_by(spark, sf, HOT_KEY, BY_HOT_USER, FeatureConfig())
+
+
+@query("f18_features_extended_by_user", features_sql(ft.extended_config(), "user_id"))
+def _f18_by_user(spark, sf):
+    return _features_by(spark, sf, "user_id", BY_USER, ft.extended_config())
+
+
+@query(
+    "f17_naive_forecast_by_user",
+    keyed_sql(
+        f"""with {HOURLY_CTE} select datetime, cnt as y, coalesce(lag(cnt, 1) over {H_W}, first_value(cnt) over {H_W}) as yhat from hourly""",
+        "user_id",
+    ),
+)
+def _naive_by_user(spark, sf):
+    df = st.naive_forecast(hourly(spark, sf, "user_id"), "cnt", BY_USER)
+    return df.select("key", "datetime", F.col("cnt").alias("y"), "yhat")
+
+
 @query("f14_features", features_sql(FeatureConfig()))
 def _f14(spark, sf):
     return _features(spark, sf, FeatureConfig())

@@ -441,10 +441,9 @@ def _share(spark, sf):
 
 def hist_sql(c: str, bins: int) -> str:
     w = f"((b-a)/{bins})"
-    i = f"least(floor(({c}-a)/{w}), {bins - 1})"
-    return f"""select '{c}' as column, cast({i} as integer) as bin, {r6(f'any_value(a) + {i}*any_value({w})')} as low,
-      {r6(f'any_value(a) + ({i}+1)*any_value({w})')} as high, count(*) as n
-      from lineitem, (select min({c}) as a, max({c}) as b from lineitem) group by {i}"""
+    return f"""select '{c}' as column, cast(i as integer) as bin, {r6(f'a + i*{w}')} as low, {r6(f'a + (i+1)*{w}')} as high,
+      (select count(*) from lineitem where least(floor(({c}-a)/{w}), {bins - 1}) = i) as n
+      from (select min({c}) as a, max({c}) as b from lineitem), range({bins}) as t(i)"""
 
 
 @query("e11_histogram", union(hist_sql(c, 20) for c in ["l_quantity", "l_extendedprice"]))

@@ -408,6 +408,18 @@ def _two_way(spark, sf):
     return sp.label_two_way(hourly(spark, sf).select("datetime"), HOURLY, 0.1)
 
 
+@query(
+    "t03_expanding_folds_large",
+    f"""with i as (select l_orderkey, l_linenumber, row_number() over {LI_W} - 1 as index, count(*) over () as n from lineitem),
+    f as (select unnest(range(3)) as fold)
+    select cast(fold as integer) as fold, case when index < n - (3-fold)*1000 then 'train' else 'test' end as role, l_orderkey, l_linenumber, index
+    from i join f on index < n - (3-fold-1)*1000 where n > 3000""",
+)
+def _folds_large(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return sp.expanding_folds(li, LI_SINGLE, 3, 1000).drop("l_shipdate")
+
+
 @query(
     "t03_expanding_folds",
     f"""with {HOURLY_CTE}, i as (select datetime, row_number() over {H_W} - 1 as index, count(*) over () as n from hourly),

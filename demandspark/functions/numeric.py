@@ -98,11 +98,6 @@ def percent_change(old: Column, new: Column) -> Column:
     )
 
 
-def correlation_from_moments(cov: Column, sd_a: Column, sd_b: Column) -> Column:
-    """Pearson r, null (not an error) when one side is constant."""
-    return F.try_divide(cov, sd_a * sd_b)
-
-
 def strength_label(r: Column) -> Column:
     """Class of a correlation by sign and size; 0 counts as negative."""
     size = F.abs(r)

@@ -200,14 +200,6 @@ def price_raw(base_price: Column, multiplier: Column) -> Column:
     return F.when((base_price >= 0) & (multiplier > 0), base_price * multiplier)
 
 
-def final_price(base_price: Column, multiplier: Column, lo: float, hi: float) -> Column:
-    return clip(round2(price_raw(base_price, multiplier)), lo, hi)
-
-
-def price_delta(price: Column, base_price: Column) -> Column:
-    return round2(price - base_price)
-
-
 def competitor_norms() -> dict[str, Column]:
     """The ten competitor inputs scaled to [0, 1], with their null defaults."""
     c = F.col

@@ -351,32 +351,27 @@ def group_points(
 
 
 def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
-    """(column, bin, low, high, n): equal-width bins between minimum and maximum."""
+    """(column, bin, low, high, n): equal-width bins between the least and largest finite value.
+
+    Empty bins are there with n = 0. NaN and infinite values are counted in a row without bin
+    and bounds, which a column without any does not have.
+    """
     cols = sel.pick(sel.numeric_columns(df), cols)
-    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in cols for n, f in (("a", F.min), ("b", F.max))]).first()
-    parts = []
-    for c in cols:
+    finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in cols}
+    row = df.agg(*[f(x).alias(f"{c}__{n}") for c, x in finite.items() for n, f in (("a", F.min), ("b", F.max))]).first()
+    entries, edges = [], []
+    for c, x in finite.items():
         lo, hi = row[f"{c}__a"], row[f"{c}__b"]
-        if lo is None:
-            continue
-        x = F.col(c).cast("double")
-        width = (hi - lo) / bins
+        width = 0.0 if lo is None else (hi - lo) / bins
         b = F.lit(0) if width == 0 else F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-        parts.append(
-            F.when(
-                x.isNotNull(),
-                F.struct(
-                    F.lit(c).alias("column"),
-                    b.alias("bin"),
-                    (F.lit(lo) + b * F.lit(width)).alias("low"),
-                    (F.lit(lo) + (b + 1) * F.lit(width)).alias("high"),
-                ),
-            )
-        )
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n bigint")
-    entries = F.explode(F.array_compact(F.array(*parts))).alias("e")
-    return df.select(entries).groupBy("e.column", "e.bin", "e.low", "e.high").agg(F.count(F.lit(1)).alias("n"))
+        entries.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), b).alias("bin"))))
+        if lo is not None:
+            edges += [(c, i, lo + i * width, lo + (i + 1) * width) for i in range(bins if width else 1)]
+    counts = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.column", "e.bin").agg(F.count(F.lit(1)).alias("n"))
+    # As many rows as columns times bins.
+    bounds = df.sparkSession.createDataFrame(edges, "column string, bin int, low double, high double")
+    found = counts.join(F.broadcast(bounds), ["column", "bin"], "full" if edges else "left")
+    return found.select("column", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def box_rows(df: DataFrame, cols: Sequence[str] | None = None, by: str | None = None) -> DataFrame:

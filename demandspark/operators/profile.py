@@ -88,20 +88,12 @@ def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
 def duplicated_rows(df: DataFrame, mode: str = "all") -> DataFrame:
     """Rows in groups of equal rows (``all``), or only those after the first (``extra``).
 
-    The wide rows are shuffled only where their 64-bit hash repeats: a first pass counts
-    hashes, a second groups the few candidate rows exactly. Many copies of one row are
-    combined before each shuffle.
+    Equal rows are combined in every task before the one shuffle, so a row that fills half
+    of the table reaches its task as one count from each other task.
     """
     if mode not in ("all", "extra"):
         raise ValueError("mode must be 'all' or 'extra'")
-    hashed = df.withColumn("__h", F.xxhash64(*df.columns))
-    repeated = hashed.groupBy("__h").count().where(F.col("count") > 1).select("__h")
-    groups = (
-        hashed.join(repeated, "__h", "left_semi")
-        .groupBy(*df.columns)
-        .count()
-        .where(F.col("count") > 1)
-    )
+    groups = df.groupBy(*df.columns).count().where(F.col("count") > 1)
     n = F.sum("count") if mode == "all" else F.sum(F.col("count") - 1)
     return groups.agg(F.coalesce(n, F.lit(0)).alias("num_duplicated_rows"))
 

@@ -113,7 +113,3 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
 def head(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     """First ``n`` rows of an explicit order."""
     return df.orderBy(*order).limit(n)
-
-
-def sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction, seed)
