@@ -303,9 +303,9 @@ def ext_sql(source: str, c: str) -> str:
         {m4}/({m2}*{m2}) - 3 as k, count({c}) as n from {source})"""
 
 
-@query("e03_numeric_summary", union(ext_sql("lineitem", c) for c in LI_NUM))
+@query("e03_numeric_summary", union(ext_sql("lineitem", c) for c in LI_ALL_NUM))
 def _summary(spark, sf):
-    out = ex.numeric_summary(table(spark, sf, "lineitem"), LI_NUM)
+    out = ex.numeric_summary(table(spark, sf, "lineitem"), LI_ALL_NUM)
     return out.select("column", "iqr_value", "skewness", "kurtosis", "outlier_count_iqr", "outlier_count_zscore", "count")
 
 
@@ -366,10 +366,10 @@ def rank_sql(c: str) -> str:
 
 @query(
     "e06_spearman",
-    f"with k as (select {', '.join(rank_sql(c) for c in LI_NUM)} from lineitem) " + corr_sql("k", LI_NUM),
+    f"with k as (select {', '.join(rank_sql(c) for c in LI_ALL_NUM)} from lineitem) " + corr_sql("k", LI_ALL_NUM),
 )
 def _spearman(spark, sf):
-    out = ex.spearman_matrix(table(spark, sf, "lineitem").select(*LI_NUM))
+    out = ex.spearman_matrix(table(spark, sf, "lineitem").select(*LI_ALL_NUM))
     return out.withColumn("r", round6(F.col("r")))
 
 
@@ -411,9 +411,9 @@ def group_sql(source: str, by: str, cols) -> str:
     return f"select {by}, {', '.join(parts)} from {source} group by {by}"
 
 
-@query("e07_group_analysis", group_sql("lineitem", "l_returnflag", LI_NUM))
+@query("e07_group_analysis", group_sql("lineitem", "l_returnflag", LI_ALL_NUM))
 def _groups(spark, sf):
-    return ex.group_analysis(table(spark, sf, "lineitem"), "l_returnflag", LI_NUM)
+    return ex.group_analysis(table(spark, sf, "lineitem"), "l_returnflag", LI_ALL_NUM)
 
 
 @query(
@@ -463,14 +463,14 @@ def _box_round(df):
     return df.withColumns({c: round6(F.col(c)) for c in ("q1", "median", "q3")})
 
 
-@query("e12_box", union(box_sql("lineitem", c) for c in LI_NUM))
+@query("e12_box", union(box_sql("lineitem", c) for c in LI_ALL_NUM))
 def _box(spark, sf):
-    return _box_round(ex.box_rows(table(spark, sf, "lineitem"), LI_NUM))
+    return _box_round(ex.box_rows(table(spark, sf, "lineitem"), LI_ALL_NUM))
 
 
-@query("e12_box_by_group", union(box_sql("lineitem", c, "l_returnflag") for c in LI_NUM))
+@query("e12_box_by_group", union(box_sql("lineitem", c, "l_returnflag") for c in LI_ALL_NUM))
 def _box_group(spark, sf):
-    return _box_round(ex.box_rows(table(spark, sf, "lineitem"), LI_NUM, "l_returnflag"))
+    return _box_round(ex.box_rows(table(spark, sf, "lineitem"), LI_ALL_NUM, "l_returnflag"))
 
 
 @query(
@@ -539,26 +539,26 @@ def _info(spark, sf):
 @query(
     "e20_nearest_quantiles",
     union(
-        f"select '{c}' as column, {nearest_sql('lineitem', c, 0.25)} as q25, {nearest_sql('lineitem', c, 0.75)} as q75" for c in LI_NUM
+        f"select '{c}' as column, {nearest_sql('lineitem', c, 0.25)} as q25, {nearest_sql('lineitem', c, 0.75)} as q75" for c in LI_ALL_NUM
     ),
 )
 def _nearest(spark, sf):
-    q = exact_quantiles(table(spark, sf, "lineitem"), LI_NUM, [0.25, 0.75], "nearest")
-    return spark.createDataFrame([(c, *q[c]) for c in LI_NUM], "column string, q25 double, q75 double")
+    q = exact_quantiles(table(spark, sf, "lineitem"), LI_ALL_NUM, [0.25, 0.75], "nearest")
+    return spark.createDataFrame([(c, *q[c]) for c in LI_ALL_NUM], "column string, q25 double, q75 double")
 
 
 @query(
     "e20_quantiles_bracketed",
     union(
         f"select '{c}' as column, {nearest_sql('lineitem', c, 0.25)} as q25, {nearest_sql('lineitem', c, 0.5)} as q50, {nearest_sql('lineitem', c, 0.999)} as q999"
-        for c in LI_NUM
+        for c in LI_ALL_NUM
     ),
 )
 def _bracketed(spark, sf):
     """The path for tables above the task limit: sketch, bracket, count inside."""
     li = table(spark, sf, "lineitem")
-    q = exact_quantiles(li, LI_NUM, [0.25, 0.5, 0.999], "nearest", max_rows=500)
-    return spark.createDataFrame([(c, *q[c]) for c in LI_NUM], "column string, q25 double, q50 double, q999 double")
+    q = exact_quantiles(li, LI_ALL_NUM, [0.25, 0.5, 0.999], "nearest", max_rows=500)
+    return spark.createDataFrame([(c, *q[c]) for c in LI_ALL_NUM], "column string, q25 double, q50 double, q999 double")
 
 
 @query(

@@ -217,16 +217,22 @@ def _head(spark, sf):
     return io.head(ev, ["ts", "event_id"], 10)
 
 
+LI_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query(
     "s11_describe",
-    """select 'l_quantity' as column, count(l_quantity) as count, min(l_quantity) as min, max(l_quantity) as max from lineitem
-    union all select 'l_discount', count(l_discount), min(l_discount), max(l_discount) from lineitem""",
+    " union all ".join(
+        f"select '{c}' as column, count({c}) as count, cast(min({c}) as double) as min, cast(max({c}) as double) as max, {r2(f'avg({c})')} as mean, {r2(f'stddev_samp({c})')} as std from lineitem"
+        for c in LI_NUMBERS
+    ),
 )
 def _describe(spark, sf):
     from demandspark.operators.profile import moments
 
     li = table(spark, sf, "lineitem")
-    return moments(li, ["l_quantity", "l_discount"]).select("column", "count", "min", "max")
+    out = moments(li, LI_NUMBERS)
+    return out.select("column", "count", "min", "max", round2(F.col("mean")).alias("mean"), round2(F.col("std")).alias("std"))
 
 
 def _round_trip(spark, df, suffix):
