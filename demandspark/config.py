@@ -6,7 +6,11 @@ match the published behaviour.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+import types
+import typing
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -174,3 +178,57 @@ BOOST_B_SPACE = SearchSpace(
     },
     log_floats={"learning_rate": (0.001, 0.3)},
 )
+
+
+# -- settings from mappings and files ---------------------------------------------------------
+
+
+def from_mapping(kind: type, data: Mapping, where: str = "") -> object:
+    """A configuration of ``kind`` from plain values; what is left out keeps its default.
+
+    Unknown names, missing values and values of a wrong type are errors that name the place.
+    """
+    if not isinstance(data, Mapping):
+        raise ValueError(f"{where or kind.__name__}: expected a mapping, got {type(data).__name__}")
+    hints = typing.get_type_hints(kind)
+    names = {f.name for f in fields(kind)}
+    if odd := sorted(set(data) - names):
+        raise ValueError(f"{where or kind.__name__}: unknown settings {odd}")
+    values = {k: _value(hints[k], v, f"{where}.{k}" if where else k) for k, v in data.items()}
+    try:
+        return kind(**values)
+    except TypeError as e:
+        raise ValueError(f"{where or kind.__name__}: {e}") from None
+
+
+def _value(kind: object, value: object, where: str) -> object:
+    origin, args = typing.get_origin(kind), typing.get_args(kind)
+    if is_dataclass(kind):
+        return from_mapping(kind, value, where)
+    if origin in (typing.Union, types.UnionType):
+        if value is None and type(None) in args:
+            return None
+        return _value(next(a for a in args if a is not type(None)), value, where)
+    if origin is tuple:
+        if isinstance(value, str) or not isinstance(value, (list, tuple)):
+            raise ValueError(f"{where}: expected a list")
+        each = [args[0]] * len(value) if len(args) == 2 and args[1] is Ellipsis else list(args)
+        if len(each) != len(value):
+            raise ValueError(f"{where}: expected {len(each)} values")
+        return tuple(_value(k, v, f"{where}[{i}]") for i, (k, v) in enumerate(zip(each, value)))
+    if origin is dict:
+        if not isinstance(value, Mapping):
+            raise ValueError(f"{where}: expected a mapping")
+        return {k: _value(args[1], v, f"{where}.{k}") for k, v in value.items()}
+    if kind is float and isinstance(value, int) and not isinstance(value, bool):
+        return float(value)
+    if kind is tuple:
+        return tuple(value)
+    if not isinstance(value, kind) or (isinstance(value, bool) and kind is not bool):
+        raise ValueError(f"{where}: expected {kind.__name__}, got {value!r}")
+    return value
+
+
+def from_json(kind: type, text: str) -> object:
+    """Like :func:`from_mapping`, from the text of a JSON file."""
+    return from_mapping(kind, json.loads(text))
