@@ -34,6 +34,8 @@ _FACTOR_ROUNDS = 8
 _WRITE_EVERY = 3
 #: Cells are broadcast up to so many rows, about 100 bytes each.
 BROADCAST_ROWS = 100_000
+#: More cells than this are not summed by window, as one value may hold most of them.
+WINDOW_ROWS = 100_000
 
 
 def topic_of(text: str = "text") -> Column:
@@ -66,24 +68,40 @@ def _targets(dim: str, given: dict[str | None, float] | None) -> Column:
     return out
 
 
-def cells(rows: DataFrame, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
+def _with_marginal(now: DataFrame, dim: str, name: str, wide: bool) -> DataFrame:
+    """The cells ``now`` and the sum of their weights over all cells of the same value of ``dim``.
+
+    ``wide``: there are so many cells that no task may hold those of one value. Weights are then
+    combined in every task, and each value's sum is joined to its cells.
+    """
+    if not wide:
+        return now.withColumn(name, F.sum("w").over(Window.partitionBy(dim)))
+    now = written(now, "weights")
+    sums = written(now.groupBy(dim).agg(F.sum("w").alias(name)), "marginal")
+    sums = F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums
+    return now.join(sums, dim)
+
+
+def cells(
+    rows: DataFrame, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """(source, lang, topic, tokens, w, probability) from rows of (source, lang, topic, n_tokens)."""
     targets = targets or {}
-    by = {d: Window.partitionBy(d) for d in DIMENSIONS}
     sums = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
-    total = sums.agg(F.sum("tokens")).first()[0] or 0
+    total, n_cells = sums.agg(F.sum("tokens"), F.count("*")).first()
+    total, wide = total or 0, n_cells > window_rows
     now = sums.withColumn("w", F.col("tokens") / F.lit(float(max(total, 1))))
     for d in DIMENSIONS:
         # A marginal's values are in the cells; its targets are scaled over one row for each.
-        now = now.withColumn(f"m_{d}", F.sum("w").over(by[d])).withColumn(f"t_{d}", _targets(d, targets.get(d)))
+        now = _with_marginal(now, d, f"m_{d}", wide).withColumn(f"t_{d}", _targets(d, targets.get(d)))
     now = written(now, "targets")
     scale = now.agg(*[F.sum(F.col(f"t_{d}") * F.col("w") / F.col(f"m_{d}")).alias(d) for d in DIMENSIONS]).first()
     for d in DIMENSIONS:
         now = now.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(float(scale[d] or 1.0)))
     for sweep in range(1, sweeps + 1):
         for d in DIMENSIONS:
-            own = F.sum("w").over(by[d])
-            now = now.withColumn("w", F.when(own > 0, F.col("w") * F.col(f"t_{d}") / own).otherwise(0.0))
+            now = _with_marginal(now, d, "own", wide)
+            now = now.withColumn("w", F.when(F.col("own") > 0, F.col("w") * F.col(f"t_{d}") / F.col("own")).otherwise(0.0)).drop("own")
         if sweep % _WRITE_EVERY == 0 or sweep == sweeps:
             now = written(now, "raked")
     ratio = F.col("w") / (F.col("tokens") / F.lit(float(max(total, 1))))

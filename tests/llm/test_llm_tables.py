@@ -161,6 +161,21 @@ def test_marginals_meet_given_targets(docs):
     assert mixing.sampled(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 2])
+def test_many_cells_are_raked_like_few(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast_rows)
+    rows = spark.createDataFrame(
+        [(f"=s{i % 40}", f"=l{i % 3}" if i % 4 else "-", f"=t{i % 5}", 1 + i * i % 97) for i in range(900)] + [("=empty", "-", "=t0", 0)],
+        "source string, lang string, topic string, n_tokens long",
+    )
+    few, many = (
+        {(r.source, r.lang, r.topic): r for r in mixing.cells(rows, sweeps=3, window_rows=n).collect()} for n in (mixing.WINDOW_ROWS, 10)
+    )
+    assert few.keys() == many.keys() and len(few) == 100
+    for k, r in few.items():
+        assert many[k].tokens == r.tokens and many[k].w == pytest.approx(r.w) and many[k].probability == pytest.approx(r.probability)
+
+
 def test_sampling_follows_the_probabilities(spark):
     got = mixing.sampled(table(spark, "/root/testdata/sf0.1", "documents")).agg(F.avg("probability"), F.avg(F.col("kept").cast("int"))).first()
     assert abs(got[0] - got[1]) < 0.02
