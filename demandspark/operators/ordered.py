@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from demandspark.session import materialize
 
-MAX_CHUNKS = 5_000  # bounds what a layout keeps on the driver and in the plan
+#: Values by chunk are literals of the plan up to so many chunks, a broadcast table beyond.
+LITERALS = 5_000
 SAMPLES_PER_CHUNK = 20
 _CHUNK = "__chunk"
 _HALO = "__halo"
@@ -219,24 +220,29 @@ class OrderedFrame:
 
         position = _Position(self._df, spec)
         here, zero = F.col(_CHUNK), F.lit(0)
+        data = [c for c in self._df.columns if c != _CHUNK]
+        edges, counts = {}, {}
         in_tail = in_head = F.lit(False)
+        ahead_by = back_by = zero
         if tails:
-            edge = F.get(position.constant([tails[c][0] if c in tails else None for c in range(n_chunks)]), here)
-            in_tail = position.crosses(edge) & (position.row >= edge)
+            edges["__tail"] = [tails[c][0] if c in tails else None for c in range(n_chunks)]
+            counts["__ahead"] = [forward(c) if c in tails else 0 for c in range(n_chunks)]
+            in_tail = position.crosses(F.col("__tail")) & (position.row >= F.col("__tail"))
+            ahead_by = F.col("__ahead")
         if heads:
-            edge = F.get(position.constant([heads[c][0] if c in heads else None for c in range(n_chunks)]), here)
-            in_head = position.crosses(edge) & (position.row <= edge)
-        ahead_by = F.get(_int_constant([forward(c) if c in tails else 0 for c in range(n_chunks)]), here)
-        back_by = F.get(_int_constant([backward(c) if c in heads else 0 for c in range(n_chunks)]), here)
+            edges["__head"] = [heads[c][0] if c in heads else None for c in range(n_chunks)]
+            counts["__back"] = [backward(c) if c in heads else 0 for c in range(n_chunks)]
+            in_head = position.crosses(F.col("__head")) & (position.row <= F.col("__head"))
+            back_by = F.col("__back")
         target = F.explode(
             F.sequence(
                 here - F.when(in_head, back_by).otherwise(zero),
                 here + F.when(in_tail, ahead_by).otherwise(zero),
             )
         ).alias("__target")
-        data = [c for c in self._df.columns if c != _CHUNK]
         return (
-            self._df.select(*data, _CHUNK, target)
+            position.by_chunk(self._df, edges, counts)
+            .select(*data, _CHUNK, target)
             .withColumn(_HALO, F.col("__target") != F.col(_CHUNK))
             .select(*data, F.col("__target").alias(_CHUNK), _HALO)
         )
@@ -333,7 +339,7 @@ class OrderedFrame:
 
     def _join_carry(self, df: DataFrame, carry: DataFrame, cols: list[str]) -> DataFrame:
         keys = list(self.spec.partition_by)
-        c = F.broadcast(carry).alias("carry")  # one row per chunk, <= MAX_CHUNKS
+        c = F.broadcast(carry).alias("carry")  # one row per chunk
         on = F.col(f"main.{_CHUNK}") == F.col(f"carry.{_CHUNK}")
         for k in keys:
             on = on & F.col(f"main.{k}").eqNullSafe(F.col(f"carry.{k}"))
@@ -352,7 +358,8 @@ class _Position:
 
     Timestamps become microseconds, so that a value read to the driver and written into a
     plan is the same in every time zone. Constants are folded into one literal array that
-    every task refers to: nothing is joined, and no array is copied per row.
+    every task refers to: nothing is joined, and no array is copied per row. Layouts of more
+    than ``LITERALS`` chunks join a broadcast table of one row per chunk instead.
     """
 
     def __init__(self, df: DataFrame, spec: SeriesSpec):
@@ -368,6 +375,22 @@ class _Position:
         data = [None if r is None else dict(zip(self.names, r)) for r in rows]
         return F.from_json(F.lit(json.dumps(data, default=str)), T.ArrayType(self.type))
 
+    def by_chunk(self, df: DataFrame, edges: dict[str, list], counts: dict[str, list[int]] | None = None) -> DataFrame:
+        """``df`` and, by name, its chunk's entry of lists of positions and of numbers."""
+        lists = {**edges, **(counts or {})}
+        if not lists:
+            return df
+        if max(map(len, lists.values())) <= LITERALS:
+            here = F.col(_CHUNK)
+            found = {n: F.get(self.constant(x), here) for n, x in edges.items()}
+            return df.withColumns(found | {n: F.get(_int_constant(x), here) for n, x in (counts or {}).items()})
+        fields = [T.StructField(n, self.type if n in edges else T.IntegerType()) for n in lists]
+        rows = [(i, *entry) for i, entry in enumerate(zip(*lists.values(), strict=True))]
+        schema = T.StructType([T.StructField("__number", T.IntegerType()), *fields])
+        table = df.sparkSession.createDataFrame(rows, schema)
+        # One row per chunk of max_rows rows.
+        return df.join(F.broadcast(table), F.col(_CHUNK) == F.col("__number"), "left").drop("__number")
+
     def crosses(self, edge: Column) -> Column:
         """The row has the key of ``edge`` (a possibly null position)."""
         hit = edge.isNotNull()
@@ -398,16 +421,20 @@ def _choose_ranges(df: DataFrame, spec: SeriesSpec) -> list | None:
     n = df.count()
     if n <= spec.max_rows and spec.mode == "auto":
         return None
-    chunks = min(MAX_CHUNKS, max(2, -(-n // spec.max_rows)))
+    chunks = max(2, -(-n // spec.max_rows))
     fraction = min(1.0, SAMPLES_PER_CHUNK * chunks / max(n, 1))
-    # The sample is bounded by MAX_CHUNKS * SAMPLES_PER_CHUNK narrow rows.
     position = _Position(df, spec)
-    narrow = df.select(*position.columns)
-    sample = [tuple(r) for r in narrow.sample(fraction, seed=42).orderBy(*position.names).collect()]
+    sample = df.select(*position.columns).sample(fraction, seed=42)
+    if chunks <= LITERALS:
+        rows = [tuple(r) for r in sample.orderBy(*position.names).collect()]
+        borders = [rows[i * len(rows) // chunks] for i in range(1, chunks)] if rows else []
+    else:
+        borders = _every(sample, position.names, max(1, int(fraction * n / chunks)))
     ranges: list = []
-    for i in range(1, chunks):
-        row = sample[i * len(sample) // chunks] if sample else None
-        if row is not None and (not ranges or row != ranges[-1]):
+    for row in borders:
+        # One NaN object: tuples that hold the same one are equal.
+        row = tuple(math.nan if isinstance(v, float) and math.isnan(v) else v for v in row)
+        if not ranges or row != ranges[-1]:
             ranges.append(row)
     if spec.mode == "auto" and spec.partition_by:
         starts = [r[: len(spec.partition_by)] for r in ranges]
@@ -416,9 +443,42 @@ def _choose_ranges(df: DataFrame, spec: SeriesSpec) -> list | None:
     return ranges
 
 
+def _every(sample: DataFrame, names: list[str], k: int) -> list:
+    """Each ``k``-th row of a large sample in order; only these reach the driver.
+
+    The sample is a series itself, so its rows are numbered in the layout its size asks for.
+    """
+    numbered = OrderedFrame(materialize(sample), SeriesSpec(tuple(names))).row_index("__i").df
+    kept = numbered.where((F.col("__i") % k == 0) & (F.col("__i") > 0)).orderBy("__i")
+    return [tuple(r) for r in kept.select(*names).collect()]
+
+
 def _tag(df: DataFrame, spec: SeriesSpec, ranges: list) -> DataFrame:
     """Add the chunk number: how many boundaries are <= the row.
 
+    Beyond ``LITERALS`` boundaries the row is first placed between every so manyth of them;
+    the boundaries of that stretch then come from a broadcast table.
+    """
+    if len(ranges) <= LITERALS:
+        return _tag_by_literals(df, spec, ranges)
+    step = -(-len(ranges) // LITERALS)
+    position = _Position(df, spec)
+    stretches = [(i // step + 1, i + 1, [dict(zip(position.names, r)) for r in ranges[i + 1 : i + step]]) for i in range(0, len(ranges), step)]
+    schema = T.StructType(
+        [T.StructField("__stretch", T.IntegerType()), T.StructField("__low", T.IntegerType()), T.StructField("__borders", T.ArrayType(position.type))]
+    )
+    table = df.sparkSession.createDataFrame(stretches, schema)
+    coarse = _tag_by_literals(df, spec, ranges[::step])
+    # All boundaries, one for max_rows rows, in at most LITERALS rows.
+    found = coarse.join(F.broadcast(table), F.col(_CHUNK) == F.col("__stretch"), "left")
+    inside = _search(F.col("__borders"), position.row, F.lit(0), F.size("__borders"), step)
+    chunk = F.when(F.col("__stretch").isNull(), 0).otherwise(F.col("__low") + inside)
+    return found.select(*df.columns, chunk.alias(_CHUNK))
+
+
+def _tag_by_literals(df: DataFrame, spec: SeriesSpec, ranges: list) -> DataFrame:
+    """Add the chunk number.
+
     A numeric first column is looked up in a sorted array; only rows that share its value
     with a boundary (the hot keys) are compared as a whole, by binary search.
     """
@@ -471,8 +531,8 @@ def _search(borders: Column, me: Column, low: Column, high: Column, widest: int)
 def _only_crossing_keys(df: DataFrame, spec: SeriesSpec, ranges: list, upper: bool) -> DataFrame:
     """Rows whose key goes on into the next (``upper``) or began in an earlier chunk."""
     position = _Position(df, spec)
-    here = F.col(_CHUNK) if upper else F.col(_CHUNK) - 1
-    return df.where(position.crosses(F.get(position.constant(ranges), here)))
+    edges = [*ranges, None] if upper else [None, *ranges]
+    return position.by_chunk(df, {"__border": edges}).where(position.crosses(F.col("__border"))).drop("__border")
 
 
 def _edge_rows(narrow: DataFrame, spec: SeriesSpec, ranges: list, reach: int, last: bool) -> dict:

@@ -94,6 +94,41 @@ def test_layouts_match_brute_force(spark, keyed, mode, max_rows):
     _same(got, _brute(rows, keyed))
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("max_rows", [3, 40])
+def test_more_chunks_than_literals(spark, monkeypatch, keyed, max_rows):
+    monkeypatch.setattr(o, "LITERALS", 4)
+    rows = _series()
+    spec = SeriesSpec(("t", "id"), ("k",) if keyed else (), max_rows, "chunked")
+    got, frame = _spark_result(spark, rows, spec)
+    assert frame.chunked
+    _same(got, _brute(rows, keyed))
+
+
+@pytest.mark.parametrize("literals", [5_000, 7])
+def test_rows_per_chunk_do_not_grow_with_the_chunk_count(spark, monkeypatch, literals):
+    monkeypatch.setattr(o, "LITERALS", literals)
+    for n in (2_000, 20_000):
+        df = spark.range(n).select(F.xxhash64("id").alias("t"), "id")
+        s = OrderedFrame(df, SeriesSpec(("t", "id"), (), 50, "chunked"))
+        sizes = [r["count"] for r in s._df.groupBy(o._CHUNK).count().collect()]
+        assert sum(sizes) == n and len(sizes) > 0.9 * n / 50
+        # Every second row is sampled: neighbouring boundaries are about max_rows apart.
+        assert max(sizes) <= 2 * 50
+
+
+@pytest.mark.parametrize("literals", [5_000, 3])
+def test_null_and_nan_boundaries(spark, monkeypatch, literals):
+    monkeypatch.setattr(o, "LITERALS", literals)
+    rows = [(None if i % 5 == 0 else float("nan") if i % 5 == 1 else float(i % 7), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k double, i int").withColumn("t", F.timestamp_seconds(F.col("i") * 3600))
+    res = {}
+    for mode in ("plain", "chunked"):
+        s = OrderedFrame(df, SeriesSpec(("t",), ("k",), 4, mode)).with_ops([o.lag("i", 7, "l"), o.lead("i", 6, "d")])
+        res[mode] = sorted((r["i"], r["l"], r["d"], r["ix"]) for r in s.row_index("ix").df.na.fill(-1, ["l", "d"]).collect())
+    assert res["plain"] == res["chunked"]
+
+
 def test_auto_stays_plain_without_hot_key(spark):
     rows = _series(hot=0.0, keys=200)
     df = spark.createDataFrame(rows, "k int, t int, id int, v int")
