@@ -71,9 +71,12 @@ CLOSED = """allh as (select event_type, date_trunc('hour', ts)::timestamp as dat
     where datetime + interval 1 hour <= (select max(ts) from events) - interval 2 hour)"""
 
 
+def _aggs():
+    return {"cnt": F.count(F.lit(1)), "users_sum": F.sum("user_id")}
+
+
 def _hours(spark, sf):
-    aggs = {"cnt": F.count(F.lit(1)), "users_sum": F.sum("user_id")}
-    return jobs.hourly_stream(_events(spark, sf), "ts", aggs, ["event_type"])
+    return jobs.hourly_stream(_events(spark, sf), "ts", _aggs(), ["event_type"])
 
 
 @query("x02_stream_hourly_demand", f"with {CLOSED} select event_type, datetime, cnt, users_sum from closed")
@@ -81,6 +84,16 @@ def _hourly_stream(spark, sf):
     return _drain(spark, _hours(spark, sf), "hour-stream")
 
 
+@query(
+    "x04_stream_hours_with_closing_step",
+    f"with {CLOSED} select event_type, datetime, cnt, users_sum from allh",
+)
+def _all_hours(spark, sf):
+    closed = _drain(spark, _hours(spark, sf), "hour-stream")
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
+    return closed.unionByName(jobs.open_hours(events, closed, "ts", _aggs(), ["event_type"]))
+
+
 X_W = "(partition by event_type order by datetime)"
 
 

@@ -1,8 +1,8 @@
 """Streaming counterparts of the batch jobs: pricing, hourly counts, lag features.
 
 Row-local rules are the batch functions applied to a streaming frame. Row windows do not
-exist on streams, so lag features join each micro-batch with the last rows of every key,
-kept in a small state table.
+exist on streams, so lag features join each micro-batch with the last rows of its keys,
+kept in a state table.
 """
 
 from __future__ import annotations
@@ -21,6 +21,11 @@ from demandspark.plans.pricing import price_table
 from demandspark.sources import contract
 
 
+#: Buckets of the state of lag features; each is a folder of one file.
+STATE_BUCKETS = 256
+_SLOTS = "bucket int, slot int"
+
+
 def read_stream(
     spark: SparkSession, path: str, schema: str | T.StructType, glob: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -64,13 +69,43 @@ def hourly_stream(
 ) -> DataFrame:
     """Hourly aggregates per key on a stream; events later than ``delay`` are dropped.
 
-    In append mode an hour appears once the watermark has passed its end.
+    In append mode an hour appears once the watermark has passed its end. ``late_rows`` reports
+    what was dropped, ``open_hours`` gives the hours that a finished source leaves open.
     """
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     counted = timed.groupBy(F.window(ts, "1 hour"), *keys).agg(*[c.alias(n) for n, c in aggs.items()])
     return counted.select(*keys, F.col("window.start").alias(name), *aggs)
 
 
+def open_hours(
+    events: DataFrame,
+    written: DataFrame,
+    ts: str,
+    aggs: dict[str, Column],
+    keys: Sequence[str] = (),
+    name: str = "datetime",
+) -> DataFrame:
+    """Closing step: hours of a finished source (a plain table) after the last written hour.
+
+    Every earlier hour that had events in time has been written, so the two together are the
+    hours of the whole source. Only events after that hour are read.
+    """
+    last = written.agg(F.max(name)).first()[0]
+    if last is not None:
+        begin = F.lit(last) + F.expr("interval 1 hour")
+        events = events.where(F.col(ts).cast("timestamp") >= begin)
+    return hourly_stream(events, ts, aggs, keys, name=name)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark, over the batches whose progress is kept.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` of them. Rows of one
+    task, key and hour are counted once, as they are combined before the watermark is applied.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def write_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to parquet files and stop when the available input is done."""
     return (
@@ -84,36 +119,52 @@ def write_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def lag_feature_stream(
-    hours: DataFrame, spec: SeriesSpec, ops: Sequence[Op], path: str, state: str, checkpoint: str
+    hours: DataFrame, spec: SeriesSpec, ops: Sequence[Op], path: str, state: str, checkpoint: str, buckets: int = STATE_BUCKETS
 ) -> StreamingQuery:
     """Append ordered-series features of arriving rows to ``path``.
 
-    Rows must arrive in series order per key across batches, as closed hours do. Each batch
-    is computed together with the last ``reach`` rows per key of the batch before. Batch N
-    reads state slot (N - 1) % 2 and overwrites slot N % 2 and its own output folder, so a
-    batch that is run again after a failure gives the same files.
+    Rows must arrive in series order per key across batches, as closed hours do. Each batch is
+    computed together with the last ``reach`` rows of its keys, which are kept in hash buckets:
+    only buckets with new rows are read and written again. A bucket has two slots and a batch
+    writes the one it doesn't read; which slots are current is a small table of its own, also
+    in two slots. So a batch that is run again after a failure gives the same files.
     """
     if any(op.ahead for op in ops):
         raise ValueError("a stream has no later rows: lead is not available")
     reach = max((op.back for op in ops), default=0)
     cols = hours.columns
     schema = hours.schema
+    bucket = F.pmod(F.xxhash64(*spec.partition_by), F.lit(buckets)).cast("int") if spec.partition_by else F.lit(0)
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("__new", F.lit(True))
+        # Both have at most one row per bucket.
+        current: dict[int, int] = {}
         if epoch > 0:
-            old = spark.read.schema(schema).parquet(f"{state}/slot={(epoch - 1) % 2}")
-            rows = rows.unionByName(old.withColumn("__new", F.lit(False)))
-        # Read twice below; the micro-batch is small and is recomputed if a block is lost.
-        rows = rows.persist()
+            current = dict(spark.read.schema(_SLOTS).parquet(f"{state}/current/{(epoch - 1) % 2}").collect())
+        new = batch.withColumns({"__bucket": bucket, "__new": F.lit(True)}).persist()
+        rows = new
         try:
-            done = OrderedFrame(rows, spec).with_ops(ops).df.where("__new").drop("__new")
+            touched = {r[0] for r in new.select("__bucket").distinct().collect()}
+            old = [f"{state}/rows/__bucket={b}/__slot={current[b]}" for b in sorted(touched & current.keys())]
+            if old:
+                before = spark.read.schema(schema).parquet(*old)
+                rows = new.unionByName(before.withColumns({"__bucket": bucket, "__new": F.lit(False)})).persist()
+            done = OrderedFrame(rows.drop("__bucket"), spec).with_ops(ops).df.where("__new").drop("__new")
             done.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-            w = Window.partitionBy(*spec.partition_by).orderBy(*[F.desc(c) for c in spec.order_by])
-            tail = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= reach)
-            tail.select(*cols).write.mode("overwrite").parquet(f"{state}/slot={epoch % 2}")
+            if touched:
+                w = Window.partitionBy("__bucket", *spec.partition_by).orderBy(*[F.desc(c) for c in spec.order_by])
+                tail = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= reach)
+                other = {b: 1 - current.get(b, 1) for b in touched}
+                number = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(other.items()) for x in pair]), F.col("__bucket"))
+                tail = tail.select(*cols, "__bucket", number.alias("__slot")).repartition("__bucket")
+                kept = tail.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                kept.partitionBy("__bucket", "__slot").parquet(f"{state}/rows")
+                current |= other
+            slots = spark.createDataFrame(sorted(current.items()), _SLOTS)
+            slots.coalesce(1).write.mode("overwrite").parquet(f"{state}/current/{epoch % 2}")
         finally:
+            new.unpersist()
             rows.unpersist()
 
     return (

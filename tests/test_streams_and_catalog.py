@@ -36,6 +36,46 @@ def test_lag_features_across_batches(spark, tmp_path):
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
 
 
+def test_only_touched_state_buckets_are_written(spark, tmp_path):
+    keys = [f"k{i}" for i in range(12)]
+    hours = [(k, h) for h in range(6) for k in keys if h % 2 == 0 or k in ("k0", "k1")]
+    src, state = f"{tmp_path}/src", f"{tmp_path}/state"
+    rows = spark.createDataFrame(hours, "k string, h int").select(
+        "k", F.timestamp_seconds(F.col("h") * 3600).alias("datetime"), (F.col("h") * 5 + F.length("k")).cast("long").alias("cnt")
+    )
+    for h in range(6):
+        rows.where(F.hour("datetime") == h).coalesce(1).write.mode("append").parquet(src)
+    spec = SeriesSpec(("datetime",), ("k",), mode="plain")
+    ops = [o.lag("cnt", 2, "l2"), o.rolling_mean("cnt", 3, "m3")]
+    stream = jobs.read_stream(spark, src, SCHEMA, files_per_batch=1)
+    jobs.lag_feature_stream(stream, spec, ops, f"{tmp_path}/out", state, f"{tmp_path}/chk", buckets=16).awaitTermination()
+    want = OrderedFrame(rows, spec).with_ops(ops).df
+    got = spark.read.parquet(f"{tmp_path}/out").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Last batch: k0 and k1 only. Buckets of others were last written one batch before.
+    folders = {p.parent.parent.name: p.parent.parent for p in (tmp_path / "state" / "rows").glob("*/*/*.parquet")}
+    newest = {name: max(f.stat().st_mtime for f in folder.glob("*/*.parquet")) for name, folder in folders.items()}
+    touched = {f"__bucket={r[0]}" for r in rows.where(F.col("k").isin("k0", "k1")).select(F.pmod(F.xxhash64("k"), F.lit(16))).collect()}
+    assert len(newest) > len(touched)
+    assert max(t for n, t in newest.items() if n not in touched) < min(newest[n] for n in touched)
+
+
+def test_late_and_open_hours_are_accounted_for(spark, tmp_path):
+    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    for minutes in ([0, 70, 130], [400, 410], [415], [10, 420, 430]):  # the 10 comes after hour 0 is closed
+        part = spark.createDataFrame([(m,) for m in minutes], "m int").select(F.timestamp_seconds(F.col("m") * 60).alias("ts"))
+        part.coalesce(1).write.mode("append").parquet(src)
+    aggs = {"n": F.count(F.lit(1))}
+    events = jobs.read_stream(spark, src, "ts timestamp", files_per_batch=1)
+    q = jobs.write_files(jobs.hourly_stream(events, "ts", aggs), out, f"{tmp_path}/chk")
+    q.awaitTermination()
+    closed = spark.read.schema("datetime timestamp, n bigint").parquet(out)
+    rest = jobs.open_hours(spark.read.parquet(src), closed, "ts", aggs)
+    hours = {r.datetime.hour: r.n for r in closed.unionByName(rest).collect()}
+    assert hours == {0: 1, 1: 1, 2: 1, 6: 3, 7: 2} and rest.count() == 2
+    assert jobs.late_rows(q) == 1 and sum(hours.values()) + jobs.late_rows(q) == 9
+
+
 def test_late_hours_are_held_back(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     assert ev.count() > 0
