@@ -39,6 +39,8 @@ SEED = 42
 RADIUS = 2
 #: Distinct fingerprints in a bucket that one task compares pair by pair.
 MOST = 1 << 13
+#: Rows of one fingerprint that may meet in one task.
+HOT = 1 << 20
 _ROWS = 1 << 16
 _ELEMENTS = 1 << 14
 #: A byte's bits, each as a byte of its own.
@@ -242,29 +244,45 @@ def _found(t: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int) -> pa.R
 
 
 def classes(fps: DataFrame, smallest: Column, radius: int = RADIUS, name: str = "fp", most: int = MOST) -> DataFrame:
-    """(fp, first): for each distinct fingerprint the smallest value of ``smallest`` over its component."""
-    distinct = written(fps.groupBy(name).agg(F.min(smallest).alias("own")), "distinct")
+    """(fp, copies, first): for each distinct fingerprint its rows and the smallest value of
+    ``smallest`` over its component."""
+    distinct = written(fps.groupBy(name).agg(F.min(smallest).alias("own"), F.count("*").alias("copies")), "distinct")
     found = components(links(distinct.select(name), radius, most, name))
     known = distinct.join(found.select(F.col("node").alias(name), "root"), name, "left").withColumn("root", F.coalesce("root", name))
     known = written(known, "known")
     first = known.groupBy("root").agg(F.min("own").alias("first"))
-    return known.join(first, "root").select(name, "first")
+    return known.join(first, "root").select(name, "copies", "first")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def with_class(fps: DataFrame, known: DataFrame, name: str = "fp", hot: int = HOT) -> DataFrame:
+    """The rows of ``fps`` with ``first`` of their fingerprint; ``known`` as ``classes`` gives it.
+
+    Fingerprints of more than ``hot`` rows, at most one for so many rows of the table, are
+    broadcast, so that their copies stay where they are.
+    """
+    known = written(known, "classes")
+    many = known.where(F.col("copies") > hot).select(name, "first")
+    rest = known.select(name, "first")
+    if not many.head(1):
+        return fps.join(rest, name)
+    many = F.broadcast(many)
+    return fps.join(many, name).unionByName(fps.join(many, name, "left_anti").join(rest, name))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """(id, fingerprint, component_id) for every row."""
     fps = written(fingerprints(docs, (id_col,), text, "__fp"), "fingerprints")
     known = classes(fps, F.col(id_col), radius, "__fp")
     hex_ = F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint")
-    return fps.join(known, "__fp").select(id_col, hex_, F.col("first").alias("component_id"))
+    return with_class(fps, known, "__fp", hot).select(id_col, hex_, F.col("first").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null ids last), and of
     those the first in the table."""
     key = free_name(docs, "row_key")
     fps = written(fingerprints(docs, (F.col(id_col).alias("id"), row_key(docs).alias("key")), text), "fingerprints")
     order = F.struct(F.col("id").isNull(), "id", "key")
     known = classes(fps, order, radius)
-    dropped = fps.join(known, "fp").where(F.col("first.key") != F.col("key")).select(F.col("key").alias(key))
+    dropped = with_class(fps, known, "fp", hot).where(F.col("first.key") != F.col("key")).select(F.col("key").alias(key))
     return docs.withColumn(key, row_key(docs)).join(written(dropped, "dropped"), key, "left_anti").drop(key)

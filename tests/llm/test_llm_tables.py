@@ -34,6 +34,14 @@ def test_fingerprint_edges(docs, edges):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_fingerprints_of_very_many_rows(docs):
+    rows = [(i, "the same text again" if i % 3 == 0 else f"text {i % 20} of some more words {i % 20}") for i in range(150)] + [(None, None), (7, "")]
+    df = docs(rows, clash=True)
+    few, many = ([sorted(map(str, f(df, hot=n).collect())) for n in (simhash.HOT, 5)] for f in (simhash.near_duplicates, simhash.one_of_each))
+    assert few[0] == few[1] and len(few[0]) == len(rows)
+    assert many[0] == many[1]
+
+
 @pytest.mark.parametrize("most", [1 << 13, 8, 1])
 def test_links_reach_as_far_as_all_pairs(spark, most):
     rng = np.random.default_rng(4)
