@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.words import ALNUM, chunks, hash_spans, words
+from demandspark.llm.words import ALNUM, chunks, hash_spans, slices, words
 
 BITS = 20
 #: A word's first so many bytes are features as well: inflected words share them.
 STEMS = (4, 5, 6)
 MAX_ROWS = 12_000
 EPOCHS = 3
+#: Text whose features are made at once: six for a word, of some twelve bytes each.
+CHUNK_BYTES = 1 << 20
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -36,23 +38,23 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     """(first and last row, row from first, feature) by chunk: every word, pair and skip pair,
     repeats included."""
     shift = np.uint64(64 - BITS)
-    for chunk in chunks(column):
+    for chunk in chunks(column, limit=CHUNK_BYTES):
         found = words(chunk, ALNUM)
-        h, row = hash_spans(chunk.data, found.starts, found.ends), found.rows()
-        rows, feats = [row], [(h * _PAIR) >> shift]
+        h, row = hash_spans(chunk.data, found.starts, found.ends), found.rows().astype(np.int32)
+        rows, feats = [row], [((h * _PAIR) >> shift).astype(np.int32)]
         length = found.ends - found.starts
         for size in STEMS:
             long = np.flatnonzero(length >= size)
             stem = hash_spans(chunk.data, found.starts[long], found.starts[long] + size, size)
             rows.append(row[long])
-            feats.append((stem * _SKIP) >> shift)
+            feats.append(((stem * _SKIP) >> shift).astype(np.int32))
         for gap, salt in ((1, _PAIR), (2, _SKIP)):
             if len(h) > gap:
                 same = row[gap:] == row[:-gap]
                 pair = (h[:-gap] * salt + (h[gap:] ^ (h[gap:] >> np.uint64(31)))) * _SKIP
                 rows.append(row[gap:][same])
-                feats.append(pair[same] >> shift)
-        yield chunk.first, chunk.last, np.concatenate(rows), np.concatenate(feats).astype(np.int32)
+                feats.append((pair[same] >> shift).astype(np.int32))
+        yield chunk.first, chunk.last, np.concatenate(rows), np.concatenate(feats)
 
 
 @dataclass
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     pairs = _thinned(pairs, matched, 2 * max_rows, spread)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, 2 * CHUNK_BYTES)):
             sets: list[np.ndarray] = []
             for first, last, row, feat in features(batch.column(0)):
                 both = np.unique((row.astype(np.int64) << BITS) | feat)
