@@ -22,7 +22,7 @@ non-null id. Repeated rows are copies of each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,7 +47,7 @@ _ELEMENTS = 1 << 14
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def _shingle_hashes(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle of a chunk, and how many each row has."""
     found = words(chunk, NOT_SPACE)
     lengths = found.ends - found.starts
@@ -71,7 +71,7 @@ def fingerprint_of(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
     """Unsigned fingerprint of each text."""
     out = [np.zeros(0, np.uint64)]
     for chunk in chunks(column):
-        hashes, n = _shingle_hashes(chunk, size)
+        hashes, n = shingle_hashes(chunk, size)
         full = np.flatnonzero(n)
         fp = np.zeros(len(n), np.uint64)
         if len(full):
@@ -246,8 +246,13 @@ def _found(t: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int) -> pa.R
 def classes(fps: DataFrame, smallest: Column, radius: int = RADIUS, name: str = "fp", most: int = MOST) -> DataFrame:
     """(fp, copies, first): for each distinct fingerprint its rows and the smallest value of
     ``smallest`` over its component."""
+    return known_classes(fps, smallest, lambda distinct: links(distinct, radius, most, name), name)
+
+
+def known_classes(fps: DataFrame, smallest: Column, find_links: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``classes`` for links of any kind, found from the distinct values of ``name``."""
     distinct = written(fps.groupBy(name).agg(F.min(smallest).alias("own"), F.count("*").alias("copies")), "distinct")
-    found = components(links(distinct.select(name), radius, most, name))
+    found = components(find_links(distinct.select(name)))
     known = distinct.join(found.select(F.col("node").alias(name), "root"), name, "left").withColumn("root", F.coalesce("root", name))
     known = written(known, "known")
     first = known.groupBy("root").agg(F.min("own").alias("first"))
