@@ -4,13 +4,16 @@ Tokens are summed in cells of source, language and topic. Cell weights start as
 shares of the tokens and are raked: in turn each of the three marginals is scaled to its target,
 until ``SWEEPS`` rounds are done. The ratio of a cell's weight to its share, times a common
 factor, is the probability of its documents; the factor is set so that the expected tokens are
-``keep`` of all, and no probability exceeds one, as no document is taken twice. A document is
-taken if a hash of its id is below its probability.
+``keep`` of all, and no probability exceeds one, as no document is taken twice. So that the
+sample meets the targets all the same, cells are raked again under that bound, and fewer tokens
+are kept if there are too few of some value (``bounded``; op10's SQL cuts off at one instead). A
+document is taken if a hash of its id is below its probability.
 
 Targets are shares by value; a marginal without given targets gets each value's share of the
 tokens to a power below one, which lifts small sources. Values without a target have target
 zero, targets of values that don't occur are left out, the rest is scaled to one. All columns of
-expressions: no Python runs on the data.
+expressions: no Python runs on the data; raking under the bound takes up to ``WINDOW_ROWS`` cells
+to the driver, more stay in Spark.
 
 Null source or language is a value of its own. Documents without tokens weigh nothing and keep
 the probability ``keep``. Repeated ids are decided alike.
@@ -18,6 +21,8 @@ the probability ``keep``. Repeated ids are decided alike.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +37,12 @@ TOPICS = (("legal", ("icense", "opyright")), ("contact", ("@",)), ("web", ("http
 GENERAL = "general"
 _FACTOR_ROUNDS = 8
 _WRITE_EVERY = 3
+#: Rounds under the bound, as a multiple of the others; how far a marginal may be off, as a
+#: fraction of its target; steps by which the kept share is lowered until it is met.
+BOUND_SWEEPS = 2
+CLOSE = 1e-3
+MOST_SWEEPS = 2_000
+_INSIDE, _LOWER = 0.98, 0.9
 #: Cells are broadcast up to so many rows, about 100 bytes each.
 BROADCAST_ROWS = 100_000
 #: More cells than this are not summed by window, as one value may hold most of them.
@@ -68,24 +79,116 @@ def _targets(dim: str, given: dict[str | None, float] | None) -> Column:
     return out
 
 
-def _with_marginal(now: DataFrame, dim: str, name: str, wide: bool) -> DataFrame:
-    """The cells ``now`` and the sum of their weights over all cells of the same value of ``dim``.
+def _with_marginal(now: DataFrame, dim: str, name: str, wide: bool, weight: Column | None = None) -> DataFrame:
+    """The cells ``now`` and the sum of their weights ``w`` (or ``weight``) over all cells of the
+    same value of ``dim``.
 
     ``wide``: there are so many cells that no task may hold those of one value. Weights are then
     combined in every task, and each value's sum is joined to its cells.
     """
+    weight = F.col("w") if weight is None else weight
     if not wide:
-        return now.withColumn(name, F.sum("w").over(Window.partitionBy(dim)))
+        return now.withColumn(name, F.sum(weight).over(Window.partitionBy(dim)))
     now = written(now, "weights")
-    sums = written(now.groupBy(dim).agg(F.sum("w").alias(name)), "marginal")
+    sums = written(now.groupBy(dim).agg(F.sum(weight).alias(name)), "marginal")
     sums = F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums
     return now.join(sums, dim)
 
 
+def _under_bound(now: DataFrame, sweeps: int, keep: float, wide: bool) -> tuple[DataFrame, float]:
+    """``now`` with weights ``x`` whose values ``least(x, 1 / keep of the share)`` meet the targets,
+    and the share of all tokens that is kept, at most ``keep``.
+
+    Cells at probability one are left there, the others of a value are scaled to what is left of
+    its target. A value of which less is there than its target asks for lowers the share.
+    """
+    marginals = [now.where(F.col(f"t_{d}") > 0).agg(F.min(F.col(f"m_{d}") / F.col(f"t_{d}"))).first()[0] for d in DIMENSIONS]
+    most = now.agg(F.max(F.col("w") / F.col("share"))).first()[0]
+    reach = min([m for m in marginals if m is not None], default=keep)
+    # Right at its limit a value's cells would grow without end.
+    kept = keep if reach >= keep else _INSIDE * reach
+    if not wide:
+        return _under_bound_here(now, kept, most)
+    now = now.withColumn("x", F.col("w"))
+    while most and kept * most > 1:
+        cap = F.col("share") / F.lit(kept)
+        for sweep in range(1, BOUND_SWEEPS * sweeps + 1):
+            for d in DIMENSIONS:
+                full = F.col("x") >= cap
+                now = _with_marginal(now, d, "fixed", wide, F.when(full, cap).otherwise(0.0))
+                now = _with_marginal(now, d, "free", wide, F.when(full, 0.0).otherwise(F.col("x")))
+                left = F.col(f"t_{d}") - F.col("fixed")
+                scale = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(
+                    F.col("fixed") + F.col("free") > 0, F.col(f"t_{d}") / (F.col("fixed") + F.col("free"))
+                )
+                now = now.withColumn("x", F.coalesce(F.col("x") * scale, F.lit(0.0))).drop("fixed", "free")
+            if sweep % _WRITE_EVERY == 0 or sweep == BOUND_SWEEPS * sweeps:
+                now = written(now, "bounded")
+        q, off = F.least(F.col("x"), cap), []
+        for d in DIMENSIONS:
+            by = now.groupBy(d).agg(F.sum(q).alias("q"), F.max(f"t_{d}").alias("t"))
+            off.append(by.agg(F.max(F.abs(F.col("q") - F.col("t")) / F.greatest("t", F.lit(1e-12)))).first()[0] or 0.0)
+        if max(off) <= CLOSE:
+            return now, kept
+        # At one over the largest ratio no cell is at its bound, and raking alone meets the targets.
+        kept = max(_LOWER * kept, 1 / most)
+        if kept * most <= 1 + 1e-9:
+            return now.withColumn("x", F.col("w")), kept
+    return now, kept
+
+
+def _under_bound_here(now: DataFrame, kept: float, most: float | None) -> tuple[DataFrame, float]:
+    """``_under_bound`` for the few cells that windows take, in numpy on the driver."""
+    rows = now.select(*DIMENSIONS, "tokens", "w", "share", *[f"t_{d}" for d in DIMENSIONS]).toArrow()
+    schema = now.select(*DIMENSIONS, "tokens", "w", "share").schema.add("x", "double")
+    w, share = (rows.column(c).to_numpy().astype(float) for c in ("w", "share"))
+    value = [rows.column(d).combine_chunks().dictionary_encode().indices.to_numpy() if len(w) else np.zeros(0, int) for d in DIMENSIONS]
+    target = [rows.column(f"t_{d}").to_numpy().astype(float) for d in DIMENSIONS]
+    x = w.copy()
+    while most and kept * most > 1 + 1e-9:
+        cap, near = share / kept, False
+        for _ in range(MOST_SWEEPS):
+            for v, t in zip(value, target):
+                full = x >= cap
+                fixed = np.bincount(v, np.where(full, cap, 0.0))[v]
+                free = np.bincount(v, np.where(full, 0.0, x))[v]
+                left = t - fixed
+                scale = np.divide(left, free, out=np.divide(t, fixed + free, out=np.zeros_like(t), where=fixed + free > 0), where=(left > 0) & (free > 0))
+                x = np.minimum(x * scale, 1e100)
+            q = np.minimum(x, cap)
+            off = max(float(np.max(np.abs(np.bincount(v, q)[v] - t) / np.maximum(t, 1e-12))) for v, t in zip(value, target))
+            near = near or off <= CLOSE
+            if off <= 1e-9:
+                break
+        if near:
+            break
+        kept = max(_LOWER * kept, 1 / most)
+        x = w.copy()
+    columns = [*(rows.column(c) for c in (*DIMENSIONS, "tokens", "w", "share")), pa.chunked_array([pa.array(x)])]
+    table = pa.Table.from_arrays(columns, names=schema.names)
+    return now.sparkSession.createDataFrame(table, schema), kept
+
+
+def marginals(found: DataFrame) -> DataFrame:
+    """(dim, value, target, reached) from rows of cells as ``cells`` gives them: raked and expected
+    shares of the tokens of the sample."""
+    total = found.agg(F.sum("w").alias("w"), F.sum(F.col("tokens") * F.col("probability")).alias("s"))
+    parts = [
+        found.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.sum("w").alias("target"), F.sum(F.col("tokens") * F.col("probability")).alias("reached"))
+        for d in DIMENSIONS
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).crossJoin(F.broadcast(total))
+    return out.select("dim", "value", (F.col("target") / F.col("w")).alias("target"), (F.col("reached") / F.col("s")).alias("reached"))
+
+
 def cells(
-    rows: DataFrame, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, window_rows: int = WINDOW_ROWS
+    rows: DataFrame, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, window_rows: int = WINDOW_ROWS, bounded: bool = True
 ) -> DataFrame:
-    """(source, lang, topic, tokens, w, probability) from rows of (source, lang, topic, n_tokens)."""
+    """(source, lang, topic, tokens, w, probability) from rows of (source, lang, topic, n_tokens).
+
+    ``bounded``: the expected sample meets the targets, where needed with fewer tokens than
+    ``keep`` of all. Else probabilities are cut off at one, as in ``ORACLE_SQL``.
+    """
     targets = targets or {}
     sums = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
     total, n_cells = sums.agg(F.sum("tokens"), F.count("*")).first()
@@ -104,7 +207,11 @@ def cells(
             now = now.withColumn("w", F.when(F.col("own") > 0, F.col("w") * F.col(f"t_{d}") / F.col("own")).otherwise(0.0)).drop("own")
         if sweep % _WRITE_EVERY == 0 or sweep == sweeps:
             now = written(now, "raked")
-    ratio = F.col("w") / (F.col("tokens") / F.lit(float(max(total, 1))))
+    weight = "w"
+    if bounded:
+        now, keep = _under_bound(now.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1)))), sweeps, keep, wide)
+        weight = "x"
+    ratio = F.col(weight) / (F.col("tokens") / F.lit(float(max(total, 1))))
     now = written(now.select(*DIMENSIONS, "tokens", "w", ratio.alias("ratio")), "ratios")
     factor = keep
     for _ in range(_FACTOR_ROUNDS):
@@ -131,7 +238,7 @@ def _joined(rows: DataFrame, found: DataFrame, names: dict[str, str], probabilit
     return out.withColumn(probability, F.coalesce(probability, F.lit(keep)))
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", keep: float = KEEP) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", keep: float = KEEP, bounded: bool = True) -> DataFrame:
     """(id, source, lang, topic, n_tokens, probability, kept) for every row."""
     rows = written(
         docs.select(
@@ -140,7 +247,7 @@ def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str
         ),
         "tokens",
     )
-    out = _joined(rows, cells(rows, targets, keep=keep), {d: d for d in DIMENSIONS}, "probability", keep)
+    out = _joined(rows, cells(rows, targets, keep=keep, bounded=bounded), {d: d for d in DIMENSIONS}, "probability", keep)
     return out.select(
         id_col, F.col("own_source").alias("source"), F.col("own_lang").alias("lang"), F.substring("topic", 2, 99).alias("topic"), "n_tokens",
         F.round("probability", 6).alias("probability"), (chance(id_col) < F.col("probability")).alias("kept"),
