@@ -7,15 +7,16 @@ gzip, bzip2 or xz, give a layer of their own. Every layer keeps for each of its
 stretch of the original text it came from, so a secret found at any depth is reported by its
 place there. A layer whose text came from the same stretch before is not taken up again.
 
-Rows are independent. Null is an empty text. A compressed layer is read up to
-``MAX_LAYER_BYTES`` decoded bytes, which stops decompression bombs; the row's own text is never
-cut. Spans are in code points, end exclusive, and named once each.
+A base64 run that is no text as a whole is also tried line by line, after each '/', '_' and '-',
+and at the four alignments; bytes that are no text are replaced.
+
+Rows are independent. Null is an empty text. A compressed layer is read whole, in overlapping
+pieces of ``MAX_LAYER_BYTES`` decoded bytes, which bounds memory; the row's own text is never cut. Spans are in code points, end exclusive, and named once each.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
+#: Pieces of inflated data share so many bytes.
+OVERLAP = 1 << 20
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -41,6 +44,7 @@ _ESCAPES = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&\#([0-9]{1,7});|&\#[xX]([0-9A-Fa-f]{1,6});"
 )
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{12,}={0,2}")
+_GLUE = re.compile(r"[/_-]")
 _CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 
 
@@ -95,15 +99,13 @@ def _rebuilt(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(text), starts, ends)
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    try:
-        decoded = bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
     out, at = [], m.start()
-    for char in decoded:
-        width = 3 * len(char.encode())
-        out.append((char, at, at + width))
+    for char in bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape"):
+        # A byte that is no text stands for itself.
+        odd = 0xDC80 <= ord(char) < 0xDD00
+        width = 3 if odd else 3 * len(char.encode())
+        out.append(("\ufffd" if odd else char, at, at + width))
         at += width
     return out
 
@@ -119,53 +121,124 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     units = [int(x, 16) for x in m[0].split("\\u")[1:]]
     while units:
         two = len(units) > 1 and 0xD800 <= units[0] < 0xDC00 <= units[1] < 0xE000
-        if not two and 0xD800 <= units[0] < 0xE000:
-            return None
         n = 2 if two else 1
-        char = chr(0x10000 + ((units[0] - 0xD800) << 10) + units[1] - 0xDC00) if two else chr(units[0])
+        char = chr(0x10000 + ((units[0] - 0xD800) << 10) + units[1] - 0xDC00) if two else "\ufffd" if 0xD800 <= units[0] < 0xE000 else chr(units[0])
         out.append((char, at, at + 6 * n))
         at, units = at + 6 * n, units[n:]
     return out
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """The content of a compressed stream; None if it is none."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and raw[1:2] in b"\x01\x5e\x9c\xda" and len(raw) > 2):
-            return zlib.decompressobj(47).decompress(raw, MAX_LAYER_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MAX_LAYER_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
+def _decompressor(raw: bytes):
+    """A new decompressor for what ``raw`` starts with; None if that is no compressed stream."""
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda") and len(raw) > 2):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _plain(raw: bytes) -> str | None:
-    """Bytes as text: unwrapped from compression as often as needed, UTF-8 without controls."""
-    while (inner := _inflated(raw)) is not None and inner != raw:
-        raw = inner
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """The content of all members of a compressed stream, in pieces of ``MAX_LAYER_BYTES`` that
+    overlap by ``OVERLAP``; what stands before damage is read. Nothing if it is no stream."""
+    piece = b""
+    while (stream := _decompressor(raw)) is not None:
+        data = raw
+        try:
+            while not stream.eof:
+                got = stream.decompress(data, max(1, MAX_LAYER_BYTES - len(piece)))
+                data = stream.unconsumed_tail if hasattr(stream, "unconsumed_tail") else b""
+                piece += got
+                if len(piece) >= MAX_LAYER_BYTES:
+                    yield piece
+                    piece = piece[-OVERLAP:]
+                elif not got and not data:
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            break
+        rest = stream.unused_data if stream.eof else b""
+        if len(rest) >= len(raw):
+            break
+        raw = rest
+    if piece:
+        yield piece
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, bool]]:
+    """Bytes as text, unwrapped from compression as often as needed, and whether all of it is
+    UTF-8 without controls. Bytes that are no text are replaced."""
+    if _decompressor(raw) is not None:
+        some = False
+        for piece in _inflated(raw):
+            some = True
+            for text, _ in _texts(piece):
+                yield text, True
+        if some:
+            return
+    text = raw.decode(errors="replace")
+    if text:
+        yield text, "\ufffd" not in text and not _CONTROL.search(text)
+
+
+def _decoded(run: str) -> bytes:
+    """A base64 run without its line ends; a last character that is no byte is left out."""
+    run = re.sub(r"[\r\n=]", "", run).translate(_URL_SAFE)
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _leads_on(text: str) -> bool:
+    """Whether a layer can give any span, itself or by what is encoded in it."""
+    return bool(scan(text) or _BASE64.search(text) or _PERCENT.search(text) or _ESCAPES.search(text))
+
+
+def _starts(run: str) -> Iterator[int]:
+    """Where base64 may start in a run: at its start, after what may be glued to it, and at the
+    other three alignments."""
+    yield 0
+    for m in _GLUE.finditer(run):
+        yield m.end()
+    yield from (1, 2, 3)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
+    def found(first: int, last: int, texts) -> Iterator[Layer]:
+        for text in texts:
+            n, start, end = len(text), layer.starts[first], layer.ends[last - 1]
+            yield Layer(text, [start] * n, [end] * n)
+
     for m in _BASE64.finditer(layer.text):
-        run = re.sub(r"[\r\n=]", "", m[0])
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.translate(_URL_SAFE) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
+        whole = [*_texts(_decoded(m[0]))]
+        if len(re.sub(r"[\r\n=]", "", m[0])) % 4 != 1 and whole and all(clean for _, clean in whole):
+            yield from found(*m.span(), [text for text, _ in whole])
             continue
-        text = _plain(raw)
-        if text is not None:
-            n, start, end = len(text), layer.starts[m.start()], layer.ends[m.end() - 1]
-            yield Layer(text, [start] * n, [end] * n)
+        # Not one run as a whole: the block without its last line, its lines, and both from any
+        # place where something else may be glued to the front.
+        parts = [m.span()]
+        breaks = [k.span() for k in re.finditer(r"\r?\n", m[0])]
+        if breaks:
+            parts = [(m.start(), m.start() + breaks[-1][0]), m.span()]
+            edges = [0, *(x for k in breaks for x in k), len(m[0])]
+            parts += [(m.start() + i, m.start() + j) for i, j in zip(edges[::2], edges[1::2])]
+        rest = m.start()
+        for first, last in dict.fromkeys(parts):
+            if first < rest:
+                continue
+            run, tried, clean_end = layer.text[first:last], set(), False
+            for at in _starts(run):
+                if at in tried or len(run) - at < 8:
+                    continue
+                tried.add(at)
+                # Only what starts as text or as a stream is decoded to its end, but for alignments.
+                if at > 3 and (head := _decoded(run[at : at + 16])) and _decompressor(head) is None and sum(32 <= c < 127 or c > 127 or c in b"\t\n\r" for c in head) < 6:
+                    continue
+                texts = [*_texts(_decoded(run[at:]))]
+                yield from found(first + at, last, [text for text, _ in texts if _leads_on(text)])
+                clean_end = clean_end or at == 0 and bool(texts) and all(clean for _, clean in texts)
+            if breaks and clean_end and last == parts[0][1]:
+                # The block is whole without its last line, which is a run of its own.
+                rest = last
 
 
 _URL_SAFE = str.maketrans("-_", "+/")
