@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.store import written
+from demandspark.llm.store import looked_up, written
 
 MAX_ROUNDS = 60
 
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round sends every larger neighbour of a node to the node's smallest neighbour, then
     every smaller one to the smallest of all; it ends when nothing changes. Rounds are written,
-    so lineage stays short. Smallest neighbours are combined before they are shuffled.
+    so lineage stays short. Smallest neighbours are combined before they are shuffled; those of
+    hubs are broadcast, so that a hub's edges stay where they are.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = written(edges.select(a, b).where("a <> b").distinct(), "edges")
@@ -30,11 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = looked_up(both.where("b > a"), written(least, "least"), "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, written(least, "least"), "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         before, state = state, _state(now)
         if state == before:

@@ -57,3 +57,29 @@ def brute_components(ids, fps, radius=2):
         if ids[i] is not None:
             first[find(i)] = min(first.get(find(i), ids[i]), ids[i])
     return [first.get(find(i)) for i in range(n)]
+
+
+def _shingles(text, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return frozenset(" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def brute_jaccard(rows, over=4, under=5):
+    """The smallest id of each group of (id, text) rows, by comparing all pairs; (ids, similar pairs of different sets)."""
+    sets, root, pairs = [_shingles(t) for _, t in rows], list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both * under >= over * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+                pairs += sets[i] != sets[j]
+    first = {}
+    for i, (k, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), k), k)
+    return sorted(first.values()), pairs
