@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.llm import (
-    decontaminate, html, languageid, lm, mixing, secrets, sharding, simhash, topk, toxicity,
+    decontaminate, html, languageid, lm, mixing, prefixtrie, quality, secrets, sharding, simhash, topk, toxicity, vectorcodes,
 )
 from demandspark.llm.store import remainder, table
 
@@ -64,11 +64,24 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(table(spark, sf_dir, "documents"), bounded=False)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_lm_score, op3_html_text, op4_decontaminate, op5_simhash,
-        op6_topk, op7_toxicity, op8_secrets, op9_shards, op10_mixture,
+        op6_topk, op7_toxicity, op8_secrets, op9_shards, op10_mixture, op11_vector_codes, op12_prefix_trie,
+        op13_quality,
     )
 }
 
@@ -100,4 +113,7 @@ ORACLE: dict[str, str] = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_shards": sharding.ORACLE_SQL,
     "op10_mixture": mixing.ORACLE_SQL,
+    "op11_vector_codes": vectorcodes.ORACLE_SQL,
+    "op12_prefix_trie": prefixtrie.ORACLE_SQL,
+    "op13_quality": quality.ORACLE_SQL,
 }

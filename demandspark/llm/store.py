@@ -48,13 +48,18 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 #: A key of more rows is looked up by broadcast: at most one for so many rows.
 HOT = 1 << 18
+#: Tables of so many short rows are broadcast whole.
+FEW_KEYS = 100_000
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str, hot: int = HOT) -> DataFrame:
     """``rows`` joined with a written table of one row a key, where ``n`` is the key's rows.
 
-    Rows of hot keys stay where they are; the others are shuffled by their key.
+    Rows of hot keys stay where they are; the others are shuffled by their key, if there are more
+    than ``FEW_KEYS`` keys.
     """
+    if found.count() <= FEW_KEYS:
+        return rows.join(F.broadcast(found), key)
     many = found.where(F.col(n) > hot)
     if not many.head(1):
         return rows.join(found, key)
