@@ -6,6 +6,7 @@ scalars on the driver, a few per column; data rows never are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ from demandspark.operators import profile as prof
 from demandspark.operators.quantiles import (
     exact_quantiles,
     grouped_quantiles,
-    mixed_quantiles,
     ranked_counts,
     value_counts,
 )
@@ -27,6 +27,8 @@ from demandspark.session import materialize
 OUTLIER_METHODS = ("iqr", "zscore")
 IQR_FACTOR = 1.5
 Z_LIMIT = 3.0
+GRAM_BLOCK = 6  # columns; 36 products, so that all sums are under the 100 fields of generated code
+PEEK_ROWS = 1_000
 BROADCAST_ROWS = 100_000  # largest rank table that is broadcast; its size is counted first
 SALT_ROWS = 4_000_000  # rows of one value that a task of a rank join may hold
 
@@ -127,25 +129,21 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     cols = sel.pick(sel.numeric_columns(df), cols)
     if not cols:
         return prof.numeric_summary(df, cols)
-    q = mixed_quantiles(df, cols, [(0.25, "nearest"), (0.5, "linear"), (0.75, "nearest")])
-    base = prof.numeric_summary(df, cols, shape=True, medians={c: q[c][1] for c in cols})
-    bounds, scales = {c: _bounds(q[c][0], q[c][2]) for c in cols}, z_scales(df, cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    counted = df.agg(
-        *[F.count_if(iqr_flag(x[c], bounds[c])).alias(f"{c}__iqr") for c in cols],
-        *[F.count_if(z_flag(x[c], scales[c])).alias(f"{c}__z") for c in cols],
-    )
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            round2(F.lit(bounds[c].iqr)).alias("iqr_value"),
-            F.col(f"{c}__iqr").alias("outlier_count_iqr"),
-            F.col(f"{c}__z").alias("outlier_count_zscore"),
-        )
-        for c in cols
-    ]
-    # Both sides have one row per column.
-    return base.join(F.broadcast(counted.select(F.inline(F.array(*entries)))), "column")
+    counts = prof.numeric_counts(df, cols)
+    facts = prof.column_facts(counts, {**prof.MEDIAN, "q1": (0.25, "nearest"), "q3": (0.75, "nearest")})
+    base = prof.summary_rows(counts, facts, shape=True)
+    bounds = {c: _bounds(f.quantiles["q1"], f.quantiles["q3"]) for c, f in facts.items()}
+    scales = {c: Scale(f.mean, f.std) for c, f in facts.items()}
+    # Flags differ by column, whose name decides which bounds a counted value meets.
+    flags = {"iqr": F.lit(False), "zscore": F.lit(False)}
+    for c in facts:
+        mine = F.col("column") == c
+        flags["iqr"] = F.when(mine, iqr_flag(F.col("value"), bounds[c])).otherwise(flags["iqr"])
+        flags["zscore"] = F.when(mine, z_flag(F.col("value"), scales[c])).otherwise(flags["zscore"])
+    found = counts.groupBy("column").agg(*[F.coalesce(F.sum(F.when(f, F.col("n"))), F.lit(0)).alias(f"outlier_count_{m}") for m, f in flags.items()])
+    iqr = F.create_map(*[x for c in facts for x in (F.lit(c), F.lit(bounds[c].iqr).cast("double"))])
+    found = found.select("column", round2(iqr[F.col("column")]).alias("iqr_value"), "outlier_count_iqr", "outlier_count_zscore")
+    return base.join(F.broadcast(found), "column")
 
 
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -184,6 +182,8 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, nulls: str
         raise ValueError("at least two numeric columns are required")
     if nulls not in ("propagate", "pairwise"):
         raise ValueError("nulls must be 'propagate' or 'pairwise'")
+    if nulls == "propagate":
+        return _gram_correlation(df, cols)
     x = [F.col(c).cast("double") for c in cols]
     entries = F.array(
         *[
@@ -193,14 +193,66 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, nulls: str
             if i <= j
         ]
     )
-    pairs = _pair_correlation(df.select(F.inline(entries)), ["a", "b"], nulls)
+    return _mirrored(_pair_correlation(df.select(F.inline(entries)), ["a", "b"], nulls))
+
+
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    """Both orders of each pair (a, b, r), and one for a column with itself."""
     r = F.when((F.col("a") == F.col("b")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r"))
     both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    # The small result, mirrored.
     out = pairs.select(F.explode(F.array_distinct(both)).alias("p"), r.alias("r"))
     return out.select("p.a", "p.b", "r")
 
 
+def _gram_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, r) from the Gram matrix of the columns, in blocks of ``GRAM_BLOCK`` by ``GRAM_BLOCK``.
+
+    A row gives one entry for each pair of blocks, whose products are summed map-side by
+    generated code, so one row for each pair of blocks and task is shuffled. Values are taken
+    about the mean of some first rows, so that large means cost no digits.
+    """
+    named = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    finite = [F.avg(F.when(F.abs(F.col(c)) < float("inf"), F.col(c))) for c in named.columns]
+    shifted = [F.col(c) - F.lit(m or 0.0) for c, m in zip(named.columns, named.limit(PEEK_ROWS).agg(*finite).first())]
+    starts = range(0, len(cols), GRAM_BLOCK)
+    block = lambda s: F.array(*shifted[s : s + GRAM_BLOCK])
+    pairs = [(i, j) for i in starts for j in starts if i <= j]
+    entries = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), block(i).alias("x"), block(j).alias("y")) for i, j in pairs]
+    rows = named.select(F.inline(F.array(*entries)))
+    at = [(p, q) for p in range(GRAM_BLOCK) for q in range(GRAM_BLOCK)]
+    left = {p: F.get("x", F.lit(p)) for p in range(GRAM_BLOCK)}
+    right = {q: F.get("y", F.lit(q)) for q in range(GRAM_BLOCK)}
+    rows = rows.select("i", "j", *[c.alias(f"x{p}") for p, c in left.items()], *[c.alias(f"y{q}") for q, c in right.items()])
+    product = lambda p, q: F.sum(F.when((F.col("i") < F.col("j")) | (p <= q), F.col(f"x{p}") * F.col(f"y{q}"))).alias(f"s{p}_{q}")
+    alone = F.col("i") == F.col("j")
+    sums = rows.groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n"), *[product(p, q) for p, q in at],
+        *[F.sum(F.when(alone, F.col(f"x{p}"))).alias(f"t{p}") for p in range(GRAM_BLOCK)], *[F.count(F.when(alone, F.col(f"x{p}"))).alias(f"c{p}") for p in range(GRAM_BLOCK)],
+    )
+    cross, total, n = {}, {}, {}
+    for r in sums.collect():
+        cross.update({(r["i"] + p, r["j"] + q): r[f"s{p}_{q}"] for p, q in at})
+        if r["i"] == r["j"]:
+            total.update({r["i"] + p: (r[f"t{p}"], r[f"c{p}"]) for p in range(GRAM_BLOCK)})
+            n = r["n"]
+    rows_out = []
+    for i, a in enumerate(cols):
+        for j in range(i, len(cols)):
+            rows_out.append((a, cols[j], _correlation(n, total.get(i), total.get(j), cross.get((i, j)), cross.get((i, i)), cross.get((j, j)))))
+    return _mirrored(df.sparkSession.createDataFrame(rows_out, "a string, b string, r double"))
+
+
+def _correlation(n, one, two, both, own, other) -> float | None:
+    """Pearson's r from sums, products and squares; None with a null or a constant side."""
+    if not n or one[1] < n or two[1] < n:
+        return None
+    covariance, mine, its = (p - s[0] * t[0] / n for p, s, t in ((both, one, two), (own, one, one), (other, two, two)))
+    # A constant column has nothing but rounding left.
+    if any(v <= 1e-14 * max(abs(p), 1e-300) for v, p in ((mine, own), (its, other))):
+        return None
+    return covariance / math.sqrt(mine * its)
+
+
 def _pair_correlation(pairs: DataFrame, by: Sequence[str], nulls: str) -> DataFrame:
     """(by..., r) from entries (by..., x, y), summed map-side: one row per pair is shuffled.
 

@@ -1,13 +1,15 @@
 """Table profile: schema, nulls, duplicates, size, numeric and categorical summaries.
 
-Moments of all columns come from one wide aggregate; distinct counts, modes, top values
-and entropy from one value-count pass whose shuffle key contains the value. Reports are a
-few rows per column; no table row reaches the driver.
+A table's numeric columns are counted by value in one scan, whose shuffle key contains the
+value; moments, quantiles, modes, distinct and outlier counts all come from those counts. Reports
+are a few rows per column; no table row reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 
 from demandspark.functions.numeric import round2
 from demandspark.operators import columns as sel
-from demandspark.operators.quantiles import exact_quantiles, melt, top_values, value_counts
+from demandspark.operators.quantiles import count_quantiles, top_values, value_counts
+from demandspark.session import materialize
 
 TOP_MODES = 5
 TOP_VALUES = 10
@@ -136,56 +139,86 @@ def modes(counts: DataFrame) -> DataFrame:
     return listed.select("column", F.transform(keep, lambda x: x["value"]).alias("mode"))
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, rows, mean, std, variance, min, max, count, skewness, kurtosis), unrounded.
+@dataclass(frozen=True)
+class Facts:
+    """What is known of one column: plain numbers, None where there is no value."""
 
-    Columns become (column, value) entries that are summed map-side: the generated code
-    stays small however many columns there are, and one row per column is shuffled.
+    rows: int
+    count: int
+    unique: int
+    low: float | None
+    high: float | None
+    mean: float | None
+    variance: float | None
+    skewness: float | None
+    kurtosis: float | None
+    quantiles: dict[str, float | None]
+
+    @property
+    def std(self) -> float | None:
+        return None if self.variance is None else math.sqrt(self.variance)
+
+
+def column_facts(counts: DataFrame, wanted: dict[str, tuple[float, str]]) -> dict[str, Facts]:
+    """Facts by column from value counts that are cheap to read, in three passes over them.
+
+    Moments are sums about the mean, which the first pass gives.
     """
-    x = F.col("value")
-    return (
-        melt(df, cols, "double")
-        .groupBy("column")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.avg(x).alias("mean"),
-            F.stddev(x).alias("std"),
-            F.variance(x).alias("variance"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.count(x).alias("count"),
-            F.skewness(x).alias("skewness"),
-            F.kurtosis(x).alias("kurtosis"),
-        )
+    n, v = F.col("n"), F.col("value")
+    first = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("count"), F.count(F.lit(1)).alias("unique"),
+        F.min(v).alias("low"), F.max(v).alias("high"), F.sum(n * v).alias("total"),
     )
+    basics = {r["column"]: r for r in first.collect()}
+    means = {c: r["total"] / r["count"] if r["count"] else None for c, r in basics.items()}
+    known = [x for c, m in means.items() if m is not None for x in (F.lit(c), F.lit(m))]
+    d = v - (F.create_map(*known)[F.col("column")] if known else F.lit(None))
+    powers = counts.groupBy("column").agg(*[F.sum(n * F.pow(d, F.lit(float(k)))).alias(f"m{k}") for k in (2, 3, 4)])
+    moments = {r["column"]: r for r in powers.collect()}
+    found = {r["column"]: r for r in count_quantiles(counts, wanted).collect()}
+    out = {}
+    for c, r in basics.items():
+        count, (m2, m3, m4) = r["count"], (moments[c][f"m{k}"] for k in (2, 3, 4))
+        spread = count > 0 and m2 != 0
+        out[c] = Facts(
+            r["rows"], count, r["unique"], r["low"], r["high"], means[c], m2 / (count - 1) if count > 1 else None,
+            math.sqrt(count) * m3 / math.sqrt(m2 * m2 * m2) if spread else None, count * m4 / (m2 * m2) - 3.0 if spread else None,
+            {name: found[c][name] if c in found else None for name in wanted},
+        )
+    return out
 
 
-def numeric_summary(
-    df: DataFrame,
-    cols: Sequence[str] | None = None,
-    shape: bool = False,
-    medians: dict[str, float | None] | None = None,
-) -> DataFrame:
-    """One row per numeric column; ``missing_pct`` is a fraction here. Empty table: no rows.
+MEDIAN = {"median": (0.5, "linear")}
 
-    ``shape`` adds skewness and (excess) kurtosis; known ``medians`` are not computed again.
-    """
+
+def numeric_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Value counts of numeric columns, written once."""
+    return materialize(value_counts(df, cols))
+
+
+def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per numeric column; ``missing_pct`` is a fraction here. Empty table: no rows."""
     cols = sel.pick(sel.numeric_columns(df), cols)
     if not cols:
         return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
-    if medians is None:
-        medians = {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
-    counts = value_counts(df, cols)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    median = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(medians[c]).cast("double"))])
-    base = moments(df, cols)
+    counts = numeric_counts(df, cols)
+    return summary_rows(counts, column_facts(counts, MEDIAN))
+
+
+def summary_rows(counts: DataFrame, facts: dict[str, Facts], shape: bool = False) -> DataFrame:
+    """The summary from value counts and facts; ``shape`` adds skewness and (excess) kurtosis."""
+    rows = [
+        (c, f.rows, f.count, f.unique, f.low, f.high, f.mean, f.quantiles["median"], f.std, f.variance, f.skewness, f.kurtosis) for c, f in facts.items()
+    ]
+    names = ("rows bigint", "count bigint", "unique_values bigint", *(f"{n} double" for n in ("min", "max", "mean", "median", "std", "variance", "skewness", "kurtosis")))
+    base = counts.sparkSession.createDataFrame(rows, "column string, " + ", ".join(names))
     missing = F.col("rows") - F.col("count")
-    # Joins of tables with one row per column.
-    out = base.join(F.broadcast(unique), "column").join(F.broadcast(modes(counts)), "column", "left")
+    # Both sides have one row per column.
+    out = base.join(F.broadcast(modes(counts)), "column", "left")
     return out.select(
         "column",
         round2(F.col("mean")).alias("mean"),
-        round2(median[F.col("column")]).alias("median"),
+        round2(F.col("median")).alias("median"),
         F.coalesce("mode", F.array().cast("array<double>")).alias("mode"),
         round2(F.col("std")).alias("std"),
         round2(F.col("variance")).alias("variance"),

@@ -1,8 +1,12 @@
 """Exact order statistics that do not need a sort of the table or one big buffer.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task. It is used
-only for small tables; above, the value at a rank is found in a few scans: a sketch
-brackets the rank, then only the values inside the bracket are counted.
+only for small tables; above, the value at a rank is found in a few scans: a sketch, merged in
+stages, brackets the rank, then only the values inside the bracket are counted.
+
+Quantiles by group, ranks and column summaries come from counts of distinct values that are cut
+into ranges of about ``PART_ROWS`` of them. A histogram by key and range says in which range a
+rank lies; only that range's values are put in order. So no key, however large, is one task.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +22,12 @@ from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 from demandspark.session import materialize
 
 MAX_ROWS = 8_000_000  # values (over all columns) that one task may hold
-SKETCH_ACCURACY = 10_000
+#: Size of a sketch (at most about three times as many values) and by how much, as a share of the
+#: rows, a bracket is wider than what the sketch says; the error of such a sketch is under 0.1 %.
+SKETCH_SIZE = 4_000
+SKETCH_MARGIN = 0.003
+#: Distinct values of one range.
+PART_ROWS = 1_000_000
 
 
 def nearest_rank(q: float, n: int) -> int:
@@ -126,18 +135,15 @@ def _inside(c: str, lo, hi):
 
 def _tighten(df: DataFrame, todo: list) -> list:
     """Shrink brackets with a sketch of the rows inside, then count around the result."""
-    margin = 20.0 / SKETCH_ACCURACY
-    aggs = []
+    brackets = _brackets(todo)
+    sketches = _staged_sketches(df, [F.when(_inside(c, lo, hi), F.col(c).cast("double")) for c, _, lo, hi, _b, _n in brackets])
+    slots = {(t[0], t[2], t[3]): i for i, t in enumerate(brackets)}
+    ends = []
     for i, (c, r, lo, hi, below, n) in enumerate(todo):
-        p = (r - below) / max(n - 1, 1)
-        aggs.append(
-            F.percentile_approx(
-                F.when(_inside(c, lo, hi), F.col(c).cast("double")),
-                [max(0.0, p - margin), min(1.0, p + margin)],
-                SKETCH_ACCURACY,
-            ).alias(f"b{i}")
-        )
-    row = df.agg(*aggs).first()
+        p, sketch = (r - below) / max(n - 1, 1), F.col(f"k{slots[(c, lo, hi)]}")
+        at = [F.kll_sketch_get_quantile_double(sketch, F.lit(x)) for x in (max(0.0, p - SKETCH_MARGIN), min(1.0, p + SKETCH_MARGIN))]
+        ends.append(F.array(*at).alias(f"b{i}"))
+    row = sketches.select(*ends).first()
     checks = []
     for i, (c, _, lo, hi, _b, _n) in enumerate(todo):
         x = F.col(c).cast("double")
@@ -162,6 +168,19 @@ def _tighten(df: DataFrame, todo: list) -> list:
     return result
 
 
+def _staged_sketches(df: DataFrame, values: list) -> DataFrame:
+    """One row of sketches k0, k1, .. of the values, merged in two stages.
+
+    Tasks' sketches first meet in as many groups as the square root of their number, so that
+    neither stage brings more than that many together.
+    """
+    tasks = df.rdd.getNumPartitions()
+    group = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks)))).alias("g")
+    named = df.select(group, *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    some = named.groupBy("g").agg(*[F.kll_sketch_agg_double(f"v{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(len(values))])
+    return some.agg(*[F.kll_merge_agg_double(f"k{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(len(values))])
+
+
 def _count_in_brackets(df: DataFrame, todo: list) -> list:
     """(column, rank, value) from the value counts inside each bracket."""
     done = [(c, r, lo) for c, r, lo, hi, _, n in todo if n == 0]
@@ -243,14 +262,48 @@ def value_counts(df: DataFrame, cols: Sequence[str], dtype: str = "double", by:
     return counts.select(*by, "column", F.coalesce("d", F.col("i").cast("double")).alias("value"), "n")
 
 
+def ranged(counts: DataFrame, by: Sequence[str] = (), max_rows: int = PART_ROWS) -> DataFrame:
+    """Counts (by..., column, value, n) of non-null values with ``part``, their range of values.
+
+    Ranges are of about ``max_rows`` rows over all columns and groups, and are written, so that a
+    row's range stays what it is.
+    """
+    counts = counts.where(F.col("value").isNotNull())
+    parts = -(-counts.count() // max_rows)
+    if parts <= 1:
+        return counts.withColumn("part", F.lit(0))
+    return materialize(counts.repartitionByRange(parts, "column", "value", *by).withColumn("part", F.spark_partition_id()))
+
+
+def _keyed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with their group and column as one key that equals itself with nulls inside."""
+    return rows.withColumn("__key", F.struct(*by, "column"))
+
+
+def _histogram(rows: DataFrame) -> DataFrame:
+    """(__key, part, m, before, total): rows of each range, before it, and of the key.
+
+    One row for each key and range: as few are windowed by key.
+    """
+    w = Window.partitionBy("__key")
+    hist = rows.groupBy("__key", "part").agg(F.sum("n").alias("m"))
+    upto = F.sum("m").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    return hist.select("__key", "part", "m", (upto - F.col("m")).alias("before"), F.sum("m").over(w).alias("total"))
+
+
+def _cum_in_part() -> Column:
+    """Rows of the key's range up to and including the value."""
+    return F.sum("n").over(Window.partitionBy("__key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+
+
 def ranked_counts(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), max_rows: int = MAX_ROWS
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), max_rows: int = PART_ROWS
 ) -> DataFrame:
     """Value counts of non-null values with ``cum``, the number of rows up to each value."""
-    counts = value_counts(df, cols, "double", by).where(F.col("value").isNotNull())
-    big = df.count() > max_rows
-    spec = SeriesSpec(("value",), (*by, "column"), max_rows, "auto" if big else "plain")
-    return OrderedFrame(materialize(counts) if big else counts, spec).running_sum("n", "cum").df
+    rows = _keyed(ranged(materialize(value_counts(df, cols, "double", by)), by, max_rows), by)
+    hist = _histogram(rows).select("__key", "part", "before")
+    placed = rows.withColumn("cum", _cum_in_part()).join(hist, ["__key", "part"])
+    return placed.select(*by, "column", "value", "n", (F.col("cum") + F.col("before")).alias("cum"))
 
 
 def grouped_quantiles(
@@ -259,48 +312,41 @@ def grouped_quantiles(
     probs: dict[str, float],
     by: Sequence[str] = (),
     method: str = "linear",
-    max_rows: int = MAX_ROWS,
+    max_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """(by..., column, <name per quantile>) for every group, exact at any group size.
+    """(by..., column, <name per quantile>) for every group, exact at any group size."""
+    counts = materialize(value_counts(df, cols, "double", by))
+    return count_quantiles(counts, {name: (q, method) for name, q in probs.items()}, by, max_rows)
 
-    The rank is looked up in cumulative value counts; the last step aggregates one row
-    per distinct value with plain min/max, so a hot group is combined before its shuffle.
-    """
-    ranked = ranked_counts(df, cols, by, max_rows)
-    keys = [*by, "column"]
-    totals = ranked.groupBy(*keys).agg(F.max("cum").alias("total"))
-    return _pick_quantiles(ranked, totals, keys, probs, method)
-
-
-def _pick_quantiles(ranked, totals, keys, probs, method) -> DataFrame:
-    # Total per key = max over the running sum; joined back by key (small unless there are
-    # many groups, so Spark picks the strategy by size).
-    on = None
-    for k in keys:
-        c = F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-        on = c if on is None else on & c
-    j = ranked.alias("r").join(totals.alias("t"), on).select("r.*", "t.total")
-    aggs = []
-    for name, q in probs.items():
+
+def count_quantiles(
+    counts: DataFrame, wanted: dict[str, tuple[float, str]], by: Sequence[str] = (), max_rows: int = PART_ROWS
+) -> DataFrame:
+    """(by..., column, <name per quantile>) from counts (by..., column, value, n) that are cheap to
+    read; ``wanted`` has a probability and a method by name."""
+    rows = _keyed(ranged(counts, by, max_rows), by)
+    entries = []
+    for name, (q, method) in wanted.items():
         pos = F.lit(float(q)) * (F.col("total") - 1)
-        if method == "nearest":
-            rank = F.floor(pos + F.lit(0.5))
-            aggs.append(F.min(F.when(F.col("cum") > rank, F.col("value"))).alias(name))
-        else:
-            lo, hi = F.floor(pos), F.ceil(pos)
-            aggs += [
-                F.min(F.when(F.col("cum") > lo, F.col("value"))).alias(f"__lo_{name}"),
-                F.min(F.when(F.col("cum") > hi, F.col("value"))).alias(f"__hi_{name}"),
-            ]
-    out = j.groupBy(*keys, "total").agg(*aggs)
-    if method == "linear":
-        cols = []
-        for name, q in probs.items():
-            pos = F.lit(float(q)) * (F.col("total") - 1)
-            lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-            cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-        out = out.select(*keys, "total", *cols)
-    return out.drop("total")
+        ends = {"": F.floor(pos + F.lit(0.5))} if method == "nearest" else {"lo": F.floor(pos), "hi": F.ceil(pos)}
+        entries += [F.struct(F.lit(f"{name}{e}").alias("name"), rank.cast("bigint").alias("rank")) for e, rank in ends.items()]
+    hist = _histogram(rows)
+    asked = hist.select("*", F.inline(F.array(*entries)))
+    asked = asked.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("m")))
+    # A row for each key, quantile and end; the values of their ranges alone are put in order.
+    asked = materialize(asked.select("__key", "part", "name", (F.col("rank") - F.col("before")).alias("at"), "total"))
+    inside = rows.join(asked.select("__key", "part").distinct(), ["__key", "part"], "left_semi")
+    inside = inside.select("__key", "part", "value", _cum_in_part().alias("cum"), "n")
+    found = inside.join(asked, ["__key", "part"]).where((F.col("cum") > F.col("at")) & (F.col("cum") - F.col("n") <= F.col("at")))
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    aggs = [value(f"{name}{e}").alias(f"__{e}_{name}") for name, (_, m) in wanted.items() for e in ([""] if m == "nearest" else ["lo", "hi"])]
+    out = found.groupBy("__key").agg(F.max("total").alias("total"), *aggs)
+    cols = []
+    for name, (q, method) in wanted.items():
+        pos = F.lit(float(q)) * (F.col("total") - 1)
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        cols.append((F.col(f"___{name}") if method == "nearest" else lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return out.select(*[F.col("__key")[k].alias(k) for k in (*by, "column")], *cols)
 
 
 def top_values(counts: DataFrame, limit: int, by: Sequence[str] = ("column",)) -> DataFrame:

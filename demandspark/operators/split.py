@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec
+from demandspark.operators.quantiles import values_at_ranks
 
+#: Rows that are put in order in one task to find a position.
+SORTED_ROWS = 200_000
 SPLIT = "split"
 
 
@@ -51,23 +54,78 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def _positions(df: DataFrame, spec: SeriesSpec, ranks: list[int]) -> dict[int, list[Column]]:
-    """Order values (as literals) of the rows at the given positions."""
-    types = [df.schema[c].dataType for c in spec.order_by]
-    found = (
-        OrderedFrame(df.select(*spec.order_by), spec)
-        .row_index("__i")
-        .df.where(F.col("__i").isin(ranks))
-        .select(
-            "__i",
-            *[
-                F.unix_micros(c).alias(c) if isinstance(t, T.TimestampType) else F.col(c)
-                for c, t in zip(spec.order_by, types)
-            ],
-        )
-        .collect()
-    )
-    return {r["__i"]: [_literal(r[c], t) for c, t in zip(spec.order_by, types)] for r in found}
+def _numeric(df: DataFrame, c: str) -> Column | None:
+    """The column as a double in its own order, if its type has one."""
+    dtype = df.schema[c].dataType
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return F.col(c).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c)).cast("double")
+    return None
+
+
+def _narrowed(df: DataFrame, spec: SeriesSpec, n: int, ranks: list[int]) -> list[tuple[DataFrame, int, int]] | None:
+    """For each rank a part of the rows that holds its row, how many rows come before that part in
+    series order, and how many it has.
+
+    A value of the first order column is found for each rank; the part is the rows of that value.
+    """
+    x = _numeric(df, spec.order_by[0])
+    if x is None:
+        return None
+    named = df.withColumn("__x", x)
+    nulls, nans = named.agg(F.count_if(F.col("__x").isNull()), F.count_if(F.isnan("__x"))).first()
+    real = named.where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    inner = {r - nulls for r in ranks if nulls <= r < n - nans}
+    values = values_at_ranks(real.select("__x"), {"__x": inner}, {"__x": n - nulls - nans}, max_rows=SORTED_ROWS)["__x"] if inner else {}
+    distinct = sorted(set(values.values()))
+    counts = real.agg(*[F.count_if(F.col("__x") < v) for v in distinct], *[F.count_if(F.col("__x") == v) for v in distinct]).first() if distinct else ()
+    found = {v: (nulls + counts[i], counts[len(distinct) + i]) for i, v in enumerate(distinct)}
+    out = []
+    for r in ranks:
+        if r < nulls:
+            out.append((named.where(F.col("__x").isNull()), 0, nulls))
+        elif r >= n - nans:
+            out.append((named.where(F.isnan("__x")), n - nans, nans))
+        else:
+            v = values[r - nulls]
+            out.append((real.where(F.col("__x") == v), *found[v]))
+    return [(part.drop("__x"), before, size) for part, before, size in out]
+
+
+def _positions(df: DataFrame, spec: SeriesSpec, n: int, ranks: list[int]) -> dict[int, list[Column]]:
+    """Order values (as literals) of the rows at the given positions.
+
+    Ranks are found by value, in the first order column and then, among the rows of that value,
+    in the next ones, until ``SORTED_ROWS`` or fewer are left to be put in order. Rows are never
+    numbered.
+    """
+    rows = df.select(*spec.order_by)
+    out = {}
+    for r in [r for r in ranks if r < n]:
+        part, rank, size, order = rows, r, n, list(spec.order_by)
+        while size > SORTED_ROWS and order:
+            found = _narrowed(part, SeriesSpec(tuple(order)), size, [rank])
+            if found is None:
+                break
+            (part, before, size), rank, order = found[0], rank - found[0][1], order[1:]
+        types = {c: df.schema[c].dataType for c in spec.order_by}
+        shown = [F.unix_micros(c).alias(c) if isinstance(t, T.TimestampType) else F.col(c) for c, t in types.items()]
+        if order and size > SORTED_ROWS:
+            # Text has no number to be found by.
+            at = OrderedFrame(part, spec).row_index("__i").df.where(F.col("__i") == rank)
+            row = at.select(*shown).first()
+        else:
+            # The rows up to the rank, of which the last is kept: only top rows of each task meet.
+            top = part.orderBy(*spec.order_by).limit(rank + 1)
+            last = top.select(F.max(F.struct(*spec.order_by)).alias("top"))
+            row = last.select("top.*").select(*shown).first()
+        out[r] = [_literal(row[c], t) for c, t in types.items()]
+    return out
 
 
 def _upto(spec: SeriesSpec, at: list[Column]) -> Column:
@@ -90,7 +148,7 @@ def label_split(df: DataFrame, spec: SeriesSpec, test_size: float = 0.2, val_siz
     split_sizes(0, test_size, val_size)
     n = df.count()
     n_train, n_val = split_sizes(n, test_size, val_size)
-    at = _positions(df, spec, [n_train, n_train + n_val])
+    at = _positions(df, spec, n, [n_train, n_train + n_val])
     label = F.lit("test")
     if n_train + n_val in at:
         label = F.when(_upto(spec, at[n_train + n_val]), F.lit("val")).otherwise(label)
@@ -118,10 +176,11 @@ def label_two_way(df: DataFrame, spec: SeriesSpec, test_size: float = 0.2) -> Da
     _unkeyed(spec)
     if not 0.0 <= test_size <= 1.0:
         raise ValueError("a share of the rows lies in [0, 1]")
-    n_train = int((1 - test_size) * df.count())
+    n = df.count()
+    n_train = int((1 - test_size) * n)
     if n_train == 0:
         return df.withColumn(SPLIT, F.lit("test"))
-    at = _positions(df, spec, [n_train - 1])
+    at = _positions(df, spec, n, [n_train - 1])
     return df.withColumn(
         SPLIT, F.when(_upto(spec, at[n_train - 1]), F.lit("train")).otherwise(F.lit("test"))
     )
