@@ -136,7 +136,7 @@ def _inside(c: str, lo, hi):
 def _tighten(df: DataFrame, todo: list) -> list:
     """Shrink brackets with a sketch of the rows inside, then count around the result."""
     brackets = _brackets(todo)
-    sketches = _staged_sketches(df, [F.when(_inside(c, lo, hi), F.col(c).cast("double")) for c, _, lo, hi, _b, _n in brackets])
+    sketches = staged_sketches(df, [F.when(_inside(c, lo, hi), F.col(c).cast("double")) for c, _, lo, hi, _b, _n in brackets])
     slots = {(t[0], t[2], t[3]): i for i, t in enumerate(brackets)}
     ends = []
     for i, (c, r, lo, hi, below, n) in enumerate(todo):
@@ -168,17 +168,23 @@ def _tighten(df: DataFrame, todo: list) -> list:
     return result
 
 
-def _staged_sketches(df: DataFrame, values: list) -> DataFrame:
-    """One row of sketches k0, k1, .. of the values, merged in two stages.
+def staged_sketches(df: DataFrame, values: Sequence[Column], counts: Sequence[Column] = ()) -> DataFrame:
+    """One row of sketches k0, k1, .. of the values and sums c0, c1, .. of the counts, merged in two
+    stages.
 
     Tasks' sketches first meet in as many groups as the square root of their number, so that
     neither stage brings more than that many together.
     """
     tasks = df.rdd.getNumPartitions()
-    group = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks)))).alias("g")
-    named = df.select(group, *[v.alias(f"v{i}") for i, v in enumerate(values)])
-    some = named.groupBy("g").agg(*[F.kll_sketch_agg_double(f"v{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(len(values))])
-    return some.agg(*[F.kll_merge_agg_double(f"k{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(len(values))])
+    group = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks)))).alias("__g")
+    named = df.withColumns({"__g": group, **{f"__v{i}": v for i, v in enumerate(values)}})
+    some = named.groupBy("__g").agg(
+        *[F.kll_sketch_agg_double(f"__v{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(len(values))], *[c.alias(f"c{i}") for i, c in enumerate(counts)]
+    )
+    return some.agg(
+        *[F.kll_merge_agg_double(f"k{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(len(values))],
+        *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(counts))],
+    )
 
 
 def _count_in_brackets(df: DataFrame, todo: list) -> list:

@@ -1,17 +1,22 @@
 """Temporal splits, expanding-window folds and row union.
 
 Splits find the *row value* at a boundary position once, then filter on it: the parts
-are plain filters of the source, and the first order column's bound reaches the scan.
+are plain filters of the source, and the first order column's bound reaches the scan. A position is
+found by value: one scan counts the rows and sketches the first order column, one counts the rows
+before and in the bracket around the position, and only the bracket's rows are put in order.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec
-from demandspark.operators.quantiles import values_at_ranks
+from demandspark.operators.quantiles import SKETCH_MARGIN, staged_sketches
 
 #: Rows that are put in order in one task to find a position.
 SORTED_ROWS = 200_000
@@ -68,62 +73,106 @@ def _numeric(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _narrowed(df: DataFrame, spec: SeriesSpec, n: int, ranks: list[int]) -> list[tuple[DataFrame, int, int]] | None:
-    """For each rank a part of the rows that holds its row, how many rows come before that part in
-    series order, and how many it has.
+@dataclass(frozen=True)
+class _Survey:
+    """Rows, nulls and NaNs of a table in one column, and a sketch of its other values."""
 
-    A value of the first order column is found for each rank; the part is the rows of that value.
-    """
-    x = _numeric(df, spec.order_by[0])
+    n: int
+    nulls: int = 0
+    nans: int = 0
+    sketch: bytes | None = None
+
+
+def _survey(df: DataFrame, c: str) -> _Survey:
+    """One scan of one column; no sketch if its type has no numbers."""
+    x = _numeric(df, c)
     if x is None:
-        return None
-    named = df.withColumn("__x", x)
-    nulls, nans = named.agg(F.count_if(F.col("__x").isNull()), F.count_if(F.isnan("__x"))).first()
-    real = named.where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    inner = {r - nulls for r in ranks if nulls <= r < n - nans}
-    values = values_at_ranks(real.select("__x"), {"__x": inner}, {"__x": n - nulls - nans}, max_rows=SORTED_ROWS)["__x"] if inner else {}
-    distinct = sorted(set(values.values()))
-    counts = real.agg(*[F.count_if(F.col("__x") < v) for v in distinct], *[F.count_if(F.col("__x") == v) for v in distinct]).first() if distinct else ()
-    found = {v: (nulls + counts[i], counts[len(distinct) + i]) for i, v in enumerate(distinct)}
+        return _Survey(df.count())
+    real = F.when(x.isNotNull() & ~F.isnan(x), x)
+    counts = [F.count(F.lit(1)), F.count_if(x.isNull()), F.coalesce(F.count_if(F.isnan(x)), F.lit(0))]
+    row = staged_sketches(df, [real], counts).first()
+    return _Survey(row["c0"], row["c1"], row["c2"], bytes(row["k0"]) if row["k0"] is not None else None)
+
+
+def _bounds(df: DataFrame, c: str, low: float, high: float) -> Column:
+    """low <= column <= high as numbers, and in the column's own type where that can reach the scan."""
+    x, dtype = _numeric(df, c), df.schema[c].dataType
+    inside = (x >= F.lit(low)) & (x <= F.lit(high))
+    own = {T.DateType: lambda v: F.date_from_unix_date(F.lit(v)), T.TimestampType: lambda v: F.timestamp_micros(F.lit(v))}.get(type(dtype))
+    if isinstance(dtype, T.IntegralType):
+        own = lambda v: F.lit(v).cast(dtype)
+    if own is not None and max(abs(low), abs(high)) < 2**53:
+        inside = inside & (F.col(c) >= own(math.floor(low))) & (F.col(c) <= own(math.ceil(high)))
+    return inside
+
+
+def _brackets(df: DataFrame, c: str, known: _Survey, ranks: list[int], margin: float = SKETCH_MARGIN) -> list[tuple[DataFrame, int, int, bool]]:
+    """For each rank a part of the rows that holds its row, how many rows come before the part, how
+    many it has, and whether all its values of the column are equal. One more scan for all ranks."""
+    x, real = _numeric(df, c), known.n - known.nulls - known.nans
+    inner = [r for r in ranks if known.nulls <= r < known.n - known.nans]
+    ends: dict[int, tuple[float, float]] = {}
+    if inner:
+        sketch = df.sparkSession.createDataFrame([(bytearray(known.sketch),)], "k binary")
+        places = [(r - known.nulls) / max(real - 1, 1) for r in inner]
+        values = [F.kll_sketch_get_quantile_double("k", F.lit(min(1.0, max(0.0, p + e)))) for p in places for e in (-margin, margin)]
+        row = sketch.select(*[v.alias(f"q{i}") for i, v in enumerate(values)]).first()
+        ends = {r: (row[2 * i], row[2 * i + 1]) for i, r in enumerate(inner)}
+    counts = [f for a, b in ends.values() for f in (F.count_if(x < F.lit(a)), F.count_if((x >= F.lit(a)) & (x <= F.lit(b))))]
+    got = df.agg(*[f.alias(f"n{i}") for i, f in enumerate(counts)]).first() if counts else ()
+    found = {r: (known.nulls + got[2 * i], got[2 * i + 1]) for i, r in enumerate(ends)}
     out = []
     for r in ranks:
-        if r < nulls:
-            out.append((named.where(F.col("__x").isNull()), 0, nulls))
-        elif r >= n - nans:
-            out.append((named.where(F.isnan("__x")), n - nans, nans))
+        if r < known.nulls:
+            out.append((df.where(F.col(c).isNull()), 0, known.nulls, True))
+        elif r >= known.n - known.nans:
+            out.append((df.where(F.isnan(x)), known.n - known.nans, known.nans, True))
         else:
-            v = values[r - nulls]
-            out.append((real.where(F.col("__x") == v), *found[v]))
-    return [(part.drop("__x"), before, size) for part, before, size in out]
-
+            (a, b), (before, size) = ends[r], found[r]
+            if before <= r < before + size:
+                # Whole numbers beyond 2^53 can share a double; their order is left to the sort.
+                out.append((df.where(_bounds(df, c, a, b)), before, size, a == b and abs(a) < 2**53))
+            else:
+                out += _brackets(df, c, known, [r], 4 * margin)
+    return out
 
-def _positions(df: DataFrame, spec: SeriesSpec, n: int, ranks: list[int]) -> dict[int, list[Column]]:
-    """Order values (as literals) of the rows at the given positions.
 
-    Ranks are found by value, in the first order column and then, among the rows of that value,
-    in the next ones, until ``SORTED_ROWS`` or fewer are left to be put in order. Rows are never
-    numbered.
-    """
-    rows = df.select(*spec.order_by)
+def _row_at(df: DataFrame, order: list[str], shown: list[Column], rank: int, known: _Survey):
+    """The row at a position: brackets of values are narrowed, in the first column and then in the
+    next ones, until ``SORTED_ROWS`` rows or fewer are left to be put in order."""
+    rest = list(order)
+    while known.n > SORTED_ROWS and rest:
+        if known.sketch is None and _numeric(df, rest[0]) is None:
+            # Text has no number to be bracketed by.
+            return OrderedFrame(df, SeriesSpec(tuple(order))).row_index("__i").df.where(F.col("__i") == rank).select(*shown).first()
+        ((df, before, size, equal),) = _brackets(df, rest[0], known, [rank])
+        rank -= before
+        if equal:
+            rest = rest[1:]
+        elif size == known.n:
+            # Nothing more to narrow.
+            break
+        known = _survey(df, rest[0]) if size > SORTED_ROWS and rest else _Survey(size)
+    if not rest:
+        return df.select(*shown).first()
+    # The last of the rows up to the rank: each task keeps no more than these.
+    last = df.orderBy(*order).limit(rank + 1).select(F.max(F.struct(*order)).alias("top"))
+    return last.select("top.*").select(*shown).first()
+
+
+def _positions(df: DataFrame, spec: SeriesSpec, known: _Survey, ranks: list[int]) -> dict[int, list[Column]]:
+    """Order values (as literals) of the rows at the given positions. Rows are never numbered."""
+    rows, order = df.select(*spec.order_by), list(spec.order_by)
+    types = {c: df.schema[c].dataType for c in order}
+    shown = [F.unix_micros(c).alias(c) if isinstance(t, T.TimestampType) else F.col(c) for c, t in types.items()]
+    ranks = [r for r in ranks if r < known.n]
+    parts = [(rows, 0, known)] * len(ranks)
+    if known.n > SORTED_ROWS and _numeric(df, order[0]) is not None and ranks:
+        found = _brackets(rows, order[0], known, ranks)
+        parts = [(part, before, _survey(part, order[0]) if size > SORTED_ROWS else _Survey(size)) for part, before, size, _ in found]
     out = {}
-    for r in [r for r in ranks if r < n]:
-        part, rank, size, order = rows, r, n, list(spec.order_by)
-        while size > SORTED_ROWS and order:
-            found = _narrowed(part, SeriesSpec(tuple(order)), size, [rank])
-            if found is None:
-                break
-            (part, before, size), rank, order = found[0], rank - found[0][1], order[1:]
-        types = {c: df.schema[c].dataType for c in spec.order_by}
-        shown = [F.unix_micros(c).alias(c) if isinstance(t, T.TimestampType) else F.col(c) for c, t in types.items()]
-        if order and size > SORTED_ROWS:
-            # Text has no number to be found by.
-            at = OrderedFrame(part, spec).row_index("__i").df.where(F.col("__i") == rank)
-            row = at.select(*shown).first()
-        else:
-            # The rows up to the rank, of which the last is kept: only top rows of each task meet.
-            top = part.orderBy(*spec.order_by).limit(rank + 1)
-            last = top.select(F.max(F.struct(*spec.order_by)).alias("top"))
-            row = last.select("top.*").select(*shown).first()
+    for r, (part, before, inner) in zip(ranks, parts):
+        row = _row_at(part, order, shown, r - before, inner)
         out[r] = [_literal(row[c], t) for c, t in types.items()]
     return out
 
@@ -146,9 +195,9 @@ def label_split(df: DataFrame, spec: SeriesSpec, test_size: float = 0.2, val_siz
     """Add ``split`` = train / val / test; bounds are inclusive, so train has one row more."""
     _unkeyed(spec)
     split_sizes(0, test_size, val_size)
-    n = df.count()
-    n_train, n_val = split_sizes(n, test_size, val_size)
-    at = _positions(df, spec, n, [n_train, n_train + n_val])
+    known = _survey(df, spec.order_by[0])
+    n_train, n_val = split_sizes(known.n, test_size, val_size)
+    at = _positions(df, spec, known, [n_train, n_train + n_val])
     label = F.lit("test")
     if n_train + n_val in at:
         label = F.when(_upto(spec, at[n_train + n_val]), F.lit("val")).otherwise(label)
@@ -176,11 +225,11 @@ def label_two_way(df: DataFrame, spec: SeriesSpec, test_size: float = 0.2) -> Da
     _unkeyed(spec)
     if not 0.0 <= test_size <= 1.0:
         raise ValueError("a share of the rows lies in [0, 1]")
-    n = df.count()
-    n_train = int((1 - test_size) * n)
+    known = _survey(df, spec.order_by[0])
+    n_train = int((1 - test_size) * known.n)
     if n_train == 0:
         return df.withColumn(SPLIT, F.lit("test"))
-    at = _positions(df, spec, n, [n_train - 1])
+    at = _positions(df, spec, known, [n_train - 1])
     return df.withColumn(
         SPLIT, F.when(_upto(spec, at[n_train - 1]), F.lit("train")).otherwise(F.lit("test"))
     )
