@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from demandspark.catalog.base import HOURLY, HOURLY_CTE, LINEITEM, hourly, query, r, r2, r6, rp, table
-from demandspark.config import BOOST_A_SPACE, FOREST_SPACE, BoostConfig, ForestConfig, TrainConfig
+from demandspark.catalog.stats import cat_sql, corr_sql, ext_sql, mode_sql, numeric_sql, union
+from demandspark.config import BOOST_A_SPACE, BOOST_B_SPACE, FOREST_SPACE, TrainConfig
 from demandspark.functions.numeric import round6
 from demandspark.operators import evaluate as ev
 from demandspark.operators import explore as ex
 from demandspark.operators import ordered as o
+from demandspark.operators import profile as pf
 from demandspark.operators.ordered import OrderedFrame, SeriesSpec
 from demandspark.plans import models as md
 from demandspark.plans import scoring
@@ -20,12 +20,6 @@ from demandspark.plans.pricing import price_table, whole_demand
 from demandspark.session import materialize, scratch_path
 
 CFG = TrainConfig()
-# The search alone runs on few trials of small models: its defaults are 115 fits of up to 500 rounds.
-SMALL = TrainConfig(
-    forest=ForestConfig(n_estimators=10, max_depth=5),
-    boost_a=BoostConfig(learning_rate=0.1, num_boost_round=8, early_stopping_rounds=3, max_depth=4),
-    boost_b=BoostConfig(learning_rate=0.05, num_boost_round=8, early_stopping_rounds=3, max_depth=4),
-)
 
 HOURLY_NUMERIC = [
     "season", "yr", "mnth", "hr", "holiday", "weekday", "workingday", "weathersit", "temp", "atemp", "hum", "windspeed", "casual", "registered", "cnt",
@@ -256,23 +250,38 @@ def _mean_res(spark, sf):
     return out.withColumn("mean_residual", round6(F.col("mean_residual")))
 
 
-@query(
-    "e17_full_report",
-    f"""with {HOURLY_CTE} select 'dataset_info' as part, m as metric, cast(v as double) as value from (
-      select unnest(['total_rows', 'total_columns', 'numeric_columns', 'categorical_columns', 'boolean_columns', 'missing_values_total']) as m,
-             unnest([count(*), 16, 15, 0, 0, 0]) as v from hourly)
-    union all select 'numeric_summary', c || '.count', cast((select count(*) from hourly) as double)
-      from (select unnest({[c for c in HOURLY_NUMERIC]}) as c)
-    union all select 'correlation_matrix', 'pairs', {len(HOURLY_NUMERIC) ** 2}::double""",
-)
+REPORT_CTE = f"{HOURLY_CTE}, h as materialized (select *, case when hr between 8 and 19 then 'day' else 'night' end as slot, cnt > 60 as busy from hourly)"
+
+
+def _report_sql() -> str:
+    def long(part: str, row: str, metrics, source: str) -> str:
+        values = ", ".join(f"cast({m} as double)" for m in metrics)
+        return f"select '{part}' as part, {row} as row, unnest({list(metrics)}) as metric, unnest([{values}]) as value from {source}"
+
+    info = "(select count(*) as total_rows, 18 as total_columns, 15 as numeric_columns, 1 as categorical_columns, 1 as boolean_columns, 0 as missing_values_total from h)"
+    size = r2("(count(*)*(15*8 + 8 + 1) + sum(strlen(slot)))/1048576e0")
+    parts = [
+        long("dataset_info", "'*'", ("total_rows", "total_columns", "numeric_columns", "categorical_columns", "boolean_columns", "missing_values_total"), info),
+        long("memory_usage", "'*'", ("memory_usage_MB",), f'(select {size} as "memory_usage_MB" from h)'),
+    ]
+    for c in HOURLY_NUMERIC:
+        parts.append(long("numeric_summary", f"'{c}'", pf.NUMERIC_METRICS, f"({numeric_sql('h', c)})"))
+        parts.append(long("numeric_summary", f"'{c}'", ("iqr_value", "skewness", "kurtosis", "outlier_count_iqr", "outlier_count_zscore"), f"({ext_sql('h', c)})"))
+        parts.append(f"select 'numeric_summary', '{c}', 'mode_' || i, m[i] from (select m, unnest(range(1, len(m) + 1)) as i from (select {mode_sql('h', c)} as m))")
+    for c in ("slot", "busy"):
+        parts.append(long("categorical_summary", f"'{c}'", ("total_count", "unique_values", "missing_values", "missing_pct", "entropy"), f"({cat_sql('h', c)})"))
+        parts.append(f"select 'category_counts', '{c}', cast({c} as varchar), cast(count(*) as double) from h group by {c}")
+    pairs = corr_sql("h", HOURLY_NUMERIC)
+    constant = union(f"select '{c}' as a, min({c}) = max({c}) as flat from h" for c in HOURLY_NUMERIC)
+    parts.append(f"select 'correlation_matrix', a, b, case when not flat then r end from ({pairs}) join ({constant}) using (a)")
+    return f"with {REPORT_CTE} " + union(parts)
+
+
+@query("e17_full_report", _report_sql())
 def _full_report(spark, sf):
-    parts = ex.full_report(hourly(spark, sf))
-    info = parts["dataset_info"]
-    info = info.select(F.explode(F.create_map(*[x for c in info.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
-    numeric = parts["numeric_summary"].select(F.concat("column", F.lit(".count")).alias("metric"), F.col("count").cast("double").alias("value"))
-    pairs = parts["correlation_matrix"].agg(F.lit("pairs").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
-    named = [d.select(F.lit(n).alias("part"), "metric", "value") for n, d in (("dataset_info", info), ("numeric_summary", numeric), ("correlation_matrix", pairs))]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    df = hourly(spark, sf).withColumns({"slot": F.when(F.col("hr").between(8, 19), "day").otherwise("night"), "busy": F.col("cnt") > 60})
+    rounded = F.when(F.col("part") == "correlation_matrix", round6(F.col("value"))).otherwise(F.col("value"))
+    return ex.report_rows(materialize(df)).withColumn("value", rounded)
 
 
 # -- training: what SQL can derive of the rows that training gives ------------------------------
@@ -291,31 +300,52 @@ def _prepared(spark, sf, cfg: TrainConfig = CFG) -> md.Prepared:
     return md.prepare(train, val, test, HOURLY.order_by)
 
 
-def _shown(pred):
-    return pred.select("model", "datetime", "y", F.col("yhat").isNotNull().alias("predicted"))
+def _shown(data: md.Prepared, results, pred=None):
+    """Test predictions, with two checks of each model.
+
+    ``rmse_agrees``: the reported RMSE is that of the rows shown. ``learned``: on its training rows
+    the model's RMSE is below that of their mean (the next hour's count of these events is noise,
+    so no model has to beat the mean on test rows).
+    """
+    of = lambda part: [md.predictions(r.model, part, data.target, data.keys, r.model_name) for r in results]
+    pred = union_all(of(data.test)) if pred is None else pred
+    rmse = lambda e: F.sqrt(F.avg(e * e))
+    error = F.col("y") - F.col("yhat")
+    shown = pred.groupBy("model").agg(rmse(error).alias("own"))
+    fitted = union_all(of(data.train)).groupBy("model").agg((rmse(error) < F.stddev_pop("y")).alias("learned"))
+    reported = ev.regression_metrics(pred, by=["model"]).select("model", "RMSE")
+    checks = shown.join(reported, "model").join(fitted, "model").select("model", (F.abs(F.col("own") - F.col("RMSE")) < 0.00501).alias("rmse_agrees"), "learned")
+    rows = pred.select("model", "datetime", "y", F.col("yhat").isNotNull().alias("predicted"))
+    return rows.join(F.broadcast(checks), "model")
+
+
+def union_all(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _test_sql(*models: str) -> str:
-    return f"with {TEST_CTE} select m as model, datetime, y, true as predicted from test, (select unnest({list(models)}) as m)"
+    return f"with {TEST_CTE} select m as model, datetime, y, true as predicted, true as rmse_agrees, true as learned from test, (select unnest({list(models)}) as m)"
 
 
 @query("m03_forest", _test_sql(md.FOREST))
 def _forest(spark, sf):
     data = _prepared(spark, sf)
-    result = md.train_forest(data, CFG)
-    return _shown(md.predictions(result.model, data.test, "target", data.keys, result.model_name))
+    return _shown(data, [md.train_forest(data, CFG)])
 
 
 @query("m04_boosted_with_patience", _test_sql(md.BOOSTED_A))
 def _boosted(spark, sf):
     data = _prepared(spark, sf)
-    result = md.train_boosted(data, CFG.boost_a, CFG, md.BOOSTED_A)
-    return _shown(md.predictions(result.model, data.test, "target", data.keys, result.model_name))
+    return _shown(data, [md.train_boosted(data, CFG.boost_a, CFG, md.BOOSTED_A)])
 
 
 @query("m05_train_all", _test_sql(*MODELS))
 def _train_all(spark, sf):
-    return _shown(md.train_all(_prepared(spark, sf), CFG)[1])
+    data = _prepared(spark, sf)
+    return _shown(data, *md.train_all(data, CFG))
 
 
 @query(
@@ -337,17 +367,31 @@ def _score(spark, sf):
     )
 
 
+SEARCH_TRIALS = 2  # of each model; see the README for what the full 15 / 50 / 50 take
+SPACES = {md.FOREST: FOREST_SPACE, md.BOOSTED_A: BOOST_A_SPACE, md.BOOSTED_B: BOOST_B_SPACE}
+
+
 @query(
     "m08_random_search",
-    f"select m as model, cast(t as bigint) as trial, 'COMPLETE' as state, true as scored from (select unnest({list(MODELS[:2])}) as m), range(2) x(t)",
+    f"""select m as model, cast(t as bigint) as trial, 'COMPLETE' as state, true as scored, true as in_range, true as best_agrees
+    from (select unnest({list(SPACES)}) as m), range({SEARCH_TRIALS}) x(t)""",
 )
 def _search(spark, sf):
-    data = _prepared(spark, sf, SMALL)
-    small = {
-        md.FOREST: replace(FOREST_SPACE, n_trials=2, ints={**FOREST_SPACE.ints, "n_estimators": (3, 6), "max_depth": (3, 5)}),
-        md.BOOSTED_A: replace(BOOST_A_SPACE, n_trials=2, ints={**BOOST_A_SPACE.ints, "num_boost_round": (3, 5), "max_depth": (3, 4)}),
-    }
-    return md.tune(data, SMALL, small)[2].select("model", "trial", "state", (F.col("rmse") > 0).alias("scored"))
+    """Trials of all three models over their whole ranges, as they are stored; half of them come
+    from a search that was started again."""
+    data = _prepared(spark, sf)
+    path = scratch_path(spark, "trials")
+    spaces = {m: s.with_trials(SEARCH_TRIALS) for m, s in SPACES.items()}
+    md.tune(data, CFG, {m: s.with_trials(SEARCH_TRIALS // 2) for m, s in SPACES.items()}, path)
+    results, _, trials = md.tune(data, CFG, spaces, path)
+    stored = md.TrialLog(spark, path).read()
+    ranges = [(m, k, float(lo), float(hi)) for m, s in SPACES.items() for k, (lo, hi) in {**s.ints, **s.floats, **s.log_floats}.items()]
+    bounds = spark.createDataFrame(ranges, "model string, name string, low double, high double")
+    values = trials.select("model", "trial", F.explode("params").alias("name", "value")).join(F.broadcast(bounds), ["model", "name"])
+    inside = values.groupBy("model", "trial").agg(F.bool_and(F.col("value").cast("double").between(F.col("low"), F.col("high"))).alias("in_range"))
+    best = spark.createDataFrame([(r.model_name, r.metrics["RMSE"]) for r in results], "model string, best double")
+    least = stored.groupBy("model").agg(F.min("rmse").alias("least")).join(best, "model").select("model", (F.col("least") == F.col("best")).alias("best_agrees"))
+    return stored.join(inside, ["model", "trial"]).join(least, "model").select("model", "trial", "state", (F.col("rmse") > 0).alias("scored"), "in_range", "best_agrees")
 
 
 @query(
@@ -360,7 +404,8 @@ def _runs(spark, sf):
     result = md.train_boosted(data, CFG.boost_b, CFG, md.BOOSTED_B)
     path = scratch_path(spark, "runs")
     md.log_runs(md.run_rows(spark, [result], "run", {"purpose": "Model Training"}), path)
-    return spark.read.parquet(path).select(
+    md.log_runs(md.run_rows(spark, [result], "run", {"purpose": "Model Training"}), path)  # again: no second row
+    return md.read_runs(spark, path).select(
         "run_id", "model", F.col("params")["learning_rate"].alias("learning_rate"), F.col("tags")["purpose"].alias("purpose"),
         F.col("tags")["model_family"].alias("model_family"), (F.col("metrics")["RMSE"] > 0).alias("rmse_logged"),
     )

@@ -278,7 +278,8 @@ def iqr_sql(source: str, c: str) -> str:
 
 
 def z_sql(source: str, c: str) -> str:
-    return f"(abs(({c} - (select avg({c}) from {source}))/(select stddev({c}) from {source})) > 3)"
+    # A constant column has no outliers.
+    return f"(abs(({c} - (select avg({c}) from {source}))/(select nullif(stddev({c}), 0) from {source})) > 3)"
 
 
 @query("e01_iqr_outliers", f"select event_id, value, {iqr_sql('events', 'value')} as is_outlier from events")

@@ -112,3 +112,31 @@ def _lag_stream(spark, sf):
     jobs.lag_feature_stream(hours, spec, ops, out, f"{out}-state", f"{out}-chk").awaitTermination()
     df = spark.read.parquet(out).drop("epoch")
     return df.withColumns({c: F.coalesce(c, F.lit(-1)).cast("bigint") for c in ("lag_1", "lag_24")})
+
+
+# Three days arrive at a time; one event in forty comes two days late, in a later batch.
+DELIVERED = "cast(floor((day(ts) - 1 + case when event_id % 40 = 0 then 2 else 0 end) / 3) as bigint)"
+
+
+@query(
+    "x05_stream_hours_accounted",
+    f"""with e as (select *, {DELIVERED} as batch, date_trunc('hour', ts)::timestamp as datetime from events),
+    b as (select batch, max(max(ts)) over (order by batch rows between unbounded preceding and 1 preceding) as seen, max(max(ts)) over () as last from e group by batch),
+    f as (select e.*, case when datetime + interval 1 hour <= seen - interval 2 hour then 'late'
+        when datetime + interval 1 hour <= last - interval 2 hour then 'closed' else 'open' end as part from e join b using (batch))
+    select part, event_type, datetime, count(*) as cnt, cast(sum(user_id) as bigint) as users_sum from f group by 1, 2, 3""",
+)
+def _accounted(spark, sf):
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf}/events.parquet").withColumn("batch", F.expr(DELIVERED))
+    source = scratch_path(spark, "events-by-batch")
+    for (batch,) in sorted(events.select("batch").distinct().collect()):
+        events.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{source}/batch={batch:03d}")
+    tables = jobs.HourlyTables(scratch_path(spark, "accounted"))
+    stream = jobs.read_stream(spark, f"{source}/*", EVENT_SCHEMA, files_per_batch=1)
+    aggs = {"cnt": ("count", "event_id"), "users_sum": ("sum", "user_id")}
+    jobs.accounted_hours(stream, "ts", aggs, ["event_type"], tables, scratch_path(spark, "accounted-chk")).awaitTermination()
+    late = tables.late(spark).groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp").alias("datetime")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("user_id").alias("users_sum"))
+    parts = {"closed": tables.closed(spark), "open": tables.open(spark), "late": late}
+    cols = ["event_type", "datetime", "cnt", "users_sum"]
+    out = [df.select(F.lit(name).alias("part"), *cols) for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -516,3 +516,34 @@ def full_report(df: DataFrame) -> dict[str, DataFrame]:
     if len(sel.numeric_columns(df)) >= 2:
         parts["correlation_matrix"] = pearson_matrix(df)
     return parts
+
+
+def report_rows(df: DataFrame) -> DataFrame:
+    """The whole report in long form: (part, row, metric, value), every value of every part.
+
+    A mode is a row of metric mode_1 to mode_5, a pair of the correlation matrix has the columns
+    as row and metric, and category_counts has one metric for each value (null: no name).
+    """
+    parts = full_report(df)
+
+    def long(part: str, rows: DataFrame, row: Column, metrics: Sequence[str]) -> DataFrame:
+        entries = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        return rows.select(F.lit(part).alias("part"), row.alias("row"), F.inline(F.array(*entries)))
+
+    def values(part: str, rows: DataFrame, row: str, metric: str | Column, value: str) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), F.col(row).alias("row"), metric if isinstance(metric, Column) else F.col(metric), F.col(value).cast("double").alias("value"))
+
+    whole = F.lit("*")
+    out = [long(n, parts[n], whole, parts[n].columns) for n in ("dataset_info", "memory_usage")]
+    numeric = parts["numeric_summary"]
+    if numeric.columns[1:]:
+        out.append(long("numeric_summary", numeric, F.col("column"), [c for c in numeric.columns if c not in ("column", "mode")]))
+        modes = numeric.select("column", F.posexplode("mode").alias("i", "value"))
+        out.append(values("numeric_summary", modes, "column", F.concat(F.lit("mode_"), F.col("i") + 1).alias("metric"), "value"))
+    categorical = parts["categorical_summary"]
+    out.append(long("categorical_summary", categorical, F.col("column"), categorical.columns[1:]))
+    if sel.string_columns(df) + sel.boolean_columns(df):
+        out.append(values("category_counts", category_counts(df), "column", F.col("value").alias("metric"), "n"))
+    if "correlation_matrix" in parts:
+        out.append(values("correlation_matrix", parts["correlation_matrix"], "a", F.col("b").alias("metric"), "r"))
+    return sel.stack(out).select("part", "row", "metric", "value")

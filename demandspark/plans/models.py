@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import math
 import random
+import threading
+import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ from demandspark.operators import profile as prof
 from demandspark.operators import split as sp
 from demandspark.operators.ordered import SeriesSpec
 from demandspark.plans.features import build_features
-from demandspark.session import checkpoint_dir, materialize
+from demandspark.session import checkpoint_dir, materialize, scratch_path
 
 FOREST, BOOSTED_A, BOOSTED_B = "RandomForestRegressor", "BoostedTreesA", "BoostedTreesB"
 FEATURES = "features"
@@ -106,7 +111,7 @@ def fit_boosted(train: DataFrame, val: DataFrame, cfg: BoostConfig, seed: int, t
     Spark's own validation stop is tolerance-based, so the patience rule is applied to the
     per-round validation errors of a fit. With a fixed seed a short fit is the prefix of a
     long one, so fits start short and double until the rule stops one or all rounds are
-    used; a model with rounds after the best one is fitted again without them.
+    used; what is returned is made of the trees up to the best round.
     """
     spark = train.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -133,9 +138,19 @@ def fit_boosted(train: DataFrame, val: DataFrame, cfg: BoostConfig, seed: int, t
         if rounds + cfg.early_stopping_rounds <= tried or tried == cfg.num_boost_round:
             break
         tried = min(cfg.num_boost_round, 2 * tried)
-    if rounds < tried:
-        model = gbt(rounds).fit(train)
-    return model, rounds
+    return (model if rounds == tried else first_rounds(model, rounds)), rounds
+
+
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model that a fit of so many rounds gives: the first trees of a longer one and their weights."""
+    gateway, jvm = SparkContext._active_spark_context._gateway, SparkContext._active_spark_context._jvm
+    ml = jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(ml.DecisionTreeRegressionModel, rounds), gateway.new_array(jvm.double, rounds)
+    for i, tree in enumerate(list(model._java_obj.trees())[:rounds]):
+        trees[i], weights[i] = tree, float(model.treeWeights[i])
+    out = GBTRegressionModel(ml.GBTRegressionModel(f"{model.uid}_{rounds}", trees, weights, model.numFeatures))
+    out._resetUid(f"{model.uid}_{rounds}")
+    return model._copyValues(out)
 
 
 def predictions(model, df: DataFrame, target: str, keys: Sequence[str], name: str) -> DataFrame:
@@ -272,38 +287,91 @@ def draw(space: SearchSpace, rng: random.Random) -> dict[str, object]:
     return p
 
 
+TRIALS_SCHEMA = "model string, trial bigint, params map<string,string>, rmse double, state string, seconds double"
+
+
+class TrialLog:
+    """Finished trials of a search, as a table that each of them is added to when it ends.
+
+    A search that is started again reads it and runs only what is missing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._lock = spark, path, threading.Lock()
+
+    def read(self) -> DataFrame:
+        """One row for each trial; the first kept of a trial that was written twice."""
+        try:
+            rows = self.spark.read.schema(TRIALS_SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], TRIALS_SCHEMA)
+        return rows.dropDuplicates(["model", "trial"])
+
+    def add(self, row: tuple) -> None:
+        with self._lock:  # one row at a time, as a file of its own
+            self.spark.createDataFrame([row], TRIALS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
 def search(
-    spark: SparkSession, space: SearchSpace, objective: Callable[[dict], float], seed: int
+    spark: SparkSession,
+    space: SearchSpace,
+    objective: Callable[[dict], float],
+    seed: int,
+    name: str = "model",
+    log: TrialLog | None = None,
+    at_once: int = 1,
 ) -> tuple[dict[str, object], DataFrame]:
-    """Seeded random search: best parameters and (trial, params, rmse, state) rows.
+    """Seeded random search: best parameters and (model, trial, params, rmse, state, seconds) rows.
 
-    A failing trial is recorded with state FAIL and does not stop the search.
+    All points are drawn first, so they depend neither on the order in which trials end nor on a
+    restart. Up to ``at_once`` trials run side by side, each in a scheduler pool of its own. A
+    failing trial is recorded with state FAIL and does not stop the search.
     """
     rng = random.Random(seed)
-    rows: list[tuple] = []
-    best: tuple[float, dict] | None = None
-    for trial in range(space.n_trials):
-        params = draw(space, rng)
+    points = [draw(space, rng) for _ in range(space.n_trials)]
+    log = log or TrialLog(spark, scratch_path(spark, "trials"))
+    known = {r["trial"] for r in log.read().where(F.col("model") == name).select("trial").collect()}
+
+    def run(trial: int) -> None:
+        params, began = points[trial], time.monotonic()
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial % at_once}")
         try:
             rmse, state = objective(params), "COMPLETE"
         except Exception as e:  # recorded, as one bad point must not end the search
             rmse, state = None, "FAIL"
             params = {**params, "error": str(e)}
-        if rmse is not None and (best is None or rmse < best[0]):
-            best = (rmse, params)
-        rows.append((trial, {k: str(v) for k, v in params.items()}, rmse, state))
-    trials = spark.createDataFrame(rows, "trial bigint, params map<string,string>, rmse double, state string")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        log.add((name, trial, {k: str(v) for k, v in params.items()}, rmse, state, time.monotonic() - began))
+
+    missing = [t for t in range(space.n_trials) if t not in known]
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        # Wrapped one by one: each trial has its own copy of this thread's settings.
+        for done in [pool.submit(inheritable_thread_target(spark)(run), t) for t in missing]:
+            done.result()
+    trials = log.read().where((F.col("model") == name) & (F.col("trial") < space.n_trials))
+    best = trials.where(F.col("rmse").isNotNull()).orderBy("rmse", "trial").first()
     if best is None:
         raise ValueError("every trial failed")
-    return best[1], trials
+    return points[best["trial"]], trials
 
 
 def tune(
-    data: Prepared, cfg: TrainConfig, spaces: dict[str, SearchSpace] | None = None
+    data: Prepared, cfg: TrainConfig, spaces: dict[str, SearchSpace] | None = None, path: str | None = None, at_once: int | None = None
 ) -> tuple[list[TrainResult], DataFrame, DataFrame]:
-    """Search every model, refit the best: results, test predictions, trials of all."""
+    """Search every model, refit the best: results, test predictions, trials of all.
+
+    The parts are assembled once and cached while the trials run. Trials are kept at ``path``, where
+    a search that broke off goes on. ``at_once`` trials run side by side, by default as many as
+    the cluster has tasks for tables of one partition, at most eight.
+    """
     spark = data.train.sparkSession
     spaces = spaces or {FOREST: FOREST_SPACE, BOOSTED_A: BOOST_A_SPACE, BOOSTED_B: BOOST_B_SPACE}
+    log = TrialLog(spark, path or scratch_path(spark, "trials"))
+    at_once = at_once or max(1, min(8, spark.sparkContext.defaultParallelism // max(1, data.both.rdd.getNumPartitions())))
+    cached = [p.persist() for p in (data.train, data.val, data.both)]
     results, trial_parts = [], []
     for name, space in spaces.items():
         if name == FOREST:
@@ -311,9 +379,11 @@ def tune(
         else:
             base = cfg.boost_a if name == BOOSTED_A else cfg.boost_b
             run = lambda p, base=base, name=name: train_boosted(data, replace(base, **p), cfg, name)
-        best, trials = search(spark, space, lambda p, run=run: run(p).metrics["RMSE"], cfg.random_seed)
+        best, trials = search(spark, space, lambda p, run=run: run(p).metrics["RMSE"], cfg.random_seed, name, log, at_once)
         results.append(run(best))
-        trial_parts.append(trials.withColumn("model", F.lit(name)))
+        trial_parts.append(trials)
+    for p in cached:
+        p.unpersist()
     out = trial_parts[0]
     for t in trial_parts[1:]:
         out = out.unionByName(t)
@@ -323,6 +393,9 @@ def tune(
 # -- runs ------------------------------------------------------------------------------------
 
 
+RUNS_SCHEMA = "run_id string, model string, params map<string,string>, metrics map<string,double>, tags map<string,string>"
+
+
 def run_rows(spark: SparkSession, results: Sequence[TrainResult], run_id: str, tags: dict[str, str] | None = None) -> DataFrame:
     """One row per model: run id, parameters, metrics, tags."""
     rows = [
@@ -335,15 +408,16 @@ def run_rows(spark: SparkSession, results: Sequence[TrainResult], run_id: str, t
         )
         for i, r in enumerate(results)
     ]
-    return spark.createDataFrame(
-        rows,
-        "run_id string, model string, params map<string,string>, metrics map<string,double>, tags map<string,string>",
-    )
+    return spark.createDataFrame(rows, RUNS_SCHEMA)
 
 
 def log_runs(runs: DataFrame, path: str) -> None:
-    """Append to the runs table."""
-    runs.write.mode("append").parquet(path)
+    """Add runs to the runs table; runs of the same id are replaced, so logging again changes nothing."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RUNS_SCHEMA).parquet(path)
 
 
 # -- whole job -------------------------------------------------------------------------------
@@ -383,16 +457,23 @@ def run_job(
     features: FeatureConfig | None = None,
     spaces: dict[str, SearchSpace] | None = None,
     tuning: bool = False,
+    fit: str = "self",
+    trials_path: str | None = None,
 ) -> JobResult:
-    """Profile, split, build features, train or tune, evaluate on test, pick the best."""
+    """Profile, split, build features, train or tune, evaluate on test, pick the best.
+
+    ``fit`` is that of :func:`build_parts`; trials of a search are kept at ``trials_path``.
+    """
     cfg = cfg or TrainConfig()
     spark = df.sparkSession
+    # Profile and split read the rows several times; what they come from is computed once.
+    df = materialize(df)
     profile = prof.profile(df)
-    train, val, test = build_parts(df, spec, cfg, features)
+    train, val, test = build_parts(df, spec, cfg, features, fit)
     data = prepare(train, val, test, spec.order_by, cfg.target_col)
     trials = None
     if tuning:
-        results, pred, trials = tune(data, cfg, spaces)
+        results, pred, trials = tune(data, cfg, spaces, trials_path)
     else:
         results, pred = train_all(data, cfg)
     metrics = ev.regression_metrics(pred, by=["model"])

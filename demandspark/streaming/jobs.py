@@ -8,6 +8,7 @@ kept in a state table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,8 +70,8 @@ def hourly_stream(
 ) -> DataFrame:
     """Hourly aggregates per key on a stream; events later than ``delay`` are dropped.
 
-    In append mode an hour appears once the watermark has passed its end. ``late_rows`` reports
-    what was dropped, ``open_hours`` gives the hours that a finished source leaves open.
+    In append mode an hour appears once the watermark has passed its end. ``open_hours`` gives the
+    hours that a finished source leaves open; ``accounted_hours`` keeps the late events too.
     """
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     counted = timed.groupBy(F.window(ts, "1 hour"), *keys).agg(*[c.alias(n) for n, c in aggs.items()])
@@ -97,13 +98,85 @@ def open_hours(
     return hourly_stream(events, ts, aggs, keys, name=name)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark, over the batches whose progress is kept.
+#: Aggregates whose parts combine: what is computed of the events, how parts are put together.
+COMBINED = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 
-    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` of them. Rows of one
-    task, key and hour are counted once, as they are combined before the watermark is applied.
+
+@dataclass(frozen=True)
+class HourlyTables:
+    """Where an accounted hourly stream keeps its rows; ``late`` has the rejected events whole."""
+
+    path: str
+
+    def closed(self, spark: SparkSession) -> DataFrame:
+        """Hours that were over when they were written; each appears once."""
+        return self._epochs(spark, "closed")
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """Events of hours that were closed when they came."""
+        return self._epochs(spark, "late")
+
+    def open(self, spark: SparkSession) -> DataFrame:
+        """Hours that the events so far leave open."""
+        last = self._last(spark)
+        return spark.read.parquet(f"{self.path}/open/{last % 2}")
+
+    def _epochs(self, spark: SparkSession, name: str) -> DataFrame:
+        # One batch after the last one known may have failed half-way and will be written again.
+        return spark.read.parquet(f"{self.path}/{name}").where(F.col("epoch") <= self._last(spark)).drop("epoch")
+
+    def _last(self, spark: SparkSession) -> int:
+        return self.marks(spark).agg(F.max("epoch")).first()[0]
+
+    def marks(self, spark: SparkSession) -> DataFrame:
+        """(epoch, seen): the latest event time up to each of the last two batches."""
+        return spark.read.schema("epoch bigint, seen timestamp").parquet(f"{self.path}/marks/0", f"{self.path}/marks/1")
+
+
+def accounted_hours(
+    events: DataFrame, ts: str, aggs: dict[str, tuple[str, str]], keys: Sequence[str], tables: HourlyTables, checkpoint: str, delay: str = "2 hours", name: str = "datetime"
+) -> StreamingQuery:
+    """Hourly aggregates in which every event is accounted for: closed hours, open hours, late events.
+
+    An hour is closed once the latest event time less ``delay`` has reached its end; an event that
+    comes for an hour that earlier batches closed is late and is kept whole. The watermark is a
+    table of the batches, so nothing depends on the progress Spark keeps. ``aggs`` names a
+    function of ``COMBINED`` and its column; open hours hold the combined parts. Open hours and
+    watermark have two slots and closed and late rows a folder for each batch, so a batch that
+    is run again after a failure gives the same files. Events without a time are late.
     """
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    hour = F.date_trunc("hour", ts).cast("timestamp").alias(name)
+    over = lambda mark: (F.col(name) + F.expr("interval 1 hour")) <= (mark - F.expr(f"interval {delay}"))
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        seen = None
+        if epoch > 0:
+            seen = spark.read.schema("epoch bigint, seen timestamp").parquet(f"{tables.path}/marks/{(epoch - 1) % 2}").first()["seen"]
+        rows = batch.withColumn(name, hour).persist()
+        try:
+            late = F.col(name).isNull() if seen is None else F.col(name).isNull() | over(F.lit(seen))
+            rows.where(late).drop(name).write.mode("overwrite").parquet(f"{tables.path}/late/epoch={epoch}")
+            parts = rows.where(~late).groupBy(*keys, name).agg(*[COMBINED[f][0](c).alias(n) for n, (f, c) in aggs.items()])
+            if epoch > 0:
+                before = spark.read.schema(parts.schema).parquet(f"{tables.path}/open/{(epoch - 1) % 2}")
+                parts = parts.unionByName(before).groupBy(*keys, name).agg(*[COMBINED[f][1](n).alias(n) for n, (f, _) in aggs.items()])
+            latest = rows.agg(F.max(F.col(ts).cast("timestamp"))).first()[0]
+            now = max((t for t in (seen, latest) if t is not None), default=None)
+            done = F.lit(False) if now is None else over(F.lit(now))
+            parts = parts.persist()
+            parts.where(done).write.mode("overwrite").parquet(f"{tables.path}/closed/epoch={epoch}")
+            parts.where(~done).write.mode("overwrite").parquet(f"{tables.path}/open/{epoch % 2}")
+            parts.unpersist()
+            # Last, as it says that the batch is whole.
+            mark = spark.createDataFrame([(epoch, now)], "epoch bigint, seen timestamp").coalesce(1)
+            mark.write.mode("overwrite").parquet(f"{tables.path}/marks/{epoch % 2}")
+            if epoch == 0:
+                mark.limit(0).write.mode("ignore").parquet(f"{tables.path}/marks/1")
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def write_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -104,10 +104,84 @@ def test_failed_trials_keep_the_whole_error(spark):
             raise RuntimeError("x" * 1000)
         return 1.0
 
-    trials = md.search(spark, space, objective, 1)[1].collect()
+    trials = md.search(spark, space, objective, 1)[1].orderBy("trial").collect()
     assert [t.state for t in trials] == ["FAIL", "COMPLETE"] and "x" * 1000 in trials[0].params["error"]
 
 
+def test_a_search_goes_on_where_it_broke_off(spark, tmp_path):
+    space = md.SearchSpace(n_trials=6, ints={"a": (1, 1000)})
+    log = md.TrialLog(spark, f"{tmp_path}/trials")
+    first, pools = [], set()
+
+    def objective(p):
+        first.append(p["a"])
+        pools.add(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        return float(spark.range(p["a"]).count())
+
+    md.search(spark, space.with_trials(4), objective, 7, "m", log, at_once=2)
+    again = []
+    best, trials = md.search(spark, space, lambda p: again.append(p["a"]) or float(p["a"]), 7, "m", log, at_once=3)
+    rows = trials.orderBy("trial").collect()
+    assert len(first) == 4 and len(again) == 2 and pools == {"trial-0", "trial-1"}
+    assert [r.trial for r in rows] == list(range(6)) and all(r.state == "COMPLETE" and r.seconds >= 0 for r in rows)
+    assert [float(r.params["a"]) for r in rows] == [r.rmse for r in rows] and best["a"] == min(r.rmse for r in rows)
+    # The same points whatever ran before.
+    assert md.search(spark, space, lambda p: float(p["a"]), 7)[0] == best
+    assert md.search(spark, space, objective, 7, "other", log)[1].count() == 6 and log.read().count() == 12
+
+
+def test_the_first_rounds_of_a_fit_are_the_shorter_fit(spark):
+    train, val = _vectors(spark, 80, 0), _vectors(spark, 80, 1)
+    gbt = lambda n: md.GBTRegressor(featuresCol="features", labelCol="target", maxIter=n, maxDepth=2, stepSize=0.3, seed=3).fit(train)
+    cut, short = md.first_rounds(gbt(6), 2), gbt(2)
+    both = [[r.prediction for r in m.transform(val).orderBy("index").collect()] for m in (cut, short)]
+    assert both[0] == both[1] and cut.getNumTrees == 2 and cut.numFeatures == short.numFeatures
+    assert cut.featureImportances == short.featureImportances
+
+
+def test_logging_a_run_twice_keeps_one_row(spark, tmp_path):
+    result = md.TrainResult("m", None, {"RMSE": 1.0, "MAE": None}, {"depth": 3})
+    for run, tag in (("a", "x"), ("b", "x"), ("a", "y")):
+        md.log_runs(md.run_rows(spark, [result, result], run, {"tag": tag}), f"{tmp_path}/runs")
+    rows = sorted(md.read_runs(spark, f"{tmp_path}/runs").collect(), key=lambda r: r.run_id)
+    assert [(r.run_id, r.tags["tag"]) for r in rows] == [("a-0", "y"), ("a-1", "y"), ("b-0", "x"), ("b-1", "x")]
+    assert rows[0].params == {"depth": "3"} and rows[0].metrics == {"RMSE": 1.0}
+
+
+def _hours(spark, n):
+    from demandspark.catalog.base import hourly
+
+    return hourly(spark, "/root/testdata/sf0.01").orderBy("datetime").limit(n)
+
+
+def test_thresholds_of_the_train_part(spark):
+    from demandspark.plans.features import fit_thresholds
+
+    df, spec, cfg = _hours(spark, 200), SeriesSpec(("datetime",)), md.TrainConfig()
+    train, val, test = md.build_parts(df, spec, cfg, fit="train")
+    own = md.build_parts(df, spec, cfg)
+    shared = fit_thresholds(sp.split_train_val_test(df, spec, cfg.test_size, cfg.val_size)[0])
+    assert train.columns == own[2].columns and test.count() == own[2].count()
+    flags = [r for r in sp.split_train_val_test(df, spec, cfg.test_size, cfg.val_size)[2].orderBy("datetime").collect()]
+    got = [r.is_high_temp for r in test.orderBy("datetime").collect()]
+    assert got == [int(r.temp > shared.temp) for r in flags]
+    with pytest.raises(ValueError):
+        md.build_parts(df, spec, cfg, fit="test")
+
+
+def test_job_with_tuning(spark, tmp_path):
+    spaces = {
+        md.FOREST: md.SearchSpace(2, ints={"n_estimators": (2, 3), "max_depth": (2, 3)}),
+        md.BOOSTED_A: md.SearchSpace(2, ints={"num_boost_round": (2, 4), "max_depth": (2, 3), "early_stopping_rounds": (1, 2)}),
+    }
+    cfg = md.TrainConfig(n_splits=2, cv_test_size=12)
+    job = md.run_job(_hours(spark, 300), SeriesSpec(("datetime",)), cfg, spaces=spaces, tuning=True, fit="train", trials_path=f"{tmp_path}/trials")
+    trials = job.trials.collect()
+    assert sorted((t.model, t.trial) for t in trials) == sorted((m, i) for m in spaces for i in (0, 1)) and all(t.state == "COMPLETE" for t in trials)
+    assert [r.metrics["RMSE"] for r in job.results] == [min(t.rmse for t in trials if t.model == m) for m in spaces]
+    assert job.best.first()["model"] in spaces and job.predictions.select("model").distinct().count() == 2
+
+
 def test_no_machine_local_folder_on_a_cluster(spark):
     class Context:
         master = "yarn"

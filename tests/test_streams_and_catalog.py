@@ -73,7 +73,33 @@ def test_late_and_open_hours_are_accounted_for(spark, tmp_path):
     rest = jobs.open_hours(spark.read.parquet(src), closed, "ts", aggs)
     hours = {r.datetime.hour: r.n for r in closed.unionByName(rest).collect()}
     assert hours == {0: 1, 1: 1, 2: 1, 6: 3, 7: 2} and rest.count() == 2
-    assert jobs.late_rows(q) == 1 and sum(hours.values()) + jobs.late_rows(q) == 9
+
+
+def test_every_event_is_closed_open_or_late(spark, tmp_path):
+    """Over more batches than Spark keeps the progress of."""
+    src, n = f"{tmp_path}/src", 8
+    for b in range(n):
+        # Hours 3b to 3b + 2, one event of the first hour again once that is closed, one without a time.
+        minutes = [180 * b, 180 * b + 70, 180 * b + 130, *([0] if b > 1 else []), *([None] if b == 4 else [])]
+        spark.createDataFrame([(m,) for m in minutes], "m int").select(F.timestamp_seconds(F.col("m") * 60).alias("ts"), "m").coalesce(1).write.mode("append").parquet(src)
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        tables = jobs.HourlyTables(f"{tmp_path}/out")
+        aggs = {"n": ("count", "m"), "least": ("min", "m")}
+        run = lambda: jobs.accounted_hours(jobs.read_stream(spark, src, "ts timestamp, m int", files_per_batch=1), "ts", aggs, [], tables, f"{tmp_path}/chk")
+        q = run()
+        q.awaitTermination()
+        run().awaitTermination()  # nothing new: nothing changes
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert len(q.recentProgress) <= 2
+    closed, opened, late = (x.collect() for x in (tables.closed(spark), tables.open(spark), tables.late(spark)))
+    assert sorted(r.m for r in late if r.m is not None) == [0] * (n - 2) and sum(r.m is None for r in late) == 1
+    hours = {r.datetime: (r.n, r.least) for r in closed + opened}
+    assert len(hours) == len(closed) + len(opened) == 3 * n and all(v[0] == 1 for v in hours.values())
+    assert sum(v[0] for v in hours.values()) + len(late) == spark.read.parquet(src).count()
+    assert {v[1] for v in hours.values()} == {180 * b + m for b in range(n) for m in (0, 70, 130)}
 
 
 def test_late_hours_are_held_back(spark, sf_dir):

@@ -233,3 +233,68 @@ def test_search_records_failures(spark):
     assert [r["state"] for r in rows] == ["FAIL", "COMPLETE", "COMPLETE", "COMPLETE"]
     assert best["x"] == min(r["rmse"] for r in rows if r["rmse"] is not None)
     assert all(1e-6 <= p["y"] <= 1.0 for p in calls)
+
+
+def test_no_range_of_a_hot_group_is_larger_than_its_limit(spark):
+    # One group has a third of all rows, each another value.
+    df = spark.range(9_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 50)) as g", "cast(id as double) as v", "1 as w")
+    counts = q.value_counts(df, ["v", "w"], "double", ["g"])
+    sizes = [r["count"] for r in q.ranged(counts, ["g"], 500).groupBy("g", "column", "part").count().collect()]
+    assert max(sizes) < 1_000 and sum(sizes) == counts.count()
+    got = {(r.g, r.column): (r.m, r.p) for r in q.grouped_quantiles(df, ["v", "w"], {"m": 0.5, "p": 0.9}, ["g"], max_rows=500).collect()}
+    assert got["hot", "v"] == (4498.5, pytest.approx(8097.3)) and got["hot", "w"] == (1.0, 1.0)
+
+
+def test_column_facts_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b = rng.gamma(2.0, 3.0, 400), rng.integers(0, 5, 400).astype(float)
+    df = spark.createDataFrame([(float(x), None if y == 4 else float(y), 7.0) for x, y in zip(a, b)], "a double, b double, c double").repartition(3)
+    facts = pf.column_facts(pf.numeric_counts(df, df.columns), {**pf.MEDIAN, "q1": (0.25, "nearest")})
+    for c, x in (("a", a), ("b", b[b < 4])):
+        f, d = facts[c], x - x.mean()
+        assert (f.rows, f.count, f.low, f.high) == (400, len(x), x.min(), x.max())
+        assert f.mean == pytest.approx(x.mean()) and f.variance == pytest.approx(x.var(ddof=1)) and f.quantiles["median"] == pytest.approx(np.median(x))
+        assert f.skewness == pytest.approx((d**3).mean() / (d**2).mean() ** 1.5) and f.kurtosis == pytest.approx((d**4).mean() / (d**2).mean() ** 2 - 3)
+        assert f.quantiles["q1"] == np.sort(x)[int(0.25 * (len(x) - 1) + 0.5)]
+    assert facts["b"].unique == 5 and facts["c"].variance == 0 and facts["c"].skewness is None
+    one = pf.column_facts(pf.numeric_counts(df.limit(1), ["c"]), pf.MEDIAN)["c"]
+    assert one.variance is None and one.std is None and one.quantiles["median"] == 7.0
+
+
+def test_correlations_of_many_columns_against_numpy(spark):
+    import numpy as np
+
+    k = 2 * ex.GRAM_BLOCK + 3
+    x = np.random.default_rng(5).normal(size=(300, k)) @ np.random.default_rng(6).normal(size=(k, k)) + 1e7
+    rows = [(*map(float, r), 3.0, None if i == 9 else float(i)) for i, r in enumerate(x)]
+    names = [f"v{i}" for i in range(k)] + ["flat", "gap"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(4)
+    got = {(r.a, r.b): r.r for r in ex.pearson_matrix(df).collect()}
+    want = np.corrcoef(x.T)
+    assert len(got) == (k + 2) ** 2
+    for i in range(k):
+        for j in range(k):
+            assert got[f"v{i}", f"v{j}"] == pytest.approx(want[i, j], abs=1e-6)
+        assert got[f"v{i}", "flat"] is None and got["gap", f"v{i}"] is None
+
+
+@pytest.mark.parametrize("limit", [200_000, 20, 3])
+def test_split_positions_by_selection(spark, monkeypatch, limit):
+    import datetime
+
+    monkeypatch.setattr(sp, "SORTED_ROWS", limit)
+    rnd = random.Random(3)
+    start = datetime.datetime(2020, 1, 1)
+    rows = [(rnd.choice([None, float("nan"), *map(float, range(5))]), rnd.randrange(3), i, start + datetime.timedelta(hours=rnd.randrange(40)), rnd.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b int, id int, t timestamp, s string").repartition(5).cache()
+    n = len(rows)
+    for order in (("a", "b", "id"), ("t", "id"), ("s", "a", "id"), ("b", "a", "t", "id")):
+        want = [r.id for r in df.orderBy(*order).collect()]
+        got = {r.id: r.split for r in sp.label_split(df, SeriesSpec(order), 0.2, 0.3).collect()}
+        train, val = sp.split_sizes(n, 0.2, 0.3)
+        assert [got[i] for i in want] == ["train"] * (train + 1) + ["val"] * val + ["test"] * (n - train - 1 - val)
+        two = {r.id: r.split for r in sp.label_two_way(df, SeriesSpec(order), 0.37).collect()}
+        k = int((1 - 0.37) * n)
+        assert [two[i] for i in want] == ["train"] * k + ["test"] * (n - k)
