@@ -3,13 +3,17 @@
 A page is cut into blocks, each with the path of tags from the root down to it. Blocks on one
 path are taken together: text outside links and punctuation marks per block of the path. Both
 ratios are laid out in page order, smoothed over neighbouring blocks, fused into one score per
-path, and paths over a threshold are content. The lowest node that holds most content text is
-the article; its blocks are returned. Elements that are no article by their tag or class
-(menus, headers, footers, asides, forms, adverts, notices, comments, scripts, styles) never
-count, unless nothing would be left.
+path, and paths over a threshold are content. The page's article is where content is: all marked
+articles, if they hold half of the content text, else the lowest node that holds ``MOST`` of it.
+Its blocks are returned but for lists of links; in a node that is the whole page also those
+between content, headings, and lists and quotations around it. Elements that are no article by
+their tag or class (menus, headers, footers, asides, forms, adverts, notices, comments, scripts,
+styles) never count, unless nothing would be left; words that also name parts of a text (such as
+related or social) count only as a class of their own.
 
 Pages are independent. Null html is an empty page; a page without text gives an empty string.
-Unclosed tags end where HTML ends them; a page cut off in the middle is read to its end.
+Unclosed tags end where HTML ends them; a page cut off in the middle is read to its end. Work is
+linear in a page's length, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,10 +34,15 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title".split())
+_RAW = frozenset("script style noscript template textarea iframe title".split())
+#: What follows such a tag is its content to the page's end, if it has no end tag.
+_RAW_TO_END = frozenset("script style".split())
+_HIDDEN = frozenset("svg canvas select".split())
+#: Elements inside are parts of a formula or drawing, not of the page.
+_FOREIGN = frozenset("svg math".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg math object canvas select option".split()
 )
 #: A start tag that ends an open element of the set, looked for up to the nearest scope.
 _ENDS = {
@@ -42,9 +52,11 @@ _ENDS = {
 _NO_ARTICLE = frozenset("head nav footer aside form dialog menu button fieldset".split())
 _NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _NO_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|sidebar|side-bar|aside|comments?|commentlist|replies|respond|disqus|"
-    r"footer|nav|navbar|navigation|menu|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|"
-    r"popup|modal|overlay|pagination|pager|toolbar|widget|masthead|site-header|page-header|skip-link)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|banner|sidebar|side-bar|aside|comments?|commentlist|replies|respond|disqus|"
+    r"footer|nav|navbar|navigation|menu|breadcrumbs?|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|"
+    r"popup|modal|overlay|pagination|pager|toolbar|masthead|site-header|skip-link)(?=$|[\s_-])"
+    r"|(?:^|\s)(?:promos?|promotions?|notices?|alert|share|sharing|social|related|recommended|widget)"
+    r"(?:[_-](?:area|articles?|bar|block|box|boxes|buttons?|content|icons?|items?|links?|list|media|message|news|posts?|section|share|sharing|stories|text|wrapper))?(?=$|\s)",
     re.IGNORECASE,
 )
 _PUNCTUATION = re.compile(r"[,.;:!?¿¡…，。；：！？、]")
@@ -58,6 +70,8 @@ class Node:
     parent: Node | None
     skip: bool
     article: bool
+    inline: bool
+    foreign: bool
 
 
 @dataclass(slots=True)
@@ -71,6 +85,8 @@ class Block:
 
 
 def _skipped(tag: str, attributes: str, inside: Node, lenient: bool) -> bool:
+    if tag in _HIDDEN:
+        return True
     if tag in _NO_ARTICLE:
         return not (lenient and tag in ("form", "fieldset"))
     if tag == "header" and not inside.article:
@@ -90,10 +106,12 @@ def _skipped(tag: str, attributes: str, inside: Node, lenient: bool) -> bool:
 
 def blocks(page: str, lenient: bool = False) -> list[Block]:
     """Blocks with text in page order, without those of skipped elements."""
-    root = Node("", 0, 0, None, False, False)
+    root = Node("", 0, 0, None, False, False, False, False)
     #: A path is numbered by the number of its start and its last tag.
     paths: dict[tuple[int, str], int] = {}
     stack, out, links = [root], [], 0
+    #: Places of block elements in the stack, and how many elements of a tag are open.
+    block_at, open_tags = [0], Counter()
     here = Block(root)
     lower = None
 
@@ -104,9 +122,7 @@ def blocks(page: str, lenient: bool = False) -> list[Block]:
             here.text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if here.text:
                 out.append(here)
-        k = len(stack) - 1
-        while stack[k].tag in _INLINE:
-            k -= 1
+        k = block_at[-1]
         if here.parts:
             here = Block(stack[k])
         else:
@@ -122,13 +138,18 @@ def blocks(page: str, lenient: bool = False) -> list[Block]:
         nonlocal links
         block = False
         for node in stack[to:]:
-            block = block or node.tag not in _INLINE
+            block = block or not node.inline
             links -= node.tag == "a"
+            open_tags[node.tag] -= 1
         del stack[to:]
+        while block_at[-1] >= to:
+            block_at.pop()
         if block:
             flush()
 
     def close(tags: set[str] | frozenset[str], scope: set[str]) -> None:
+        if not any(open_tags[t] for t in tags):
+            return None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return leave(i)
@@ -154,10 +175,13 @@ def blocks(page: str, lenient: bool = False) -> list[Block]:
             close({tag}, {"table"} if tag in ("p", "li", "div") else set())
             continue
         if tag in _RAW:
+            if attributes.rstrip().endswith("/"):
+                continue
             lower = lower if lower is not None else page.lower()
             end = lower.find(f"</{tag}", at)
-            at = n if end < 0 and tag != "title" else max(at, end)
-            if tag not in _INLINE:
+            if end >= 0 or tag in _RAW_TO_END:
+                at = n if end < 0 else end
+            if not stack[-1].foreign:
                 flush()
             continue
         if tag in ("br", "hr"):
@@ -166,22 +190,26 @@ def blocks(page: str, lenient: bool = False) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag in _ENDS:
+        parent = stack[-1]
+        inline = tag in _INLINE or parent.foreign
+        if tag in _ENDS and not parent.foreign:
             close(*_ENDS[tag])
-        if tag not in _INLINE:
+        if not inline:
             close({"p"}, {"table", "td", "div", "article", "section", "li", "blockquote"})
         parent = stack[-1]
         node = Node(
             tag, paths.setdefault((parent.path, tag), len(paths) + 1), parent.depth + 1, parent, parent.skip or _skipped(tag, attributes, parent, lenient),
-            parent.article or tag in ("article", "main"),
+            parent.article or tag in ("article", "main"), inline, parent.foreign or tag in _FOREIGN,
         )
-        if attributes.rstrip().endswith("/") and tag not in _INLINE:
+        if attributes.rstrip().endswith("/") and (not inline or node.foreign):
             continue
-        if tag not in _INLINE:
+        if not inline:
             flush()
+            block_at.append(len(stack))
         stack.append(node)
+        open_tags[tag] += 1
         links += tag == "a"
-        if tag not in _INLINE:
+        if not inline:
             here.node = node
     flush()
     return out
@@ -211,46 +239,94 @@ def path_scores(found: list[Block], reach: int = 2) -> dict[int, float]:
     return {path: s / k for path, (s, k) in total.items()}
 
 
-def content(found: list[Block], share: float = 0.3, most: float = 0.7) -> list[Block]:
+#: Share of the content text that the article holds, of all paths' best score that content has,
+#: and of its characters in links at which a block is a menu.
+MOST = 0.95
+_SHARE = 0.3
+_LINKED = 0.8
+_HEADING = re.compile(r"h[1-6]$")
+_AROUND = frozenset("li dt dd blockquote pre figcaption caption td th".split())
+_TEXT_TAGS = frozenset("p li td th tr tbody dt dd pre blockquote h1 h2 h3 h4 h5 h6".split())
+
+
+def _held(found: list[Block], chosen: set[int]) -> tuple[dict[int, float], list[Node]]:
+    """Content text in each node and below it, and the nodes, lowest first."""
+    nodes: dict[int, Node] = {}
+    held: dict[int, float] = {}
+    for b in found:
+        node = b.node
+        held[id(node)] = held.get(id(node), 0.0) + (max(0, len(b.text) - b.linked) if b.node.path in chosen else 0.0)
+        while node is not None and id(node) not in nodes:
+            nodes[id(node)] = node
+            node = node.parent
+    order = sorted(nodes.values(), key=lambda n: -n.depth)
+    for node in order:
+        if node.parent is not None:
+            held[id(node.parent)] = held.get(id(node.parent), 0.0) + held.get(id(node), 0.0)
+    return held, order
+
+
+def _with_title(found: list[Block], node: Node) -> Node:
+    """The node, or the nearest one around it, below the page's body, that has a title."""
+    titled: set[int] = set()
+    for b in found:
+        if b.node.tag in ("h1", "h2"):
+            up = b.node
+            while up is not None and id(up) not in titled:
+                titled.add(id(up))
+                up = up.parent
+    up = node
+    while up is not None and up.tag not in ("", "html", "body"):
+        if id(up) in titled:
+            return up
+        up = up.parent
+    return node
+
+
+def content(found: list[Block]) -> list[Block]:
     """Blocks of the article among ``found``."""
     if not found:
         return []
     scores = path_scores(found)
     top = max(scores.values())
-    chosen = {p for p, s in scores.items() if s >= share * top}
-    held: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    total = 0.0
-    for b in found:
-        if b.node.path in chosen:
-            own = max(0, len(b.text) - b.linked)
-            total += own
-            node = b.node
-            while node is not None:
-                held[id(node)] = held.get(id(node), 0.0) + own
-                nodes[id(node)] = node
-                node = node.parent
+    chosen = {p for p, s in scores.items() if s >= _SHARE * top}
+    held, order = _held(found, chosen)
+    total = max(held.values())
     if not total:
         return []
-    enough = [nodes[i] for i, own in held.items() if own >= most * total and nodes[i].tag not in ("p", "li", "td", "tr", "tbody", "pre", "blockquote", "h1", "h2")]
-    inner = max(enough, key=lambda n: n.depth, default=None)
-    marked = [nodes[i] for i, own in held.items() if nodes[i].tag in ("article", "main") and own >= 0.5 * total]
-    article = max(marked, key=lambda n: held[id(n)] - n.depth * 1e-6, default=inner)
-    whole = article is not None and article.tag not in ("", "html", "body")
+    # Outermost marked articles with content, if half of it is theirs.
+    marked = [n for n in order if n.tag in ("article", "main") and not n.parent.article and held.get(id(n), 0.0) > 0]
+    if len(marked) == 1:
+        # Of nested ones the innermost that has nearly all.
+        inner = [n for n in order if n.article and n.tag in ("article", "main") and held.get(id(n), 0.0) >= MOST * held[id(marked[0])]]
+        marked = [inner[0]] if inner else marked
+    if sum(held[id(n)] for n in marked) < 0.5 * total:
+        lowest = next(n for n in order if held.get(id(n), 0.0) >= MOST * total and n.tag not in _TEXT_TAGS and not n.inline)
+        marked = [_with_title(found, lowest)]
+    whole = any(n.tag in ("", "html", "body") for n in marked)
+    inside: dict[int, bool] = {id(n): True for n in marked}
 
     def within(node: Node | None) -> bool:
-        while node is not None:
-            if node is article:
-                return True
+        way = []
+        while node is not None and id(node) not in inside:
+            way.append(node)
             node = node.parent
-        return False
+        known = node is not None and inside[id(node)]
+        inside.update((id(n), known) for n in way)
+        return known
+
+    at = [i for i, b in enumerate(found) if b.node.path in chosen and within(b.node)]
+
+    def kept(i: int, b: Block) -> bool:
+        if not within(b.node):
+            return False
+        if b.node.path in chosen:
+            return True
+        if b.linked > _LINKED * len(b.text):
+            return False
+        return not whole or at[0] < i < at[-1] or bool(_HEADING.match(b.node.tag)) or (b.node.tag in _AROUND and 2 * b.linked <= len(b.text))
 
-    menu = lambda b: b.linked > 0.8 * len(b.text) and b.node.path not in chosen
-    head = re.compile(r"h[1-6]$")
-    return [
-        b for b in found
-        if within(b.node) and not menu(b) and (whole or b.node.path in chosen or head.match(b.node.tag))
-    ]
+    return [b for i, b in enumerate(found) if kept(i, b)]
 
 
 def main_text(page: str | None) -> str:

@@ -143,6 +143,62 @@ def test_fit_is_bounded_and_alike(spark, docs):
     got = {r.doc_id: r.predicted for r in toxicity.predict(docs(rows), one).collect()}
     assert all(got[i] == int(i % 4 == 0) for i in range(400)) and len(small.place) > 0
 
+_PROSE = "This is a sentence, long enough to be the text of an article, with marks. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div class=menu><a href=x>Home</a></div><div class=post><h1>Title</h1><div class=lead>A lead, short.</div><div class=body><p>{P}</p><p>{P}</p></div></div><div class=footer>foot</div></body>", "Title|A lead, short.|{P}|{P}"),
+        ("<body><nav>x</nav><article><h1>A</h1><p>{P}</p></article><article><h1>B</h1><p>{P}</p></article></body>", "A|{P}|B|{P}"),
+        ("<body><h1>T</h1><p>{P}</p><ul><li>one</li><li>two</li></ul><p>{P}</p><blockquote>quoted</blockquote></body>", "T|{P}|one|two|{P}|quoted"),
+        ('<body><article><div class="page-header"><h1>T</h1></div><p>{P}</p><section class="social-history"><p>{P}</p></section><section id="related-work"><p>{P}</p></section><div class="comments"><p>{P}</p></div></article></body>', "T|{P}|{P}|{P}"),
+        ('<body><article><p>before <svg class="icon"/> after, {P}</p><p>x <svg><path d=1 /><title>no</title></svg> y {P}</p></article></body>', "before after, {P}|x y {P}"),
+        ("<body><article><p>so <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds, {P}</p></article></body>", "so a+b holds, {P}"),
+        ('<body><div><p>{P}</p></div><div class="related-posts"><p>{P}</p></div><div class="share"><p>{P}</p></div></body>', "{P}"),
+        ("<body><article><p>one, {P}</p><template><p>two, {P}</p></article></body>", "one, {P}|two, {P}"),
+        ("<body><main><h1>T</h1><article><p>{P}</p><p>{P}</p></article><p>after all, {P}</p></main></body>", "T|{P}|{P}|after all, {P}"),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, text):
+    want = text.replace("{P}", _PROSE.strip()).split("|")
+    assert html.main_text(page.replace("{P}", _PROSE)) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<span>", "<x-a>", "<li>", "<p><b>", "<a href=x>"])
+def test_deep_nesting_is_linear(tag):
+    import time
+
+    began = time.perf_counter()
+    html.main_text("<body>" + (tag + "word, ") * 8000)
+    assert time.perf_counter() - began < 3
+
+
+def _template(kind, title, paragraphs):
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    side = "<div class='sidebar'><p>Side note, which is not part of it, at all.</p></div><div class='comments'><p>I like it, really.</p></div>"
+    menu = "<ul class='nav'>" + "".join(f"<li><a href='{i}'>Section {i}</a></li>" for i in range(8)) + "</ul>"
+    return {
+        "div": f"<body>{menu}<div class='post'><h1>{title}</h1><div class='entry'>{body}</div></div>{side}<div id='footer'>Imprint</div></body>",
+        "flat": f"<body>{menu}<h1>{title}</h1>{body}{side}<div id='footer'>Imprint</div></body>",
+        "table": f"<body><table><tr><td>{menu}</td><td><h1>{title}</h1>{body}</td><td>{side}</td></tr></table><div id='footer'>Imprint</div></body>",
+        "split": f"<body>{menu}<div class='story'><h1>{title}</h1>" + "".join(f"<div class='part'><p>{p}</p></div>" for p in paragraphs) + f"</div>{side}<div id='footer'>Imprint</div></body>",
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["div", "flat", "table", "split"])
+def test_pages_without_an_article_tag(spark, kind):
+    """Paragraphs of the test documents in four templates: recall and precision of words."""
+    texts = [r.text for r in table(spark, SF, "documents").where("length(text) between 600 and 4000").limit(60).collect()]
+    hit = want = got = 0
+    for i, text in enumerate(texts):
+        words = text.replace("<", " ").replace("&", " ").split()
+        paragraphs = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)]
+        found = html.main_text(_template(kind, f"Title {i}", paragraphs)).split()
+        right = ["Title", str(i), *" ".join(paragraphs).split()]
+        hit, want, got = hit + len(set(found) & set(right)), want + len(set(right)), got + len(set(found))
+    assert hit / want > 0.98 and hit / got > 0.98
+
 
 # --- secrets --------------------------------------------------------------------------------
 
