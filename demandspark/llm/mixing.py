@@ -2,18 +2,19 @@
 
 Tokens are summed in cells of source, language and topic. Cell weights start as the cells'
 shares of the tokens and are raked: in turn each of the three marginals is scaled to its target,
-until ``SWEEPS`` rounds are done. The ratio of a cell's weight to its share, times a common
-factor, is the probability of its documents; the factor is set so that the expected tokens are
-``keep`` of all, and no probability exceeds one, as no document is taken twice. So that the
-sample meets the targets all the same, cells are raked again under that bound, and fewer tokens
-are kept if there are too few of some value (``bounded``; op10's SQL cuts off at one instead). A
-document is taken if a hash of its id is below its probability.
+until every marginal is within ``CLOSE`` of it (or ``MOST_SWEEPS`` rounds are done, which
+``marginals`` shows). The ratio of a cell's weight to its share, times the kept share of all
+tokens, is the probability of its documents, and no probability exceeds one, as no document is
+taken twice. So that the sample meets the targets all the same, cells are raked again under that
+bound: those at one stay there, the others of a value are scaled to what is left of its target.
+Fewer tokens than ``keep`` are kept if there are too few of some value. A document is taken if a
+hash of its id is below its probability.
 
 Targets are shares by value; a marginal without given targets gets each value's share of the
 tokens to a power below one, which lifts small sources. Values without a target have target
 zero, targets of values that don't occur are left out, the rest is scaled to one. All columns of
-expressions: no Python runs on the data; raking under the bound takes up to ``WINDOW_ROWS`` cells
-to the driver, more stay in Spark.
+expressions: no Python runs on the data, and cells stay in Spark. There is one rule for few and many
+cells; many are grouped and joined where few are windowed.
 
 Null source or language is a value of its own. Documents without tokens weigh nothing and keep
 the probability ``keep``. Repeated ids are decided alike.
@@ -21,28 +22,27 @@ the probability ``keep``. Repeated ids are decided alike.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandspark.llm.store import free_name, written
 
-SWEEPS = 12
+#: How far a marginal may be off, as a fraction of its target, and rounds at most.
+CLOSE = 1e-12
+MOST_SWEEPS = 300
 KEEP = 0.6
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 DIMENSIONS = tuple(POWERS)
 #: A topic is the first whose marks occur in the text, else GENERAL.
 TOPICS = (("legal", ("icense", "opyright")), ("contact", ("@",)), ("web", ("http",)), ("technical", ("token", "password", "secret", "$$$")))
 GENERAL = "general"
-_FACTOR_ROUNDS = 8
-_WRITE_EVERY = 3
-#: Rounds under the bound, as a multiple of the others; how far a marginal may be off, as a
-#: fraction of its target; steps by which the kept share is lowered until it is met.
-BOUND_SWEEPS = 2
-CLOSE = 1e-3
-MOST_SWEEPS = 2_000
+_CHECK_EVERY = 3
+#: With a marginal this far off, the kept share is lowered by a step and raking begins anew; how near
+#: to its limit the kept share begins.
+_FAR = 1e-3
 _INSIDE, _LOWER = 0.98, 0.9
+#: Rounds of the SQL, which can't ask for the error; enough for ``CLOSE`` where values are mixed.
+_SQL_SWEEPS = 16
 #: Cells are broadcast up to so many rows, about 100 bytes each.
 BROADCAST_ROWS = 100_000
 #: More cells than this are not summed by window, as one value may hold most of them.
@@ -95,9 +95,30 @@ def _with_marginal(now: DataFrame, dim: str, name: str, wide: bool, weight: Colu
     return now.join(sums, dim)
 
 
-def _under_bound(now: DataFrame, sweeps: int, keep: float, wide: bool) -> tuple[DataFrame, float]:
-    """``now`` with weights ``x`` whose values ``least(x, 1 / keep of the share)`` meet the targets,
-    and the share of all tokens that is kept, at most ``keep``.
+def _error(now: DataFrame, weight: Column, wide: bool) -> float:
+    """How far the marginals of ``weight`` are off, as a fraction of their targets."""
+    for d in DIMENSIONS:
+        now = _with_marginal(now, d, f"__{d}", wide, weight)
+    off = [F.max(F.abs(F.col(f"__{d}") - F.col(f"t_{d}")) / F.greatest(f"t_{d}", F.lit(1e-12))) for d in DIMENSIONS]
+    return now.agg(F.greatest(*[F.coalesce(x, F.lit(0.0)) for x in off])).first()[0]
+
+
+def _raked(now: DataFrame, wide: bool) -> DataFrame:
+    """``now`` with weights ``w`` whose marginals are the targets."""
+    for sweep in range(1, MOST_SWEEPS + 1):
+        for d in DIMENSIONS:
+            now = _with_marginal(now, d, "own", wide)
+            now = now.withColumn("w", F.when(F.col("own") > 0, F.col("w") * F.col(f"t_{d}") / F.col("own")).otherwise(0.0)).drop("own")
+        if sweep % _CHECK_EVERY == 0:
+            now = written(now, "raked")
+            if _error(now, F.col("w"), wide) <= CLOSE:
+                break
+    return now
+
+
+def _under_bound(now: DataFrame, keep: float, wide: bool) -> tuple[DataFrame, float]:
+    """``now`` with weights ``x`` whose values ``least(x, 1 / kept share)`` meet the targets, and the
+    share of all tokens that is kept, at most ``keep``.
 
     Cells at probability one are left there, the others of a value are scaled to what is left of
     its target. A value of which less is there than its target asks for lowers the share.
@@ -107,66 +128,30 @@ def _under_bound(now: DataFrame, sweeps: int, keep: float, wide: bool) -> tuple[
     reach = min([m for m in marginals if m is not None], default=keep)
     # Right at its limit a value's cells would grow without end.
     kept = keep if reach >= keep else _INSIDE * reach
-    if not wide:
-        return _under_bound_here(now, kept, most)
-    now = now.withColumn("x", F.col("w"))
-    while most and kept * most > 1:
+    # At one over the largest ratio no cell is at its bound, and raking alone meets the targets.
+    while most and kept * most > 1 + 1e-9:
+        tried, off = now.withColumn("x", F.col("w")), None
         cap = F.col("share") / F.lit(kept)
-        for sweep in range(1, BOUND_SWEEPS * sweeps + 1):
+        for sweep in range(1, MOST_SWEEPS + 1):
             for d in DIMENSIONS:
                 full = F.col("x") >= cap
-                now = _with_marginal(now, d, "fixed", wide, F.when(full, cap).otherwise(0.0))
-                now = _with_marginal(now, d, "free", wide, F.when(full, 0.0).otherwise(F.col("x")))
+                tried = _with_marginal(tried, d, "fixed", wide, F.when(full, cap).otherwise(0.0))
+                tried = _with_marginal(tried, d, "free", wide, F.when(full, 0.0).otherwise(F.col("x")))
                 left = F.col(f"t_{d}") - F.col("fixed")
                 scale = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(
                     F.col("fixed") + F.col("free") > 0, F.col(f"t_{d}") / (F.col("fixed") + F.col("free"))
                 )
-                now = now.withColumn("x", F.coalesce(F.col("x") * scale, F.lit(0.0))).drop("fixed", "free")
-            if sweep % _WRITE_EVERY == 0 or sweep == BOUND_SWEEPS * sweeps:
-                now = written(now, "bounded")
-        q, off = F.least(F.col("x"), cap), []
-        for d in DIMENSIONS:
-            by = now.groupBy(d).agg(F.sum(q).alias("q"), F.max(f"t_{d}").alias("t"))
-            off.append(by.agg(F.max(F.abs(F.col("q") - F.col("t")) / F.greatest("t", F.lit(1e-12)))).first()[0] or 0.0)
-        if max(off) <= CLOSE:
-            return now, kept
-        # At one over the largest ratio no cell is at its bound, and raking alone meets the targets.
-        kept = max(_LOWER * kept, 1 / most)
-        if kept * most <= 1 + 1e-9:
-            return now.withColumn("x", F.col("w")), kept
-    return now, kept
-
-
-def _under_bound_here(now: DataFrame, kept: float, most: float | None) -> tuple[DataFrame, float]:
-    """``_under_bound`` for the few cells that windows take, in numpy on the driver."""
-    rows = now.select(*DIMENSIONS, "tokens", "w", "share", *[f"t_{d}" for d in DIMENSIONS]).toArrow()
-    schema = now.select(*DIMENSIONS, "tokens", "w", "share").schema.add("x", "double")
-    w, share = (rows.column(c).to_numpy().astype(float) for c in ("w", "share"))
-    value = [rows.column(d).combine_chunks().dictionary_encode().indices.to_numpy() if len(w) else np.zeros(0, int) for d in DIMENSIONS]
-    target = [rows.column(f"t_{d}").to_numpy().astype(float) for d in DIMENSIONS]
-    x = w.copy()
-    while most and kept * most > 1 + 1e-9:
-        cap, near = share / kept, False
-        for _ in range(MOST_SWEEPS):
-            for v, t in zip(value, target):
-                full = x >= cap
-                fixed = np.bincount(v, np.where(full, cap, 0.0))[v]
-                free = np.bincount(v, np.where(full, 0.0, x))[v]
-                left = t - fixed
-                scale = np.divide(left, free, out=np.divide(t, fixed + free, out=np.zeros_like(t), where=fixed + free > 0), where=(left > 0) & (free > 0))
-                x = np.minimum(x * scale, 1e100)
-            q = np.minimum(x, cap)
-            off = max(float(np.max(np.abs(np.bincount(v, q)[v] - t) / np.maximum(t, 1e-12))) for v, t in zip(value, target))
-            near = near or off <= CLOSE
-            if off <= 1e-9:
-                break
-        if near:
-            break
+                tried = tried.withColumn("x", F.least(F.col("x") * F.coalesce(scale, F.lit(0.0)), F.lit(1e100))).drop("fixed", "free")
+            if sweep % _CHECK_EVERY == 0:
+                tried = written(tried, "bounded")
+                before, off = off, _error(tried, F.least(F.col("x"), cap), wide)
+                # Where the targets can't be met under the bound the error stays what it is.
+                if off <= CLOSE or (before is not None and off > _FAR and off > 0.999 * before):
+                    break
+        if off <= _FAR:
+            return tried, kept
         kept = max(_LOWER * kept, 1 / most)
-        x = w.copy()
-    columns = [*(rows.column(c) for c in (*DIMENSIONS, "tokens", "w", "share")), pa.chunked_array([pa.array(x)])]
-    table = pa.Table.from_arrays(columns, names=schema.names)
-    return now.sparkSession.createDataFrame(table, schema), kept
+    return now.withColumn("x", F.col("w")), kept
 
 
 def marginals(found: DataFrame) -> DataFrame:
@@ -181,19 +166,16 @@ def marginals(found: DataFrame) -> DataFrame:
     return out.select("dim", "value", (F.col("target") / F.col("w")).alias("target"), (F.col("reached") / F.col("s")).alias("reached"))
 
 
-def cells(
-    rows: DataFrame, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, window_rows: int = WINDOW_ROWS, bounded: bool = True
-) -> DataFrame:
+def cells(rows: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """(source, lang, topic, tokens, w, probability) from rows of (source, lang, topic, n_tokens).
 
-    ``bounded``: the expected sample meets the targets, where needed with fewer tokens than
-    ``keep`` of all. Else probabilities are cut off at one, as in ``ORACLE_SQL``.
+    The expected sample meets the targets, where needed with fewer tokens than ``keep`` of all.
     """
     targets = targets or {}
     sums = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
     total, n_cells = sums.agg(F.sum("tokens"), F.count("*")).first()
     total, wide = total or 0, n_cells > window_rows
-    now = sums.withColumn("w", F.col("tokens") / F.lit(float(max(total, 1))))
+    now = sums.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1)))).withColumn("w", F.col("share"))
     for d in DIMENSIONS:
         # A marginal's values are in the cells; its targets are scaled over one row for each.
         now = _with_marginal(now, d, f"m_{d}", wide).withColumn(f"t_{d}", _targets(d, targets.get(d)))
@@ -201,28 +183,8 @@ def cells(
     scale = now.agg(*[F.sum(F.col(f"t_{d}") * F.col("w") / F.col(f"m_{d}")).alias(d) for d in DIMENSIONS]).first()
     for d in DIMENSIONS:
         now = now.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(float(scale[d] or 1.0)))
-    for sweep in range(1, sweeps + 1):
-        for d in DIMENSIONS:
-            now = _with_marginal(now, d, "own", wide)
-            now = now.withColumn("w", F.when(F.col("own") > 0, F.col("w") * F.col(f"t_{d}") / F.col("own")).otherwise(0.0)).drop("own")
-        if sweep % _WRITE_EVERY == 0 or sweep == sweeps:
-            now = written(now, "raked")
-    weight = "w"
-    if bounded:
-        now, keep = _under_bound(now.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1)))), sweeps, keep, wide)
-        weight = "x"
-    ratio = F.col(weight) / (F.col("tokens") / F.lit(float(max(total, 1))))
-    now = written(now.select(*DIMENSIONS, "tokens", "w", ratio.alias("ratio")), "ratios")
-    factor = keep
-    for _ in range(_FACTOR_ROUNDS):
-        full = F.col("ratio") * factor >= 1
-        got = now.agg(
-            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("tokens") * F.col("ratio"))), F.lit(0.0))
-        ).first()
-        if not got[1]:
-            break
-        factor = max(factor, (keep * total - got[0]) / got[1])
-    return now.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(float(factor))))
+    now, kept = _under_bound(_raked(now, wide), keep, wide)
+    return now.select(*DIMENSIONS, "tokens", "w", F.least(F.lit(1.0), F.col("x") / F.col("share") * F.lit(float(kept))).alias("probability"))
 
 
 def chance(id_col: str = "doc_id") -> Column:
@@ -238,7 +200,7 @@ def _joined(rows: DataFrame, found: DataFrame, names: dict[str, str], probabilit
     return out.withColumn(probability, F.coalesce(probability, F.lit(keep)))
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", keep: float = KEEP, bounded: bool = True) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", keep: float = KEEP) -> DataFrame:
     """(id, source, lang, topic, n_tokens, probability, kept) for every row."""
     rows = written(
         docs.select(
@@ -247,7 +209,7 @@ def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str
         ),
         "tokens",
     )
-    out = _joined(rows, cells(rows, targets, keep=keep, bounded=bounded), {d: d for d in DIMENSIONS}, "probability", keep)
+    out = _joined(rows, cells(rows, targets, keep=keep), {d: d for d in DIMENSIONS}, "probability", keep)
     return out.select(
         id_col, F.col("own_source").alias("source"), F.col("own_lang").alias("lang"), F.substring("topic", 2, 99).alias("topic"), "n_tokens",
         F.round("probability", 6).alias("probability"), (chance(id_col) < F.col("probability")).alias("kept"),
@@ -264,7 +226,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str =
     return _joined(rows, found, names, probability, keep).where(chance(id_col) < F.col(probability)).select(*docs.columns)
 
 
-def _oracle(sweeps: int = SWEEPS, keep: float = KEEP) -> str:
+def _oracle(sweeps: int = _SQL_SWEEPS, keep: float = KEEP) -> str:
     topic = "CASE " + " ".join(
         f"WHEN {' OR '.join(f'contains(text, {chr(39)}{m}{chr(39)})' for m in marks)} THEN '{name}'" for name, marks in TOPICS
     ) + f" ELSE '{GENERAL}' END"
@@ -272,7 +234,7 @@ def _oracle(sweeps: int = SWEEPS, keep: float = KEEP) -> str:
         f"""d AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic,
               coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents)""",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
-        "a AS (SELECT *, sum(tokens) OVER () AS total, tokens / sum(tokens) OVER () AS w FROM c)",
+        "a AS (SELECT *, tokens / sum(tokens) OVER () AS share, tokens / sum(tokens) OVER () AS w FROM c)",
         "m AS (SELECT *, " + ", ".join(f"sum(w) OVER (PARTITION BY {x}) AS m_{x}" for x in DIMENSIONS) + " FROM a)",
         "r0 AS MATERIALIZED (SELECT *, " + ", ".join(f"pow(m_{x}, {p}) / sum(pow(m_{x}, {p}) * w / m_{x}) OVER () AS t_{x}" for x, p in POWERS.items()) + " FROM m)",
     ]
@@ -281,16 +243,22 @@ def _oracle(sweeps: int = SWEEPS, keep: float = KEEP) -> str:
         for x in DIMENSIONS:
             steps.append(f"r{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * t_{x} / sum(w) OVER (PARTITION BY {x}) AS w) FROM r{k})")
             k += 1
-    steps.append(f"q0 AS MATERIALIZED (SELECT source, lang, topic, tokens, total, w / (tokens / total) AS ratio, {keep}::DOUBLE AS f FROM r{k})")
-    for i in range(_FACTOR_ROUNDS):
-        steps.append(
-            f"""q{i + 1} AS MATERIALIZED (SELECT * REPLACE (greatest(f, coalesce(({keep} * total - coalesce(sum(tokens) FILTER (ratio * f >= 1) OVER (), 0))
-                / nullif(sum(tokens * ratio) FILTER (ratio * f < 1) OVER (), 0), f)) AS f) FROM q{i})"""
-        )
+    reach = "least(" + ", ".join(f"min(m_{x} / t_{x}) OVER ()" for x in DIMENSIONS) + ")"
+    steps.append(f"g AS (SELECT *, {reach} AS reach FROM r{k})")
+    steps.append(f"h AS (SELECT *, CASE WHEN reach >= {keep} THEN {keep}::DOUBLE ELSE {_INSIDE} * reach END AS kept FROM g)")
+    steps.append("x0 AS MATERIALIZED (SELECT *, w AS x, share / kept AS cap FROM h)")
+    k = 0
+    for _ in range(sweeps):
+        for x in DIMENSIONS:
+            sums = f"sum(CASE WHEN x >= cap THEN cap ELSE 0 END) OVER (PARTITION BY {x}) AS fixed, sum(CASE WHEN x >= cap THEN 0 ELSE x END) OVER (PARTITION BY {x}) AS free"
+            scale = f"CASE WHEN t_{x} > fixed AND free > 0 THEN (t_{x} - fixed) / free WHEN fixed + free > 0 THEN t_{x} / (fixed + free) ELSE 0 END"
+            steps.append(f"x{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (fixed, free) REPLACE (least(x * {scale}, 1e100) AS x) FROM (SELECT *, {sums} FROM x{k}))")
+            k += 1
+    probability = f"coalesce(least(1.0, x / share * kept), {keep})"
     return "WITH " + ",\n".join(steps) + f"""
-        SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(least(1.0, ratio * f), {keep}), 6)::DOUBLE AS probability,
-               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)} < coalesce(least(1.0, ratio * f), {keep}) AS kept
-        FROM d LEFT JOIN q{_FACTOR_ROUNDS} q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NOT DISTINCT FROM q.lang AND d.topic = q.topic"""
+        SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round({probability}, 6)::DOUBLE AS probability,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)} < {probability} AS kept
+        FROM d LEFT JOIN x{k} q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NOT DISTINCT FROM q.lang AND d.topic = q.topic"""
 
 
 ORACLE_SQL = _oracle()

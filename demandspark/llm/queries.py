@@ -41,8 +41,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +59,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # As its SQL has it; the pipeline rakes under the bound.
-    return mixing.sampled(table(spark, sf_dir, "documents"), bounded=False)
+    return mixing.sampled(table(spark, sf_dir, "documents"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +103,11 @@ ORACLE: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
     "op6_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
-              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r),
+        r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_shards": sharding.ORACLE_SQL,
     "op10_mixture": mixing.ORACLE_SQL,

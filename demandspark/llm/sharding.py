@@ -86,12 +86,12 @@ def directory(keyed: DataFrame, limit: int = LIMIT) -> tuple[list[tuple[str, int
 def _placed(rows: DataFrame, rounds: list[tuple[str, int, int, DataFrame]], h: str, place: str, shard: str) -> DataFrame:
     """``rows`` with their shard's name."""
     bucket, cell = free_name(rows, "bucket"), free_name(rows, "cell")
-    is_open, depth = free_name(rows, "is_open"), free_name(rows, "depth")
+    is_open, depth, found, later = (free_name(rows, x) for x in ("is_open", "depth", "found_open", "later_round"))
     out = rows.withColumn(shard, F.lit("")).withColumn(is_open, F.lit(True))
     for word, start, width, cells in rounds:
-        here = cells.select(F.col("bucket").alias(bucket), F.col("cell").alias(cell), F.col("depth").alias(depth), F.col("open").alias("__open"))
+        here = cells.select(F.col("bucket").alias(bucket), F.col("cell").alias(cell), F.col("depth").alias(depth), F.col("open").alias(found))
         if start or word != "h":  # later rounds hold only open buckets
-            here = here.withColumn("__round", F.lit(True))
+            here = here.withColumn(later, F.lit(True))
         if cells.count() <= BROADCAST_ROWS:
             here = F.broadcast(here)
         bits = _bits(F.col(h if word == "h" else place), start, width)
@@ -99,7 +99,7 @@ def _placed(rows: DataFrame, rounds: list[tuple[str, int, int, DataFrame]], h: s
         out = out.join(here, [bucket, cell], "left")
         step = _name(F.expr(f"shiftrightunsigned(`{cell}`, {width} - `{depth}`)"), F.col(depth))
         out = out.withColumn(shard, F.when(F.col(depth).isNull(), F.col(shard)).otherwise(F.concat(shard, step)))
-        out = out.withColumn(is_open, F.coalesce("__open", F.lit(False))).drop(bucket, cell, depth, "__open", "__round")
+        out = out.withColumn(is_open, F.coalesce(F.col(found), F.lit(False))).drop(bucket, cell, depth, found, later)
     return out.drop(is_open)
 
 
@@ -123,9 +123,13 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: i
     )
 
 
-def with_shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, name: str = "shard") -> DataFrame:
+def with_shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, name: str | None = None) -> DataFrame:
     """``docs`` and a column ``name`` with each row's shard; texts aren't moved unless the
-    directory is too large to broadcast."""
+    directory is too large to broadcast. By default the name is shard, with as many leading
+    underscores as no column of ``docs`` has."""
+    name = name or free_name(docs, "shard")
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {name!r} already; give the shard another name")
     h, place, n = (free_name(docs, x) for x in ("h", "place", "n_bytes"))
     rows = _keyed(docs, id_col, text, h, place, n)
     keyed = written(rows.select(F.col(h).alias("h"), F.col(place).alias("place"), F.col(n).alias("bytes")), "keys")

@@ -108,6 +108,23 @@ def test_top_k_matches_plain_python(spark, monkeypatch):
     assert topk.top_k(df.limit(0), queries, 10).count() == 0 and topk.top_k(df, queries.limit(0), 10).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_components(spark, tmp_path):
+    rows = [(0, [3e6, 1.0]), (0, [-3e6, 2.0]), (1, [3e6, 3.0]), (2, [1e18, 1e18]), (100, [1e18, 1.0]), (3, [2.0, 5.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2).write.parquet(f"{tmp_path}/v")
+    got = topk.top_k(spark.read.parquet(f"{tmp_path}/v"), F.col("vec_id") % 100 == 0, 10).collect()
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    held = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = []
+    for n, (i, a) in enumerate(ints):
+        if i % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for m, (j, b) in enumerate(ints) if m != n)
+            want += [(i, r, j, held(-s)) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    # From elsewhere: rows of the query's id are left out.
+    other = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(spark.read.parquet(f"{tmp_path}/v"), other, 10).orderBy("rank").collect()] == [2, 100, 1, 3]
+
+
 # --- shards ---------------------------------------------------------------------------------
 
 
@@ -172,12 +189,15 @@ def test_marginals_meet_given_targets(docs):
 @pytest.mark.parametrize("broadcast_rows", [100_000, 2])
 def test_many_cells_are_raked_like_few(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast_rows)
+    # Few rounds: both ways are to do the same in each.
+    monkeypatch.setattr(mixing, "CLOSE", 0.05)
+    monkeypatch.setattr(mixing, "_FAR", 0.05)
     rows = spark.createDataFrame(
         [(f"=s{i % 40}", f"=l{i % 3}" if i % 4 else "-", f"=t{i % 5}", 1 + i * i % 97) for i in range(900)] + [("=empty", "-", "=t0", 0)],
         "source string, lang string, topic string, n_tokens long",
     )
     few, many = (
-        {(r.source, r.lang, r.topic): r for r in mixing.cells(rows, sweeps=3, window_rows=n).collect()} for n in (mixing.WINDOW_ROWS, 10)
+        {(r.source, r.lang, r.topic): r for r in mixing.cells(rows, window_rows=n).collect()} for n in (mixing.WINDOW_ROWS, 10)
     )
     assert few.keys() == many.keys() and len(few) == 100
     for k, r in few.items():
