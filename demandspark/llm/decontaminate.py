@@ -22,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.store import written
+from demandspark.llm.store import free_name, written
 from demandspark.llm.words import ALNUM, Chunk, Words, chunks, hash_spans, words
 
 WINDOW = 13
@@ -238,43 +239,60 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.
     return keys[np.concatenate([[0], cut])], np.split(values, cut)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> list[Benchmark | None]:
-    """The items in blocks of about BLOCK_BYTES, each read by itself."""
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> tuple[int, Iterator[Benchmark | None]]:
+    """How many blocks of about BLOCK_BYTES the items make, and the blocks, each read when asked for."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    out = []
-    for i in range(n):
-        got = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).toArrow().combine_chunks()
-        column = got.column("text").combine_chunks() if len(got) else pa.array([], pa.string())
-        out.append(benchmark_block(got.column("item").to_pylist(), column, window))
-    return [b for b in out if b is not None] or [None]
 
+    def read() -> Iterator[Benchmark | None]:
+        for i in range(n):
+            got = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).toArrow().combine_chunks()
+            column = got.column("text").combine_chunks() if len(got) else pa.array([], pa.string())
+            yield benchmark_block(got.column("item").to_pylist(), column, window)
 
-def overlap(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = WINDOW,
-) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
+    return n, read()
+
+
+def _marked(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int) -> tuple[DataFrame, Broadcast, str, str]:
+    """``docs`` with what all blocks but the last hit, the last one as a broadcast, and the names of
+    the columns of hits and items, which there are if there are several blocks.
+
+    A block is broadcast, applied, its hits written, and released before the next one is read.
+    """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, item, item_text, window)]
-    id_type = docs.schema[id_col].dataType.simpleString()
-    last = f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    middle = f"`{id_col}` {id_type}, text string, hits array<int>, items array<string>"
-    df = docs.select(F.col(id_col), F.col(text).alias("text"))
-    if len(blocks) > 1:
-        df = df.select("*", F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for block in blocks[:-1]:
+    hits_col, items_col = free_name(docs, "hits"), free_name(docs, "items")
+    at, (n, blocks) = docs.columns.index(text), _blocks(benchmark, item, item_text, window)
+    df = docs
+    if n > 1:
+        df = docs.select("*", F.lit(None).cast("array<int>").alias(hits_col), F.lit(None).cast("array<string>").alias(items_col))
+    schema = df.schema
+    for i, read in enumerate(blocks):
+        block = sc.broadcast(read)
+        del read
+        if i == n - 1:
+            return df, block, hits_col, items_col
 
         def add(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, hits, items = mark(block.value, batch.column(1))
+                _, hits, items = mark(block.value, batch.column(at))
                 hits, items = _joined(batch, hits, items)
                 columns = [pa.array([h.tolist() for h in hits], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [id_col, "text", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], batch.schema.names)
 
-        df = written(df.mapInArrow(add, middle), "overlap")
-    block = blocks[-1]
+        df = written(df.mapInArrow(add, schema), "overlap")
+        block.destroy()
+    raise AssertionError("there is at least one block")
+
+
+def overlap(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", window: int = WINDOW,
+) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    last = f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    df, block, _, _ = _marked(docs.select(F.col(id_col), F.col(text).alias("text")), "text", benchmark, item, item_text, window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +314,7 @@ def overlap(
 
 
 def _joined(batch: pa.RecordBatch, hits: list[np.ndarray], items: list[list[str]]) -> tuple[list[np.ndarray], list[list[str]]]:
-    before, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+    before, names = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
     hits = [np.union1d(h, np.array(o or [], np.int32)) for h, o in zip(hits, before)]
     return hits, [[*x, *(o or [])] for x, o in zip(items, names)]
 
@@ -307,7 +325,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     sc = docs.sparkSession.sparkContext
     schema = f"item_id string, item_word long, n_words long, doc_id {docs.schema[id_col].dataType.simpleString()}, doc_word long"
     parts = []
-    for b in _blocks(benchmark, item, item_text, window):
+    for b in _blocks(benchmark, item, item_text, window)[1]:
         block = sc.broadcast(b)
 
         def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -330,7 +348,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     ["item_id", "item_word", "n_words", "doc_id", "doc_word"],
                 )
 
-        parts.append(docs.select(F.col(id_col), F.col(text).alias("text")).mapInArrow(best, schema))
+        parts.append(written(docs.select(F.col(id_col), F.col(text).alias("text")).mapInArrow(best, schema), "matches"))
+        block.destroy()
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -340,17 +359,16 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated rows; all columns and all other rows stay as they are."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, item, item_text, window)]
     at = docs.columns.index(text)
+    df, block, hits_col, items_col = _marked(docs, text, benchmark, item, item_text, window)
+    several = hits_col in df.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [np.zeros(0, np.int32)] * batch.num_rows
-            for block in blocks:
-                sizes, more, _ = mark(block.value, batch.column(at))
-                hits = [np.union1d(a, b) for a, b in zip(hits, more)] if len(blocks) > 1 else more
+            sizes, hits, items = mark(block.value, batch.column(at))
+            if several:
+                hits, _ = _joined(batch, hits, items)
             n_hit = np.array([len(h) for h in hits], np.int64)
             yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= sizes))))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return df.mapInArrow(keep, df.schema).drop(hits_col, items_col) if several else df.mapInArrow(keep, df.schema)
