@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from demandspark.catalog.base import HOURLY, HOURLY_CTE, LINEITEM, hourly, query, r, r2, r6, rp, table
@@ -377,12 +379,12 @@ SPACES = {md.FOREST: FOREST_SPACE, md.BOOSTED_A: BOOST_A_SPACE, md.BOOSTED_B: BO
     from (select unnest({list(SPACES)}) as m), range({SEARCH_TRIALS}) x(t)""",
 )
 def _search(spark, sf):
-    """Trials of all three models over their whole ranges, as they are stored; half of them come
-    from a search that was started again."""
+    """Trials of all three models over their whole ranges, as they are stored; the search goes on where
+    one of a single trial of one model ended."""
     data = _prepared(spark, sf)
     path = scratch_path(spark, "trials")
     spaces = {m: s.with_trials(SEARCH_TRIALS) for m, s in SPACES.items()}
-    md.tune(data, CFG, {m: s.with_trials(SEARCH_TRIALS // 2) for m, s in SPACES.items()}, path)
+    md.search(spark, FOREST_SPACE.with_trials(1), lambda p: md.train_forest(data, replace(CFG, forest=replace(CFG.forest, **p))).metrics["RMSE"], CFG.random_seed, md.FOREST, md.TrialLog(spark, path))
     results, _, trials = md.tune(data, CFG, spaces, path)
     stored = md.TrialLog(spark, path).read()
     ranges = [(m, k, float(lo), float(hi)) for m, s in SPACES.items() for k, (lo, hi) in {**s.ints, **s.floats, **s.log_floats}.items()]
