@@ -188,6 +188,32 @@ def column_facts(counts: DataFrame, wanted: dict[str, tuple[float, str]]) -> dic
     return out
 
 
+def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, count, min, max, mean, std) of numeric columns, unrounded, in one scan of the table.
+
+    Whole numbers are summed exactly, so a large table's mean does not drift.
+    """
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+
+    def mean(c: str) -> Column:
+        if c in whole:
+            return F.sum(F.col(c).cast("decimal(38,0)")).cast("double") / F.count(c)
+        return F.avg(F.col(c).cast("double"))
+
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("count"),
+            F.min(c).cast("double").alias("min"),
+            F.max(c).cast("double").alias("max"),
+            mean(c).alias("mean"),
+            F.stddev_samp(F.col(c).cast("double")).alias("std"),
+        ).alias(f"m{i}")
+        for i, c in enumerate(cols)
+    ]
+    return df.agg(*parts).select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(cols))])))
+
+
 MEDIAN = {"median": (0.5, "linear")}
 
 

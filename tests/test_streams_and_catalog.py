@@ -127,3 +127,13 @@ def test_plans_have_no_python_and_push_down(spark, sf_dir):
     scan = entry.queries()["s01_parquet_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,200000.0)]" in scan
     assert "o_orderdate" not in scan
+
+
+def test_describe_matches_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{sf_dir}/lineitem.parquet')")
+    want = sorted(con.sql(entry.oracle_sql()["s11_describe"]).fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["s11_describe"](spark, sf_dir).collect())
+    assert got == want
