@@ -298,3 +298,16 @@ def test_split_positions_by_selection(spark, monkeypatch, limit):
         two = {r.id: r.split for r in sp.label_two_way(df, SeriesSpec(order), 0.37).collect()}
         k = int((1 - 0.37) * n)
         assert [two[i] for i in want] == ["train"] * k + ["test"] * (n - k)
+
+
+def test_splits_count_rows_when_ties_span_a_bound(spark):
+    # Rows equal in every order column are one tie; SQL's row_number still cuts through it.
+    rows = [(i, i // 4 if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t long")
+    spec = SeriesSpec(("t",))
+    two = [r.split for r in sp.label_two_way(df, spec, 0.75).collect()]
+    assert (two.count("train"), two.count("test")) == (10, 30)
+    n_train, n_val = sp.split_sizes(40, 0.3, 0.3)
+    three = [r.split for r in sp.label_split(df, spec, 0.3, 0.3).collect()]
+    assert (three.count("train"), three.count("val")) == (n_train + 1, n_val)
+    assert "__tie" not in sp.label_two_way(df, spec, 0.75).columns
