@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandspark.llm import decontaminate, jaccard, mixing, sharding, toxicity
+from demandspark.llm import decontaminate, mixing, sharding, simhash, toxicity
 from demandspark.llm.store import remainder, table, written
 
 
@@ -21,8 +21,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by the Jaccard similarity of five-word shingles."""
-    return jaccard.one_of_each(docs)
+    """One document of each component of op5's near-duplicates: fingerprints linked at 2 or fewer
+    differing bits by its bit-sliced search, the smallest doc_id of each component kept."""
+    return simhash.one_of_each(docs)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

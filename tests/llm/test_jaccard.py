@@ -7,7 +7,6 @@ import pyarrow as pa
 import pytest
 from conftest_llm import brute_jaccard
 
-import corpus_pipeline
 from demandspark.llm import jaccard
 from demandspark.llm.store import table
 
@@ -38,7 +37,7 @@ def test_near_copies_against_all_pairs(docs, monkeypatch, few, common):
 
 def test_stage_finds_near_copies_of_the_test_documents(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
-    got = corpus_pipeline.near_duplicates_out(spark, table(spark, "/root/testdata/sf0.001", "documents"), "/root/testdata/sf0.001")
+    got = jaccard.one_of_each(table(spark, "/root/testdata/sf0.001", "documents"))
     assert sorted(r.doc_id for r in got.collect()) == brute_jaccard(rows)[0]
 
 

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from conftest_llm import brute_jaccard, brute_overlap
+from conftest_llm import brute_components, brute_fingerprint, brute_overlap
 
+from demandspark.llm import simhash
 from demandspark.llm.store import table
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +23,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
     ids = lambda df: sorted(r.doc_id for r in df.collect())
 
     rows, after = kept["near_duplicates"]
-    assert ids(after) == brute_jaccard([(r.doc_id, r.text) for r in rows])[0]
+    fps = [brute_fingerprint(r.text) for r in rows]
+    assert ids(after) == sorted(set(brute_components([r.doc_id for r in rows], fps)))
 
     rows, after = kept["decontamination"]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
@@ -33,6 +35,14 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert ids(after) == sorted(r.doc_id for r in rows) and set(after.columns) == {*columns, "shard"}
 
 
+def test_near_duplicate_stage_keeps_op5s_components(spark):
+    docs = table(spark, SF, "documents")
+    rows = docs.select("doc_id", "text").collect()
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, docs, SF).collect())
+    assert got == sorted(set(brute_components([r.doc_id for r in rows], [brute_fingerprint(r.text) for r in rows])))
+    assert got == sorted(r.component_id for r in simhash.near_duplicates(docs).select("component_id").distinct().collect())
+
+
 def test_run_is_the_stages_in_order(spark):
     got = corpus_pipeline.run(spark, SF)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
