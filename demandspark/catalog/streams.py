@@ -128,9 +128,7 @@ DELIVERED = "cast(floor((day(ts) - 1 + case when event_id % 40 = 0 then 2 else 0
 )
 def _accounted(spark, sf):
     events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf}/events.parquet").withColumn("batch", F.expr(DELIVERED))
-    source = scratch_path(spark, "events-by-batch")
-    for (batch,) in sorted(events.select("batch").distinct().collect()):
-        events.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{source}/batch={batch:03d}")
+    source = jobs.files_by_batch(events, "batch", scratch_path(spark, "events-staged"), scratch_path(spark, "events-by-batch"))
     tables = jobs.HourlyTables(scratch_path(spark, "accounted"))
     stream = jobs.read_stream(spark, f"{source}/*", EVENT_SCHEMA, files_per_batch=1)
     aggs = {"cnt": ("count", "event_id"), "users_sum": ("sum", "user_id")}

@@ -39,6 +39,21 @@ def read_stream(
     return reader.parquet(path)
 
 
+def files_by_batch(df: DataFrame, column: str, staged: str, out: str) -> str:
+    """One parquet file per value of ``column`` under ``out``, written in ascending order, for a
+    file stream of one file a trigger.
+
+    The table is scanned once, by all tasks, into folders by value; each file then reads only its
+    own folder. Rows of a null value belong to no batch.
+    """
+    df.where(F.col(column).isNotNull()).write.partitionBy(column).parquet(staged)
+    spark = df.sparkSession
+    for (value,) in sorted(spark.read.parquet(staged).select(column).distinct().collect()):
+        part = spark.read.schema(df.drop(column).schema).parquet(f"{staged}/{column}={value}")
+        part.coalesce(1).write.parquet(f"{out}/{column}={value:03d}")
+    return out
+
+
 def price_stream(
     requests: DataFrame,
     config: BusinessConfig | None = None,

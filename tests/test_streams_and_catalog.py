@@ -137,3 +137,16 @@ def test_describe_matches_its_sql(spark, sf_dir):
     want = sorted(con.sql(entry.oracle_sql()["s11_describe"]).fetchall())
     got = sorted(tuple(r) for r in entry.queries()["s11_describe"](spark, sf_dir).collect())
     assert got == want
+
+
+def test_files_by_batch_scans_once_and_writes_one_file_per_batch_in_order(spark, tmp_path):
+    import glob
+    import os
+
+    rows = [(i, i % 3 if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "v long, batch long")
+    out = jobs.files_by_batch(df, "batch", f"{tmp_path}/staged", f"{tmp_path}/out")
+    files = sorted(glob.glob(f"{out}/batch=*/*.parquet"), key=os.path.getmtime)
+    assert [os.path.basename(os.path.dirname(f)) for f in files] == ["batch=000", "batch=001", "batch=002"]
+    for b, f in enumerate(files):
+        assert sorted(r.v for r in spark.read.parquet(f).collect()) == [v for v, k in rows if k == b]
